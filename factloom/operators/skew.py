@@ -52,3 +52,12 @@ def dense_position(df: DataFrame, order: str, out: str, start=None) -> DataFrame
     first = F.lit(0) if start is None else start
     return numbered.withColumn(out, (first + F.col("_before") + F.col("_inside") - 1).cast("long")).drop(
         "_bucket", "_inside", "_before")
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """`df` with a broadcast hint when it is counted to have at most `max_rows` rows, else as it is.
+
+    For change sets joined to the whole table: a small one spares the shuffle of the table,
+    a large one is joined by shuffle.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
