@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators.search import _one_query
+from factloom.operators.search import nearest
 from factloom.operators.skew import broadcast_if_small
 
 _COLUMNS = {"chunk_id": "string", "document_id": "string", "sequence_number": "int", "text": "string",
@@ -23,15 +23,13 @@ def upsert_chunks(chunks: DataFrame, points: DataFrame) -> DataFrame:
 def search_chunks(chunks: DataFrame, vector: list[float], limit: int, where: Column | None = None) -> DataFrame:
     """The chunks nearest to `vector` that pass `where`: `chunk_id, document_id, sequence_number, text, score`.
 
-    Equal scores are ordered by document and sequence number.
+    Equal scores are ordered by document, sequence number and chunk id.
     """
     pool = chunks if where is None else chunks.filter(where)
-    pool = pool.withColumn("id", F.xxhash64("chunk_id"))
-    # Ranking runs on a number for each id; the extra candidates make room for equal scores.
-    hits = _one_query(pool.select("id", "embedding"), vector, limit)
-    rows = pool.select("id", "chunk_id", "document_id", "sequence_number", "text")
-    return (rows.join(F.broadcast(hits), "id").drop("id")
-            .orderBy(F.desc_nulls_last("score"), "document_id", "sequence_number").limit(limit))
+    key = ["document_id", "sequence_number", "chunk_id"]
+    hits = nearest(pool, vector, limit, key)
+    return (hits.join(chunks.select("chunk_id", "text"), "chunk_id")
+            .select(*key, "text", "score").orderBy(F.desc_nulls_last("score"), *key))
 
 
 def get_chunk(chunks: DataFrame, chunk_id: str) -> DataFrame:

@@ -14,7 +14,7 @@ from factloom.errors import INVALID_INPUT, RequestError
 from factloom.functions.text import merge_tags
 from factloom.operators.prepare import EmbeddingProvider
 from factloom.operators.remember import Remembered, remember_batch
-from factloom.operators.skew import dense_position
+from factloom.session import cut_lineage
 
 _SENTENCE_END = re.compile(r"[.!?](?=[ \n])")
 SOURCE_LABEL = "factloom/teach"
@@ -112,13 +112,14 @@ def failed_chunks(chunks: DataFrame, extractor: Callable[[str], str]) -> DataFra
 
 
 def as_items(facts: DataFrame, provider_label: str = SOURCE_LABEL) -> DataFrame:
-    """Facts as remember items, numbered in order of document, chunk and position.
+    """Facts as remember items, `input_index` rising with document, chunk and position.
 
-    Needs doc_id below 2^31, fewer than 2^16 chunks a document and 2^16 facts a chunk.
+    The global sort leaves the parts in order, so numbers that rise along the parts keep the
+    order without counting; the result is written down so that they stay the same.
     """
-    place = F.shiftleft(F.col("doc_id").cast("long"), 32) + F.shiftleft(F.col("seq").cast("long"), 16) + F.col("pos")
-    return dense_position(facts.withColumn("_place", place), "_place", "input_index").select(
-        "input_index", "text", "tags", F.lit(provider_label).alias("source_provider"))
+    placed = facts.orderBy("doc_id", "seq", "pos").withColumn("input_index", F.monotonically_increasing_id())
+    return cut_lineage(placed.select("input_index", "text", "tags", F.lit(provider_label).alias("source_provider"),
+                                     "doc_id", "seq", "pos"))
 
 
 def load_facts(memories: DataFrame, facts: DataFrame, as_of, provider: EmbeddingProvider, *,

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +14,7 @@ from pyspark.sql import functions as F
 from factloom import schema as S
 from factloom.errors import INVALID_INPUT, RequestError, check_limit
 from factloom.functions.text import normalize_tags
+from factloom.functions.vectors import SCORE_DIGITS, unit_rows
 from factloom.operators.knn import knn_join
 from factloom.operators.predicates import active, tags_overlap, tombstone
 
@@ -19,15 +25,32 @@ def _unusable() -> Column:
     return F.col("embedding").isNull() | F.forall("embedding", lambda x: x == 0)
 
 
-def _one_query(rows: DataFrame, vector: list[float], k: int) -> DataFrame:
-    """The k best rows for one vector, `id, score` with a null score for rows without a usable vector."""
-    spark = rows.sparkSession
-    query = spark.createDataFrame([(0, [float(x) for x in vector])], "query_id long, vec array<float>")
-    query = query.withColumn("part", F.lit("")).withColumn("floor", F.lit(None).cast("double"))
-    base = rows.select("id", F.lit("").alias("part"), F.col("embedding").alias("vec"))
-    scored = knn_join(query, base, k).select("id", "score")
-    unscored = rows.filter(_unusable()).orderBy("id").limit(k).select("id", F.lit(None).cast("double").alias("score"))
-    return scored.unionByName(unscored).orderBy(F.desc_nulls_last("score"), "id").limit(k)
+def nearest(rows: DataFrame, vector: list[float], k: int, key: list[str]) -> DataFrame:
+    """The k rows nearest to one vector: the `key` columns and `score`, equal scores in key order.
+
+    Each task keeps its k best rows only. Rows without a usable vector come last, with a null score.
+    """
+    target = np.asarray(vector, dtype=np.float64)
+    norm = np.linalg.norm(target)
+    target = target / norm if norm > 0 else None
+    thin = rows.select(*key, F.col("embedding").alias("vec"))
+    schema = rows.select(*key).schema.add("score", "double")
+    order = [("score", "descending"), *[(c, "ascending") for c in key]]
+
+    def keep_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            unit, usable = unit_rows(batch.column("vec"), len(vector))
+            known = usable & (target is not None)
+            score = np.round(unit @ target, SCORE_DIGITS) if target is not None else np.zeros(len(usable))
+            table = pa.Table.from_batches([batch.drop_columns(["vec"])]).append_column(
+                "score", pa.array(score, pa.float64(), mask=~known))
+            table = table if best is None else pa.concat_tables([best, table])
+            best = table.take(pc.sort_indices(table, sort_keys=order)[:k]).combine_chunks()
+        if best is not None:
+            yield from best.to_batches()
+
+    return thin.mapInArrow(keep_best, schema).orderBy(F.desc_nulls_last("score"), *key).limit(k)
 
 
 def _with_columns(hits: DataFrame, memories: DataFrame) -> DataFrame:
@@ -44,7 +67,7 @@ def recall(memories: DataFrame, vector: list[float], user_id: str, as_of, limit:
     """
     k = check_limit(limit, S.DEFAULT_RECALL_ROWS, S.MAX_RESULT_ROWS)
     pool = memories.filter((F.col("user_id") == user_id) & active(as_of) & tags_overlap(tags))
-    hits = _one_query(pool, vector, k)
+    hits = nearest(pool, vector, k, ["id"])
     if min_score is not None:
         hits = hits.filter(F.col("score") >= min_score)
     return _with_columns(F.broadcast(hits), memories).orderBy(F.desc_nulls_last("score"), "id")   # at most 50 hits
@@ -54,7 +77,7 @@ def recall_tombstones(memories: DataFrame, vector: list[float], user_id: str, li
     """As `recall`, over deleted rows only."""
     k = check_limit(limit, S.DEFAULT_RECALL_ROWS, S.MAX_RESULT_ROWS)
     pool = memories.filter((F.col("user_id") == user_id) & tombstone())
-    hits = _one_query(pool, vector, k)
+    hits = nearest(pool, vector, k, ["id"])
     return _with_columns(F.broadcast(hits), memories).orderBy(F.desc_nulls_last("score"), "id")
 
 

@@ -67,7 +67,7 @@ def as_memories(df: DataFrame) -> DataFrame:
     for f in MEMORIES.fields:
         if f.name in have:
             c = F.col(f.name).cast(f.dataType)
-            if f.name in DEFAULTS:
+            if f.name in DEFAULTS and f.name != "user_id":      # left bare so that its filters reach the files
                 c = F.coalesce(c, F.lit(DEFAULTS[f.name]).cast(f.dataType))
             elif f.name == "tags":
                 c = F.coalesce(c, F.array().cast(f.dataType))
