@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.errors import INVALID_INPUT, RequestError
 from factloom.functions.text import merge_tags
@@ -76,7 +77,7 @@ def run_extractor(chunks: DataFrame, extractor: Callable[[str], str]) -> DataFra
                     return None
             yield batch.assign(response=[one(t) for t in batch["text"]])
 
-    return chunks.mapInPandas(call, chunks.schema.add("response", "string"))
+    return chunks.mapInPandas(call, T.StructType([*chunks.schema.fields, T.StructField("response", T.StringType())]))
 
 
 def facts_of(response: Column) -> Column:

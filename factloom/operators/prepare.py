@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom import schema as S
 from factloom.errors import EMBEDDING_ERROR, INVALID_INPUT, NOT_FOUND, SECRET_REJECTED  # noqa: F401
@@ -169,7 +170,8 @@ def embed_column(df: DataFrame, provider: EmbeddingProvider, text_col: str = "te
     """
     made = ("embedding", "embedding_provider", "embedding_model", "embed_error")
     kept = df.drop(*made)
-    schema = kept.schema.add("embedding", "array<float>").add("embed_error", "string")
+    schema = T.StructType([*kept.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())),
+                           T.StructField("embed_error", T.StringType())])
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom import schema as S
 from factloom.errors import INVALID_INPUT, RequestError, check_limit
@@ -34,7 +35,7 @@ def nearest(rows: DataFrame, vector: list[float], k: int, key: list[str]) -> Dat
     norm = np.linalg.norm(target)
     target = target / norm if norm > 0 else None
     thin = rows.select(*key, F.col("embedding").alias("vec"))
-    schema = rows.select(*key).schema.add("score", "double")
+    schema = T.StructType([*rows.select(*key).schema.fields, T.StructField("score", T.DoubleType())])
     order = [("score", "descending"), *[(c, "ascending") for c in key]]
 
     def keep_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,18 +37,28 @@ def read_fact_lines(spark: SparkSession, path: str, tags_csv: str | None = None)
     return facts.select(F.monotonically_increasing_id().alias("input_index"), "text", "tags")
 
 
-def read_fact_json(spark: SparkSession, path: str) -> DataFrame:
-    """Items of top-level JSON arrays: `input_index` and the item columns. A bad date fails the read."""
-    rows = spark.read.schema(FACT_JSON).option("multiLine", True).option("mode", "FAILFAST").json(path)
-
+def _typed_items(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Item columns with dates as timestamps; a bad date fails the read."""
     def instant(name: str) -> Column:
         c = F.col(name)
         wrong = F.raise_error(F.concat(F.lit(f"{INVALID_INPUT}: not an ISO 8601 timestamp: "), c))
         return F.when(bad_iso(c), wrong.cast("timestamp")).otherwise(parse_iso(c)).alias(name)
 
     dates = ("expires_at", "last_confirmed_at")
-    return rows.select(F.monotonically_increasing_id().alias("input_index"),
-                       *[instant(f.name) if f.name in dates else F.col(f.name) for f in FACT_JSON.fields])
+    return rows.select(*keep, *[instant(f.name) if f.name in dates else F.col(f.name) for f in FACT_JSON.fields])
+
+
+def read_fact_json(spark: SparkSession, path: str) -> DataFrame:
+    """Items of files that each hold one JSON array: `input_index` and the item columns."""
+    rows = spark.read.schema(FACT_JSON).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return _typed_items(rows.withColumn("input_index", F.monotonically_increasing_id()), ["input_index"])
+
+
+def json_items(df: DataFrame, col: str) -> DataFrame:
+    """As `read_fact_json`, from a column whose texts are JSON arrays; the other columns are kept."""
+    keep = [c for c in df.columns if c != col]
+    items = df.select(*keep, F.inline(F.from_json(F.col(col), T.ArrayType(FACT_JSON))))
+    return _typed_items(items, keep)
 
 
 def read_facts(spark: SparkSession, path: str, fmt: str | None = None, tags_csv: str | None = None) -> DataFrame:
@@ -98,7 +108,7 @@ def missing_headers(names: list[str], required: list[str]) -> list[str]:
 
 
 def delimited_fields(df: DataFrame, no_zero: tuple[str, ...] = (), char_limit: dict[str, int] | None = None,
-                     upper: tuple[str, ...] = (), date_format: str = "M/d/yyyy") -> DataFrame:
+                     upper: tuple[str, ...] = (), date_format: str = "MM/dd/yyyy") -> DataFrame:
     """Every column as the text to write: trimmed, doubles to two places, dates formatted, nulls as ''."""
     out = []
     for f in df.schema.fields:
