@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Every char up to U+0020, which is what trimming removes (Spark's trim removes spaces only).
 _BLANKS = "".join(chr(i) for i in range(33))
@@ -141,7 +142,7 @@ ASCII_SPELLING = {
 }
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def ascii_fold(s: pd.Series) -> pd.Series:
     """ASCII spelling of a text: known signs spelled out, accents dropped, the rest removed (Arrow UDF)."""
     spelling = str.maketrans(ASCII_SPELLING)

@@ -14,35 +14,35 @@ from factloom.plans.registry import read, register
 
 # Items: every document again, some for users who have no rows yet, some with a changed text.
 _USER = "CASE WHEN source IN ('src0', 'src1', 'src2') THEN user_id ELSE 'new' || (id % 2) END"
-_TEXT = "CASE WHEN lang = 'en' THEN ' ' || upper(text) ELSE text || ' (again)' END"
+_TEXT = "CASE WHEN lang = 'en' THEN ' ' || replace(text, ' ', '  ') ELSE text || ' (again)' END"
 _POLICY = "CASE id % 3 WHEN 0 THEN 'ask' WHEN 1 THEN 'skip_if_near' ELSE 'insert' END"
 
-_WALK = MEM.replace("WITH nv", "WITH RECURSIVE nv", 1) + f""", src AS (
+_WALK = MEM.replace("WITH nv", "WITH RECURSIVE nv", 1) + f""", src AS MATERIALIZED (
   SELECT mem.*, lang, source FROM mem JOIN documents ON doc_id + 1 = id),
-item AS (SELECT id - 1 AS i, {_USER} AS user_id, {trim_sql(_TEXT)} AS text, {norm_sql(_TEXT)} AS normalized_text, emb,
+item AS MATERIALIZED (SELECT id - 1 AS i, {_USER} AS user_id, {trim_sql(_TEXT)} AS text, {norm_sql(_TEXT)} AS normalized_text, emb,
   {{policy}} AS policy, expires_at IS NULL OR expires_at > {AS_OF_SQL} AS fresh FROM src),
-ok AS (SELECT * FROM item WHERE text <> '' AND length(text) <= 16000),
-stored AS (SELECT i, min(m.id) AS stored_id FROM ok JOIN mem m USING (user_id, normalized_text)
+ok AS MATERIALIZED (SELECT * FROM item WHERE text <> '' AND length(text) <= 16000),
+stored AS MATERIALIZED (SELECT i, min(m.id) AS stored_id FROM ok JOIN mem m USING (user_id, normalized_text)
   WHERE m.deleted_at IS NULL GROUP BY i),
-mnear AS (SELECT i, m.id, {cosine_sql('ok.emb', 'm.emb')} AS s FROM ok JOIN mem m USING (user_id)
+mnear AS MATERIALIZED (SELECT i, m.id, {cosine_sql('ok.emb', 'm.emb')} AS s FROM ok JOIN mem m USING (user_id)
   WHERE {ACTIVE_SQL} AND policy <> 'insert' AND i NOT IN (SELECT i FROM stored) AND s >= 0.9),
-conf AS (SELECT a.i, list(b.i) AS l FROM ok a JOIN ok b ON a.user_id = b.user_id AND b.i < a.i AND (
+conf AS MATERIALIZED (SELECT a.i, list(b.i) AS l FROM ok a JOIN ok b ON a.user_id = b.user_id AND b.i < a.i AND (
     a.normalized_text = b.normalized_text
     OR (a.policy = 'skip_if_near' AND b.fresh AND {cosine_sql('a.emb', 'b.emb')} >= 0.9)) GROUP BY a.i),
-seq AS (SELECT i, row_number() OVER (ORDER BY i) AS p, coalesce(l, CAST([] AS BIGINT[])) AS l,
+seq AS MATERIALIZED (SELECT i, row_number() OVER (ORDER BY i) AS p, coalesce(l, CAST([] AS BIGINT[])) AS l,
     i IN (SELECT i FROM stored) OR (policy = 'skip_if_near' AND i IN (SELECT i FROM mnear)) AS blocked
   FROM ok LEFT JOIN conf USING (i)),
 walk AS (SELECT CAST(0 AS BIGINT) AS p, CAST([] AS BIGINT[]) AS ins UNION ALL
   SELECT seq.p, CASE WHEN blocked OR list_has_any(l, ins) THEN ins ELSE list_append(ins, i) END
   FROM walk JOIN seq ON seq.p = walk.p + 1),
-won AS (SELECT unnest(ins) AS i FROM (SELECT ins FROM walk ORDER BY p DESC LIMIT 1)),
-new AS (SELECT ok.*, (SELECT max(id) FROM mem) + row_number() OVER (ORDER BY i) AS id FROM ok WHERE i IN (SELECT i FROM won)),
-same AS (SELECT ok.i, coalesce(any_value(stored_id), min(new.id)) AS same_id FROM ok LEFT JOIN stored USING (i)
+won AS MATERIALIZED (SELECT unnest(ins) AS i FROM (SELECT ins FROM walk ORDER BY p DESC LIMIT 1)),
+new AS MATERIALIZED (SELECT ok.*, (SELECT max(id) FROM mem) + row_number() OVER (ORDER BY i) AS id FROM ok WHERE i IN (SELECT i FROM won)),
+same AS MATERIALIZED (SELECT ok.i, coalesce(any_value(stored_id), min(new.id)) AS same_id FROM ok LEFT JOIN stored USING (i)
   LEFT JOIN new ON new.user_id = ok.user_id AND new.normalized_text = ok.normalized_text AND new.i < ok.i GROUP BY ok.i),
-near AS (SELECT i, id, s FROM mnear UNION ALL
+near AS MATERIALIZED (SELECT i, id, s FROM mnear UNION ALL
   SELECT ok.i, new.id, {cosine_sql('ok.emb', 'new.emb')} AS s FROM ok JOIN new ON new.user_id = ok.user_id AND new.i < ok.i
   WHERE new.fresh AND ok.policy <> 'insert' AND s >= 0.9),
-top AS (SELECT i, first(id ORDER BY s DESC, id) AS top_id, least(count(*), 5) AS n,
+top AS MATERIALIZED (SELECT i, first(id ORDER BY s DESC, id) AS top_id, least(count(*), 5) AS n,
     sum(id) FILTER (WHERE r <= 5) AS id_sum FROM (
   SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, id) AS r FROM near) GROUP BY i),
 result AS (SELECT item.i AS input_index, ok.i IS NOT NULL AS ok,
