@@ -81,9 +81,9 @@ def closest_match_join(left: DataFrame, right: DataFrame, left_text: str, right_
         n_right = max(1, -(-cands.count() // BLOCK_ROWS))
         n_left = max(1, -(-texts.count() // BLOCK_ROWS))
         lhs = texts.select("form", F.pmod(F.xxhash64("form"), F.lit(n_left)).alias("lb"),
-                           F.explode(F.sequence(F.lit(0), F.lit(n_right - 1))).cast("long").alias("rb"))
+                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_right - 1).cast("long"))).alias("rb"))
         rhs = cands.select("cand", "ord", F.pmod(F.xxhash64("cand"), F.lit(n_right)).alias("rb"),
-                           F.explode(F.sequence(F.lit(0), F.lit(n_left - 1))).cast("long").alias("lb"))
+                           F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))).alias("lb"))
 
         def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             return _best(a["form"], sorted(zip(b["ord"], b["cand"])))

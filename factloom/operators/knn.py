@@ -122,7 +122,7 @@ def _scan(queries: DataFrame, base: DataFrame, how: _Join) -> DataFrame:
 
 def _pivots(base: DataFrame, how: _Join, wanted: int) -> np.ndarray:
     """Up to `wanted` base vectors, chosen by hash, as unit rows. At most MAX_PIVOTS rows reach the driver."""
-    picked = (base.filter("vec is not null").select("vec", F.xxhash64("vec").alias("h"))
+    picked = (base.filter(F.exists("vec", lambda x: x != 0)).select("vec", F.xxhash64("vec").alias("h"))
               .orderBy("h").limit(wanted).select("vec").toArrow())
     unit, usable = V.unit_rows(picked.column("vec"), how.dim)
     return unit[usable]

@@ -69,7 +69,8 @@ stored AS (SELECT normalized_text, min(id) AS stored_id FROM mem WHERE user_id =
 one AS (SELECT ok.*, stored_id, row_number() OVER (PARTITION BY ok.normalized_text ORDER BY i) AS nth FROM ok LEFT JOIN stored USING (normalized_text)),
 new AS (SELECT normalized_text, (SELECT max(id) FROM mem) + row_number() OVER (ORDER BY i) AS id FROM one WHERE nth = 1 AND stored_id IS NULL)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, coalesce(stored_id, new.id) AS memory_id, NOT (nth = 1 AND stored_id IS NULL) AS already_existed
-FROM one LEFT JOIN new USING (normalized_text)""")
+FROM one LEFT JOIN new USING (normalized_text)
+UNION ALL SELECT doc_id, CAST(pos AS INTEGER), NULL, NULL FROM item WHERE length(text) > 16000""")
 def load_facts(spark, sf_dir):
     """Facts of all documents loaded for one user. Vectors of different texts are unrelated, so only equal texts clash."""
     items = I.as_items(I.extract_facts(_whole(spark, sf_dir), I.split_lines))

@@ -83,7 +83,8 @@ def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", quote:
     """
     reader = (spark.read.option("header", True).option("sep", delimiter).option("quote", quote)
               .option("escape", quote).option("multiLine", True).option("emptyValue", "")
-              .option("inferSchema", False).option("enforceSchema", True))
+              .option("inferSchema", False).option("enforceSchema", True)
+              .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True))
     if field_count is not None:
         reader = reader.option("mode", "FAILFAST")
     raw = reader.csv(path)
