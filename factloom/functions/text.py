@@ -24,15 +24,15 @@ TAG_SYNONYMS = {
     "philosophy": ["religion", "beliefs", "values"],
 }
 
-# Our own shapes of well-known secrets: label and pattern.
+# Our own shapes of well-known secrets: label, what every such secret contains, pattern.
 SECRET_SHAPES = [
-    ("OpenAI key", r"\bsk-(ant-|proj-)?[A-Za-z0-9_-]{20,}"),
-    ("GitHub token", r"\b(gh[ps]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,})"),
-    ("AWS access key id", r"\b(AKIA|ASIA)[0-9A-Z]{16}\b"),
-    ("Slack token", r"\bxox[a-z]-[A-Za-z0-9-]{10,}"),
-    ("Google API key", r"\bAIza[0-9A-Za-z_-]{35}"),
-    ("JWT", r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    ("PEM private key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("OpenAI key", ["sk-"], r"\bsk-(ant-|proj-)?[A-Za-z0-9_-]{20,}"),
+    ("GitHub token", ["ghp_", "ghs_", "github_pat_"], r"\b(gh[ps]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,})"),
+    ("AWS access key id", ["AKIA", "ASIA"], r"\b(AKIA|ASIA)[0-9A-Z]{16}\b"),
+    ("Slack token", ["xox"], r"\bxox[a-z]-[A-Za-z0-9-]{10,}"),
+    ("Google API key", ["AIza"], r"\bAIza[0-9A-Za-z_-]{35}"),
+    ("JWT", ["eyJ"], r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    ("PEM private key", ["PRIVATE KEY-----"], r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 ]
 
 
@@ -72,10 +72,13 @@ def split_tags(csv: str | None) -> list[str]:
 
 
 def secret_label(c: Column) -> Column:
-    """The kind of secret the text holds, or null."""
+    """The kind of secret the text holds, or null. A plain search decides whether a pattern is tried at all."""
     out = F.lit(None).cast("string")
-    for label, shape in reversed(SECRET_SHAPES):
-        out = F.when(c.rlike(shape), F.lit(label)).otherwise(out)
+    for label, marks, shape in reversed(SECRET_SHAPES):
+        marked = F.lit(False)
+        for mark in marks:
+            marked |= F.contains(c, F.lit(mark))
+        out = F.when(marked & c.rlike(shape), F.lit(label)).otherwise(out)
     return out
 
 

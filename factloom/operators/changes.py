@@ -58,11 +58,11 @@ def update_memory_batch(memories: DataFrame, items: DataFrame, as_of, provider:
     the user holds, or that an earlier item asks for, is refused; a text given up inside the
     batch is free from the next batch on.
     """
-    items = P.complete(items, _UPDATE_TYPES)
+    items = P.with_clean_text(P.complete(items, _UPDATE_TYPES))
     has_text, has_tags = F.col("text").isNotNull(), F.col("tags").isNotNull()
     rules = [(F.col("id").isNull(), P._error(INVALID_INPUT, _id_text("items[", F.col("input_index"),
                                                                      "].id is required")))]
-    rules += [(has_text & F.coalesce(broken, F.lit(False)), e) for broken, e in P.text_rules(F.col("text"))]
+    rules += [(has_text & F.coalesce(broken, F.lit(False)), e) for broken, e in P.text_rules()]
     rules += P.tag_rules(F.col("tags"))
     rules += P.expiry_rules(F.col("expires_at"), as_of) + P.confirmation_rules(F.col("last_confirmed_at"), as_of)
     nothing = F.lit(True)
@@ -74,8 +74,8 @@ def update_memory_batch(memories: DataFrame, items: DataFrame, as_of, provider:
     changed = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in _FIELDS]))
     own_vector = ["embedding"] if "embedding" in items.columns else []
     checked = items.select(
-        "input_index", "id", X.clean_text(F.col("text")).alias("text"),
-        X.normalize_text(F.col("text")).alias("normalized_text"),
+        "input_index", "id", F.col("_text").alias("text"),
+        X.normalize_text(F.col("_text")).alias("normalized_text"),
         F.when(has_tags, X.normalize_tags(F.col("tags"))).alias("tags"), "importance", "expires_at",
         "last_confirmed_at", *own_vector, changed.alias("changed_fields"), P.first_error(rules).alias("error"))
 

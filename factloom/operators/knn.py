@@ -186,9 +186,9 @@ def _visit(queries, placed, stats, shared, how: _Join, block_rows: int, own_only
     plan = stats.groupBy("part").agg(F.first("width").alias("width"),
                                      F.collect_list(F.struct("cell", "n", "lo", "hi")).alias("cells"))
     # Routing once without the vectors going on, to learn how many queries each cell gets.
-    routed = _route(join_unique(queries, plan, ["part"], "query_id").filter("cells is not null"),
-                    shared, how, own_only)
-    load = routed.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("nq"))
+    planned = join_unique(queries, plan, ["part"], "query_id").filter("cells is not null")
+    routed = _route(planned, shared, how, own_only)
+    load = _route(planned, shared, how, own_only, only_cells=True).groupBy("part", "cell").agg(F.count(F.lit(1)).alias("nq"))
     grid = (stats.join(load, ["part", "cell"])
             .withColumn("nb", F.ceil(F.col("n") / block_rows).cast("int"))
             .withColumn("nqb", F.ceil(F.col("nq") / block_rows).cast("int")))
@@ -221,10 +221,10 @@ def _visit(queries, placed, stats, shared, how: _Join, block_rows: int, own_only
     return q_rows.groupBy(*keys).cogroup(b_rows.groupBy(*keys)).applyInArrow(score, _PAIRS)
 
 
-def _route(queries: DataFrame, shared, how: _Join, own_only: bool) -> DataFrame:
-    """One row per query and cell it must visit."""
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in queries.schema.fields
-              if f.name not in ("cells", "width")]
+def _route(queries: DataFrame, shared, how: _Join, own_only: bool, only_cells: bool = False) -> DataFrame:
+    """One row per query and cell it must visit; with `only_cells` just part and cell."""
+    kept_names = ["part"] if only_cells else [c for c in queries.columns if c not in ("cells", "width")]
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in queries.select(kept_names).schema.fields]
     schema = ", ".join(fields + ["cell int"])
 
     def route(batches):
@@ -255,7 +255,7 @@ def _route(queries: DataFrame, shared, how: _Join, own_only: bool) -> DataFrame:
                 go &= cos[row, mine] - cos[row, cell] <= chord * gap[mine, cell] + _SLACK
             row, cell = row[go], cell[go]
             if len(row):
-                kept = batch.drop_columns(["cells", "width"]).take(pa.array(row))
+                kept = batch.select(kept_names).take(pa.array(row))
                 yield kept.append_column(pa.field("cell", pa.int32()), pa.array(cell, pa.int32()))
 
     return queries.mapInArrow(route, schema)

@@ -29,30 +29,34 @@ def near_duplicate_pairs(memories: DataFrame, as_of, threshold: float = S.NEAR_D
     rows = (memories.filter(active(as_of) & F.col("embedding").isNotNull()
                             & F.exists("embedding", lambda x: x != 0))
             .select("id", "user_id", F.col("embedding").alias("vec")))
-    same = ["user_id", "vec"]
+    # Two 64-bit hashes stand for the vector, so grouping copies moves no vectors.
+    thin = rows.select("id", "user_id", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit("copy"), "vec").alias("h2"))
+    same = ["user_id", "h1", "h2"]
     # A group needs only its k+1 lowest ids: no row can have more partners in it.
     lowest = W.partitionBy(*same).orderBy("id")
-    heads = (rows.withColumn("r", F.row_number().over(lowest)).filter(F.col("r") <= k + 1)
+    heads = (thin.withColumn("r", F.row_number().over(lowest)).filter(F.col("r") <= k + 1)
              .groupBy(*same).agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    copies = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"))
+    copies = thin.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"))
     groups = cut_lineage(heads.join(copies, same))
 
-    q = groups.select(F.col("rep").alias("query_id"), F.col("user_id").alias("part"), "vec",
-                      F.lit(float(threshold)).alias("floor"))
-    base = groups.select(F.col("rep").alias("id"), F.col("user_id").alias("part"), "vec")
+    reps = rows.join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
+    reps = cut_lineage(reps)
+    q = reps.select(F.col("id").alias("query_id"), F.col("user_id").alias("part"), "vec",
+                    F.lit(float(threshold)).alias("floor"))
+    base = reps.select("id", F.col("user_id").alias("part"), "vec")
     near = knn_join(q, base, k, exclude_self=True, strategy=strategy, block_rows=block_rows)
 
     own = groups.filter(F.col("n") > 1).select(
         F.col("rep").alias("query_id"), F.lit(1.0).cast("double").alias("score"), F.explode("ids").alias("id"))
-    others = (near.withColumnRenamed("id", "rep").join(groups.select("rep", "ids"), "rep")
+    others = (join_unique(near.withColumnRenamed("id", "rep"), groups.select("rep", "ids"), ["rep"], "query_id")
               .select("query_id", "score", F.explode("ids").alias("id")))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     short_list = (own.unionByName(others).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
                   .groupBy(F.col("query_id").alias("rep"))
                   .agg(F.sort_array(F.collect_list(F.struct("r", "id", "score"))).alias("partners")))
-    listed = groups.join(short_list, "rep").select("user_id", "vec", "n", "partners")
+    listed = cut_lineage(groups.join(short_list, "rep").select(*same, "n", "partners"))
 
-    members = join_unique(rows, listed, same, "id", weight="n").filter("partners is not null")
+    members = join_unique(thin, listed, same, "id", weight="n").filter("partners is not null")
     partners = F.slice(F.filter("partners", lambda p: p["id"] != F.col("id")), 1, k)
     pairs = members.select("user_id", "id", F.explode(partners).alias("p"))
     return (pairs.groupBy("user_id", F.least("id", "p.id").alias("id_a"), F.greatest("id", "p.id").alias("id_b"))

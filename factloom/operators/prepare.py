@@ -37,14 +37,19 @@ def first_error(rules: list[tuple[Column, Column]]) -> Column:
     return out
 
 
-def text_rules(c: Column) -> list[tuple[Column, Column]]:
-    t = X.clean_text(c)
-    n = F.char_length(t)
+def with_clean_text(df: DataFrame) -> DataFrame:
+    """`df` with `_text` (trimmed) and `_secret`, each worked out once per row."""
+    return df.withColumn("_text", X.clean_text(F.col("text"))).withColumn("_secret", X.secret_label(F.col("_text")))
+
+
+def text_rules() -> list[tuple[Column, Column]]:
+    """Rules on the columns of `with_clean_text`."""
+    n = F.char_length("_text")
     return [
-        (F.coalesce(t, F.lit("")) == "", _error(INVALID_INPUT, "The text field is required.")),
+        (F.coalesce("_text", F.lit("")) == "", _error(INVALID_INPUT, "The text field is required.")),
         (n > S.MAX_TEXT_CHARS, _error(INVALID_INPUT, F.concat(
             F.lit("Text is too long ("), n.cast("string"), F.lit(f" > {S.MAX_TEXT_CHARS} chars).")))),
-        (X.secret_label(t).isNotNull(), _error(SECRET_REJECTED, X.secret_label(t))),
+        (F.col("_secret").isNotNull(), _error(SECRET_REJECTED, F.col("_secret"))),
     ]
 
 
@@ -95,14 +100,15 @@ def complete(df: DataFrame, types: dict[str, str]) -> DataFrame:
 def validate_items(items: DataFrame, as_of, default_policy: str | None = None,
                    default_provider: str | None = None) -> DataFrame:
     """Remember items made ready to store, with `error` (code, message) of the first broken rule or null."""
-    items = complete(items, ITEM_TYPES)
+    rest = [c for c in items.columns if c not in ITEM_TYPES]
+    items = with_clean_text(complete(items, ITEM_TYPES))
     mode, session = blank_to_null(F.col("capture_mode")), blank_to_null(F.col("session_id"))
     fallback = (default_policy or "").strip() or "ask"
     own_policy = F.when(F.col("dedup_policy") != "", F.col("dedup_policy"))
     policy = F.when(own_policy.isNull(), F.lit(fallback)).otherwise(
         F.coalesce(blank_to_null(own_policy), F.lit("ask")))
     rules = (
-        text_rules(F.col("text")) + tag_rules(F.col("tags")) + importance_rules(F.col("importance"))
+        text_rules() + tag_rules(F.col("tags")) + importance_rules(F.col("importance"))
         + [(~mode.isin(*CAPTURE_MODES),
             _error(INVALID_INPUT, "capture_mode must be 'explicit' or 'inferred'.")),
            (F.char_length(session) > S.MAX_SESSION_ID_CHARS,
@@ -114,11 +120,10 @@ def validate_items(items: DataFrame, as_of, default_policy: str | None = None,
                 F.lit(")."))))]
         + expiry_rules(F.col("expires_at"), as_of) + confirmation_rules(F.col("last_confirmed_at"), as_of))
     provider = F.when(F.col("source_provider") != "", F.col("source_provider"))
-    rest = [c for c in items.columns if c not in ITEM_TYPES]
     return items.select(
         "input_index",
-        X.clean_text(F.col("text")).alias("text"),
-        X.normalize_text(F.col("text")).alias("normalized_text"),
+        F.col("_text").alias("text"),
+        X.normalize_text(F.col("_text")).alias("normalized_text"),
         X.normalize_tags(F.col("tags")).alias("tags"),
         F.coalesce(provider, F.lit(default_provider)).alias("source_provider"),
         F.coalesce("importance", F.lit(S.DEFAULTS["importance"])).alias("importance"),

@@ -18,6 +18,8 @@ from factloom.functions.text import normalize_tags
 from factloom.functions.vectors import SCORE_DIGITS, unit_rows
 from factloom.operators.knn import knn_join
 from factloom.operators.predicates import active, tags_overlap, tombstone
+from factloom.operators.skew import broadcast_if_small
+from factloom.session import cut_lineage
 
 
 
@@ -106,12 +108,13 @@ def _fill_unscored(hits: DataFrame, q: DataFrame, pool: DataFrame, k: int, tagge
 
     Only the k lowest ids per user (and tag) can be needed, so no more are kept.
     """
-    loose = pool.filter(_unusable())
-    if loose.isEmpty():
-        return hits
+    hits = cut_lineage(hits)
     have = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
     short = (q.filter("floor is null").join(have, "query_id", "left").fillna(0, ["have"])
              .filter(F.col("have") < k))
+    if short.isEmpty():         # the usual case: the table is not read again
+        return hits
+    loose = pool.filter(_unusable())
     loose = loose.select(F.col("user_id").alias("part"), "id", "tags")
     none = F.lit(None).cast("string")
     if tagged:
@@ -181,8 +184,8 @@ def build_context_prompt(memories: DataFrame, prompts: DataFrame, as_of, limit:
     if max_chars is not None and max_chars <= 0:
         raise RequestError(INVALID_INPUT, f"max_chars must be > 0 (got {max_chars}).")
     budget = F.col("max_chars") if "max_chars" in prompts.columns else F.lit(max_chars)
-    hits = recall_batch(memories, prompts, as_of, limit)
-    facts = hits.join(memories.select("id", "text"), "id").filter("text is not null")
+    hits = broadcast_if_small(recall_batch(memories, prompts, as_of, limit), 100_000)      # four numbers a row
+    facts = memories.select("id", "text").join(hits, "id").filter("text is not null")
     facts = facts.join(prompts.select("query_id", budget.cast("int").alias("_budget")), "query_id")
     kept = within_budget(facts, F.col("_budget")).groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("facts"))      # at most 50 per query

@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1000    # a key with more than 1/1000 of the rows is hot, so there are fewer than 1000 of them
+HOT_SHARE = 1000        # a key with more than 1/1000 of the rows is hot, so there are fewer than 1000 of them
+SMALL_ROWS = 10_000     # a counted side of at most this many rows is broadcast
 
 
 def join_unique(left: DataFrame, right: DataFrame, on: list[str], row_key: str, weight: str | None = None) -> DataFrame:
     """`left` with the columns of `right`, where `on` is unique in `right`; unmatched left rows keep nulls.
 
-    Hot keys of `left` are joined by broadcast: fewer than HOT_SHARE right rows can be
-    hot, so that side has a fixed bound. The rest is an ordinary shuffled join, where a
-    row that is already served gets a key of its own (from `row_key`, a long column) that
-    matches nothing, so no partition collects the hot rows. `weight` names a column of
-    `right` that already holds the number of left rows per key.
+    A `right` counted to be small is broadcast. Otherwise only the hot keys of `left` are
+    joined by broadcast: fewer than HOT_SHARE right rows can be hot, so that side has a
+    fixed bound. The rest is an ordinary shuffled join, where a row that is already served
+    gets a key of its own (from `row_key`, a long column) that matches nothing, so no
+    partition collects the hot rows. `weight` names a column of `right` that already holds
+    the number of left rows per key.
     """
     payload = [c for c in right.columns if c not in on]
+    if right.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return left.join(F.broadcast(right), on, "left").select(*left.columns, *payload)
     if weight is None:
         weight = "_weight"
         counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias(weight))
@@ -54,7 +58,7 @@ def dense_position(df: DataFrame, order: str, out: str, start=None) -> DataFrame
         "_bucket", "_inside", "_before")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """`df` with a broadcast hint when it is counted to have at most `max_rows` rows, else as it is.
 
     For change sets joined to the whole table: a small one spares the shuffle of the table,

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from factloom import schema as S
 from factloom.functions.text import normalize_text
 from factloom.plans.registry import read
+from factloom.session import scratch_path
+from factloom.sources.tables import load_memories, save_memories
 
 AS_OF = datetime(2024, 6, 1)
 AS_OF_SQL = "TIMESTAMP '2024-06-01'"
@@ -65,6 +67,13 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.as_memories(rows)
 
 
+def stored_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table written to the shared folder and read back, for jobs that read it several times."""
+    path = scratch_path(spark, "memories")
+    save_memories(memories(spark, sf_dir), path)
+    return load_memories(spark, path)
+
+
 TRIM_SQL = r"regexp_replace({0}, '^[\x01-\x20]+|[\x01-\x20]+$', '', 'g')"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom.operators import changes as E
 from factloom.operators import maintain, prepare, remember, reports
 from factloom.plans.fixture import (ACTIVE_SQL, AS_OF, AS_OF_SQL, MEM, cosine_sql, joined, memories, norm_sql, stamp,
-                                    stamp_sql, trim_sql)
+                                    stamp_sql, stored_memories, trim_sql)
 from factloom.plans.registry import read, register
 
 # ---- remember -----------------------------------------------------------------------------
@@ -57,16 +57,17 @@ result AS (SELECT item.i AS input_index, ok.i IS NOT NULL AS ok,
 """
 
 
-def _items(spark, sf_dir, policy):
+def _items(spark, sf_dir, policy, table):
     docs = read(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("id"), "lang", "source")
-    src = memories(spark, sf_dir).join(docs, "id")
+    src = table.join(docs, "id")
     return src.select(
         (F.col("id") - 1).alias("input_index"), F.expr(_USER).alias("user_id"), F.expr(_TEXT).alias("text"),
         "embedding", "tags", "expires_at", F.expr(policy).alias("dedup_policy"))
 
 
 def _remembered(spark, sf_dir, policy, **options):
-    return remember.remember_batch(memories(spark, sf_dir), _items(spark, sf_dir, policy), AS_OF, **options)
+    table = stored_memories(spark, sf_dir)
+    return remember.remember_batch(table, _items(spark, sf_dir, policy, table), AS_OF, **options)
 
 
 @register(_WALK.replace("{policy}", _POLICY) + "SELECT * FROM result")
@@ -83,7 +84,7 @@ def remember_batch(spark, sf_dir):
 def remember_batch_skip_near(spark, sf_dir):
     """The inserted rows when every item is skipped if near."""
     new = _remembered(spark, sf_dir, "'skip_if_near'").inserted
-    items = _items(spark, sf_dir, "'skip_if_near'").select("input_index", "user_id", F.md5(F.btrim(
+    items = _items(spark, sf_dir, "'skip_if_near'", memories(spark, sf_dir)).select("input_index", "user_id", F.md5(F.btrim(
         "text", F.lit("".join(map(chr, range(33)))))).alias("text_md5"))
     new = new.select("id", "user_id", F.md5("text").alias("text_md5"), F.md5("normalized_text").alias("key_md5"))
     first = items.groupBy("user_id", "text_md5").agg(F.min("input_index").alias("input_index"))
@@ -102,7 +103,7 @@ SELECT coalesce(hit.id, (SELECT max(id) + 1 FROM mem)) AS memory_id, hit.id IS N
 def remember_one(spark, sf_dir):
     """The first turn of the conversations, remembered on its own."""
     text = read(spark, sf_dir, "conversations").orderBy("conv_id", "turn").first().text
-    done = remember.remember(memories(spark, sf_dir), AS_OF, prepare.MockEmbedding(64), text, user_id="user0")
+    done = remember.remember(stored_memories(spark, sf_dir), AS_OF, prepare.MockEmbedding(64), text, user_id="user0")
     return done.results.select("memory_id", "already_existed")
 
 
@@ -143,7 +144,7 @@ def _updates(spark, sf_dir):
 
 
 def _updated(spark, sf_dir, dry_run=False):
-    return E.update_memory_batch(memories(spark, sf_dir), _updates(spark, sf_dir), AS_OF, prepare.MockEmbedding(64), dry_run)
+    return E.update_memory_batch(stored_memories(spark, sf_dir), _updates(spark, sf_dir), AS_OF, prepare.MockEmbedding(64), dry_run)
 
 
 @register(_UPDATED + f""", last AS (SELECT id, last(text ORDER BY input_index) FILTER (WHERE text IS NOT NULL) AS text,
@@ -181,7 +182,7 @@ SELECT mem.id, CASE WHEN mem.id = one.id THEN 'software|x' ELSE array_to_string(
   strftime(CASE WHEN mem.id = one.id THEN TIMESTAMP '2025-01-01' ELSE expires_at END, '%Y-%m-%d %H:%M:%S') AS expires_at
 FROM mem, one""")
 def update_memory(spark, sf_dir):
-    m = memories(spark, sf_dir)
+    m = stored_memories(spark, sf_dir)
     first = m.filter("deleted_at is null").agg(F.min("id").alias("id")).first().id
     done = E.update_memory(m, first, AS_OF, tags=["Code", "x"], expires_at="2025-01-01")
     return done.memories.select("id", joined("tags"), stamp("expires_at"))
@@ -195,7 +196,7 @@ SELECT id, strftime(CASE WHEN id IN (SELECT id FROM hit) AND deleted_at IS NULL
 def confirm(spark, sf_dir):
     ids = read(spark, sf_dir, "labels").filter("quality = 1").select(
         F.col("doc_id").alias("input_index"), (F.col("doc_id") + 1).alias("id"))
-    return E.confirm(memories(spark, sf_dir), ids, AS_OF).memories.select("id", stamp("last_confirmed_at"))
+    return E.confirm(stored_memories(spark, sf_dir), ids, AS_OF).memories.select("id", stamp("last_confirmed_at"))
 
 
 def _forget_requests(spark, sf_dir):
@@ -210,7 +211,7 @@ def _forget_requests(spark, sf_dir):
 SELECT mem.id, strftime(CASE WHEN req.id IS NOT NULL THEN coalesce(deleted_at, {AS_OF_SQL}) ELSE deleted_at END,
   '%Y-%m-%d %H:%M:%S') AS deleted_at, reason AS forget_reason, rep AS replaced_by_id FROM mem LEFT JOIN req USING (id)""")
 def forget(spark, sf_dir):
-    done = E.forget(memories(spark, sf_dir), _forget_requests(spark, sf_dir), AS_OF)
+    done = E.forget(stored_memories(spark, sf_dir), _forget_requests(spark, sf_dir), AS_OF)
     return done.memories.select("id", stamp("deleted_at"), "forget_reason", "replaced_by_id")
 
 
@@ -218,14 +219,14 @@ def forget(spark, sf_dir):
   CASE WHEN mem.id IS NOT NULL THEN deleted_at IS NOT NULL END AS already_deleted,
   CASE WHEN mem.id IS NULL THEN 'NOT_FOUND' END AS error_code FROM labels LEFT JOIN mem ON mem.id = doc_id * 2 + 1""")
 def forget_results(spark, sf_dir):
-    done = E.forget(memories(spark, sf_dir), _forget_requests(spark, sf_dir), AS_OF)
+    done = E.forget(stored_memories(spark, sf_dir), _forget_requests(spark, sf_dir), AS_OF)
     return done.results.select("input_index", "id", "ok", "already_deleted", "error_code")
 
 
 @register(MEM + "SELECT id, md5(text) AS text_md5 FROM mem WHERE id NOT IN (SELECT doc_id * 2 + 1 FROM labels)")
 def forget_hard(spark, sf_dir):
     requests = _forget_requests(spark, sf_dir).select("input_index", "id")
-    done = E.forget(memories(spark, sf_dir), requests, AS_OF, hard=True)
+    done = E.forget(stored_memories(spark, sf_dir), requests, AS_OF, hard=True)
     return done.memories.select("id", F.md5("text").alias("text_md5"))
 
 
@@ -248,7 +249,7 @@ _FORGET_SQL = MEM + f""", {_FORGET}, out AS (
 
 @register(_FORGET_SQL + " SELECT * FROM out")
 def forget_batch(spark, sf_dir):
-    done = E.forget_batch(memories(spark, sf_dir), _forget_ids(spark, sf_dir), AS_OF, " outdated ")
+    done = E.forget_batch(stored_memories(spark, sf_dir), _forget_ids(spark, sf_dir), AS_OF, " outdated ")
     return done.results.select("input_index", "id", "ok", "already_deleted", "error_code")
 
 
@@ -256,14 +257,14 @@ def forget_batch(spark, sf_dir):
   ELSE deleted_at END, '%Y-%m-%d %H:%M:%S') AS deleted_at,
   CASE WHEN id IN (SELECT id FROM req) THEN 'outdated' END AS forget_reason FROM mem""")
 def forget_batch_table(spark, sf_dir):
-    done = E.forget_batch(memories(spark, sf_dir), _forget_ids(spark, sf_dir), AS_OF, " outdated ")
+    done = E.forget_batch(stored_memories(spark, sf_dir), _forget_ids(spark, sf_dir), AS_OF, " outdated ")
     return done.memories.select("id", stamp("deleted_at"), "forget_reason")
 
 
 @register(_FORGET_SQL + """ SELECT count(*) AS total, count(*) FILTER (WHERE ok AND NOT already_deleted) AS deleted,
   count(*) FILTER (WHERE ok AND already_deleted) AS already_deleted, count(*) FILTER (WHERE NOT ok) AS errors FROM out""")
 def forget_summary(spark, sf_dir):
-    done = E.forget_batch(memories(spark, sf_dir), _forget_ids(spark, sf_dir), AS_OF, "outdated")
+    done = E.forget_batch(stored_memories(spark, sf_dir), _forget_ids(spark, sf_dir), AS_OF, "outdated")
     return reports.forget_summary(done.results)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom.functions.text import merge_tags as add_tags
 from factloom.operators import ingest as I
 from factloom.operators.prepare import MockEmbedding, embed_column
-from factloom.plans.fixture import AS_OF, MEM, memories, norm_sql, trim_sql
+from factloom.plans.fixture import AS_OF, MEM, memories, norm_sql, stored_memories, trim_sql
 from factloom.plans.registry import read, register
 from factloom.session import scratch_path
 from factloom.sources.tables import save_memories
@@ -74,7 +74,7 @@ UNION ALL SELECT doc_id, CAST(pos AS INTEGER), NULL, NULL FROM item WHERE length
 def load_facts(spark, sf_dir):
     """Facts of all documents loaded for one user. Vectors of different texts are unrelated, so only equal texts clash."""
     items = I.as_items(I.extract_facts(_whole(spark, sf_dir), I.split_lines))
-    done = I.remember_batch(memories(spark, sf_dir), items, AS_OF, MockEmbedding(64), user_id="user0",
+    done = I.remember_batch(stored_memories(spark, sf_dir), items, AS_OF, MockEmbedding(64), user_id="user0",
                             default_policy="skip_if_near")
     return done.results.join(items.select("input_index", "doc_id", "pos"), "input_index").select(
         "doc_id", "pos", "memory_id", "already_existed")

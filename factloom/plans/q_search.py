@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from factloom.operators import chunks as K
 from factloom.operators import closest, neardup
 from factloom.operators import search as Q
-from factloom.plans.fixture import ACTIVE_SQL, AS_OF, MEM, cosine_sql, memories
+from factloom.plans.fixture import ACTIVE_SQL, AS_OF, MEM, cosine_sql, memories, stored_memories
 from factloom.plans.registry import read, register
 
 
@@ -111,7 +111,7 @@ pairs AS (SELECT DISTINCT user_id, least(a, b) AS id_a, greatest(a, b) AS id_b,
 
 @register(_pairs_sql(0.8) + " SELECT user_id, id_a, id_b, round(s, 4) AS similarity FROM pairs")
 def near_duplicate_pairs(spark, sf_dir):
-    pairs = neardup.near_duplicate_pairs(memories(spark, sf_dir), AS_OF, 0.8)
+    pairs = neardup.near_duplicate_pairs(stored_memories(spark, sf_dir), AS_OF, 0.8)
     return pairs.select("user_id", "id_a", "id_b", F.round("similarity", 4).alias("similarity"))
 
 
@@ -125,7 +125,7 @@ kept AS (SELECT *, row_number() OVER (ORDER BY max_similarity DESC, cluster_id)
 SELECT cluster_id, CAST(r AS INTEGER) AS rank, round(max_similarity, 4) AS max_similarity, pair_count,
   (SELECT count(*) FROM pairs) AS total_pairs, label.id FROM kept JOIN label ON label.label = cluster_id WHERE r <= 50""")
 def near_duplicate_clusters(spark, sf_dir):
-    c = neardup.near_duplicate_clusters(memories(spark, sf_dir), AS_OF)
+    c = neardup.near_duplicate_clusters(stored_memories(spark, sf_dir), AS_OF)
     return c.select("cluster_id", "rank", F.round("max_similarity", 4).alias("max_similarity"), "pair_count",
                     "total_pairs", "id")
 
@@ -152,7 +152,7 @@ def build_context_prompt(spark, sf_dir):
         F.concat(F.lit("user"), (F.col("conv_id") % 3).cast("string")).alias("user_id"),
         F.col("text").alias("user_prompt"), "embedding",
         F.when(F.col("turn") % 3 == 0, 1500).when(F.col("turn") % 3 == 1, 300).alias("max_chars"))
-    out = Q.build_context_prompt(memories(spark, sf_dir), prompts, AS_OF)
+    out = Q.build_context_prompt(stored_memories(spark, sf_dir), prompts, AS_OF)
     return out.select("query_id", F.md5("prompt").alias("prompt_md5"))
 
 
