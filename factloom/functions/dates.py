@@ -52,6 +52,11 @@ def julian_day(d: Column) -> Column:
     return (F.datediff(d, F.lit("0001-01-01").cast("date")) + 1).cast("long")
 
 
+def from_julian_day(n: Column) -> Column:
+    """The date of a day number; numbers below 1 are null."""
+    return F.when(n > 0, F.date_add(F.lit("0001-01-01").cast("date"), (n - 1).cast("int")))
+
+
 def date_features(d: Column, other: Column, days: int = 0, months: int = 0, years: int = 0) -> dict[str, Column]:
     """Shifted dates, distance to `other`, names, day number and the usual formats."""
     return {

@@ -41,7 +41,8 @@ def _rewrite(memories: DataFrame, changes: DataFrame, new_values: dict[str, Colu
     broadcast, so the table is rewritten in place without a shuffle.
     """
     hit = F.col("c.id").isNotNull()
-    joined = memories.alias("m").join(broadcast_if_small(changes).alias("c"), F.col("m.id") == F.col("c.id"), "left")
+    most = 2_000 if "embedding" in changes.columns else 10_000      # rows with a text and a vector are larger
+    joined = memories.alias("m").join(broadcast_if_small(changes, most).alias("c"), F.col("m.id") == F.col("c.id"), "left")
     return joined.select(*[
         (F.when(hit, new_values[n]).otherwise(F.col(f"m.{n}")) if n in new_values else F.col(f"m.{n}")).alias(n)
         for n in memories.columns])

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.operators.skew import join_unique
+
 HELD_CANDIDATES = 20_000     # most candidates handed to every task
+HELD_BYTES = 16 << 20
 BLOCK_ROWS = 2_000
 
 
@@ -65,9 +68,9 @@ def closest_match_join(left: DataFrame, right: DataFrame, left_text: str, right_
              .groupBy(matching_form(F.col(right_text)).alias("cand"))
              .agg(F.min(F.struct(F.col(order).cast("long").alias("ord"), F.col(right_text).alias("match"))).alias("m"))
              .select("cand", "m.ord", "m.match"))
-    n = cands.limit(held + 1).count()
+    size = cands.limit(held + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("cand")).alias("bytes")).first()
     schema = "form string, ord long, similarity double"
-    if n <= held:
+    if size.n <= held and (size.bytes or 0) <= HELD_BYTES:
         table = cands.select("cand", "ord").toArrow()
         shared = left.sparkSession.sparkContext.broadcast(
             sorted(zip(table.column("ord").to_pylist(), table.column("cand").to_pylist())))
@@ -90,10 +93,11 @@ def closest_match_join(left: DataFrame, right: DataFrame, left_text: str, right_
 
         scored = lhs.groupBy("lb", "rb").cogroup(rhs.groupBy("lb", "rb")).applyInPandas(block, schema)
     best = W.partitionBy("form").orderBy(F.desc("similarity"), "ord")
-    won = (scored.withColumn("r", F.row_number().over(best)).filter("r = 1")
-           .join(cands.select("ord", "match"), "ord").select("form", "match", "similarity"))
-    keyed = left.withColumn("_form", matching_form(F.col(left_text)))
-    return keyed.join(won, keyed["_form"] == won["form"], "left").drop("_form", "form")
+    won = scored.withColumn("r", F.row_number().over(best)).filter("r = 1").withColumn("at", F.abs(F.xxhash64("form")))
+    won = join_unique(won, cands.select("ord", "match"), ["ord"], "at").select("form", "match", "similarity")
+    # A text may be that of very many rows, a candidate the match of very many texts.
+    keyed = left.withColumn("form", matching_form(F.col(left_text))).withColumn("_at", F.monotonically_increasing_id())
+    return join_unique(keyed, won, ["form"], "_at").drop("form", "_at")
 
 
 def _best(forms: pd.Series, cands: list[tuple[int, str]]) -> pd.DataFrame:

@@ -186,7 +186,7 @@ def _visit(queries, placed, stats, shared, how: _Join, block_rows: int, own_only
     plan = stats.groupBy("part").agg(F.first("width").alias("width"),
                                      F.collect_list(F.struct("cell", "n", "lo", "hi")).alias("cells"))
     # Routing once without the vectors going on, to learn how many queries each cell gets.
-    planned = join_unique(queries, plan, ["part"], "query_id").filter("cells is not null")
+    planned = join_unique(queries, plan, ["part"], "query_id", small=500).filter("cells is not null")
     routed = _route(planned, shared, how, own_only)
     load = _route(planned, shared, how, own_only, only_cells=True).groupBy("part", "cell").agg(F.count(F.lit(1)).alias("nq"))
     grid = (stats.join(load, ["part", "cell"])

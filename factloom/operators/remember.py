@@ -132,13 +132,14 @@ def _may_insert(unblocked: DataFrame) -> DataFrame:
     """
     skips = F.col("dedup_policy") == "skip_if_near"
     firm = unblocked.groupBy(*_KEY).agg(F.min(F.when(~skips, F.col("input_index"))).alias("firm"))
-    thin = unblocked.select("input_index", *_KEY, "embedding", "dedup_policy", "fresh")
+    copy = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit("copy"), "embedding").alias("h2")]
+    thin = unblocked.select("input_index", *_KEY, *copy, "dedup_policy", "fresh")
     thin = join_unique(thin, firm, _KEY, "input_index")
     thin = thin.filter(F.when(skips, F.col("firm").isNull() | (F.col("input_index") < F.col("firm")))
-                       .otherwise(F.col("input_index") == F.col("firm"))).drop("firm")
-    first = thin.groupBy(*_KEY, "embedding", skips.alias("skips")).agg(
-        F.min_by(F.struct("input_index", "dedup_policy", "fresh"), "input_index").alias("x"))
-    return first.select("x.*", *_KEY, "embedding")
+                       .otherwise(F.col("input_index") == F.col("firm")))
+    first = thin.groupBy(*_KEY, "h1", "h2", skips.alias("skips")).agg(F.min("input_index").alias("input_index"))
+    return (unblocked.select("input_index", *_KEY, "embedding", "dedup_policy", "fresh")
+            .join(first.select("input_index"), "input_index", "left_semi"))
 
 
 def _first_come(items: DataFrame, strategy: str) -> DataFrame:

@@ -18,7 +18,7 @@ from factloom.functions.text import normalize_tags
 from factloom.functions.vectors import SCORE_DIGITS, unit_rows
 from factloom.operators.knn import knn_join
 from factloom.operators.predicates import active, tags_overlap, tombstone
-from factloom.operators.skew import broadcast_if_small
+from factloom.operators.skew import broadcast_if_small, join_unique
 from factloom.session import cut_lineage
 
 
@@ -57,9 +57,16 @@ def nearest(rows: DataFrame, vector: list[float], k: int, key: list[str]) -> Dat
 
 
 def _with_columns(hits: DataFrame, memories: DataFrame) -> DataFrame:
-    """Hits with the read columns. The rows are fetched by id after ranking, so vectors are not carried along."""
+    """At most 50 hits with the read columns, best first.
+
+    The ids go into the filter of the second read, so that files and row groups without them are skipped.
+    """
     rows = memories.select([c for c in S.READ_COLUMNS if c in memories.columns])
-    return hits.join(rows, "id")
+    found = hits.collect()
+    spark = memories.sparkSession
+    scores = spark.createDataFrame([(r.id, r.score) for r in found], "id long, score double")
+    return (rows.filter(F.col("id").isin([r.id for r in found])).join(F.broadcast(scores), "id")
+            .orderBy(F.desc_nulls_last("score"), "id").limit(S.MAX_RESULT_ROWS))
 
 
 def recall(memories: DataFrame, vector: list[float], user_id: str, as_of, limit: int | None = None,
@@ -73,7 +80,7 @@ def recall(memories: DataFrame, vector: list[float], user_id: str, as_of, limit:
     hits = nearest(pool, vector, k, ["id"])
     if min_score is not None:
         hits = hits.filter(F.col("score") >= min_score)
-    return _with_columns(F.broadcast(hits), memories).orderBy(F.desc_nulls_last("score"), "id")   # at most 50 hits
+    return _with_columns(hits, memories)
 
 
 def recall_tombstones(memories: DataFrame, vector: list[float], user_id: str, limit: int | None = None) -> DataFrame:
@@ -81,7 +88,7 @@ def recall_tombstones(memories: DataFrame, vector: list[float], user_id: str, li
     k = check_limit(limit, S.DEFAULT_RECALL_ROWS, S.MAX_RESULT_ROWS)
     pool = memories.filter((F.col("user_id") == user_id) & tombstone())
     hits = nearest(pool, vector, k, ["id"])
-    return _with_columns(F.broadcast(hits), memories).orderBy(F.desc_nulls_last("score"), "id")
+    return _with_columns(hits, memories)
 
 
 def recall_batch(memories: DataFrame, queries: DataFrame, as_of, limit: int | None = None,
@@ -116,18 +123,17 @@ def _fill_unscored(hits: DataFrame, q: DataFrame, pool: DataFrame, k: int, tagge
         return hits
     loose = pool.filter(_unusable())
     loose = loose.select(F.col("user_id").alias("part"), "id", "tags")
-    none = F.lit(None).cast("string")
+    any_tag = F.lit("")         # no tag is blank, so this stands for "whatever the tags"
     if tagged:
-        keyed = loose.select("part", "id", F.explode(F.array_union("tags", F.array(none))).alias("tag"))
-        asked = F.when(F.size("tags") > 0, F.col("tags")).otherwise(F.array(none))
-        short = short.withColumn("tag", F.explode(asked))
+        keyed = loose.select("part", "id", F.explode(F.array_append("tags", any_tag)).alias("tag"))
+        short = short.withColumn("tag", F.explode(F.when(F.size("tags") > 0, F.col("tags")).otherwise(F.array(any_tag))))
     else:
-        keyed, short = loose.withColumn("tag", none), short.withColumn("tag", none)
+        keyed, short = loose.withColumn("tag", any_tag), short.withColumn("tag", any_tag)
     lowest = W.partitionBy("part", "tag").orderBy("id")
-    keyed = keyed.withColumn("r", F.row_number().over(lowest)).filter(F.col("r") <= k)
-    tail = (short.alias("s").join(keyed.alias("l"), (F.col("s.part") == F.col("l.part"))
-                                  & F.col("s.tag").eqNullSafe(F.col("l.tag")))
-            .select("query_id", F.col("l.id").alias("id"), "have").distinct())
+    heads = (keyed.withColumn("r", F.row_number().over(lowest)).filter(F.col("r") <= k)
+             .groupBy("part", "tag").agg(F.collect_list("id").alias("ids")))
+    tail = (join_unique(short.select("query_id", "part", "tag", "have"), heads, ["part", "tag"], "query_id")
+            .select("query_id", "have", F.explode("ids").alias("id")).distinct())
     place = F.col("have") + F.row_number().over(W.partitionBy("query_id").orderBy("id"))
     tail = tail.withColumn("rank", place.cast("int")).filter(F.col("rank") <= k)
     return hits.unionByName(tail.select("query_id", "id", F.lit(None).cast("double").alias("score"), "rank"))

@@ -10,10 +10,11 @@ HOT_SHARE = 1000        # a key with more than 1/1000 of the rows is hot, so the
 SMALL_ROWS = 10_000     # a counted side of at most this many rows is broadcast
 
 
-def join_unique(left: DataFrame, right: DataFrame, on: list[str], row_key: str, weight: str | None = None) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, on: list[str], row_key: str, weight: str | None = None,
+                small: int | None = None) -> DataFrame:
     """`left` with the columns of `right`, where `on` is unique in `right`; unmatched left rows keep nulls.
 
-    A `right` counted to be small is broadcast. Otherwise only the hot keys of `left` are
+    A `right` counted to be small (`small` rows, SMALL_ROWS by default) is broadcast. Otherwise only the hot keys of `left` are
     joined by broadcast: fewer than HOT_SHARE right rows can be hot, so that side has a
     fixed bound. The rest is an ordinary shuffled join, where a row that is already served
     gets a key of its own (from `row_key`, a long column) that matches nothing, so no
@@ -21,7 +22,8 @@ def join_unique(left: DataFrame, right: DataFrame, on: list[str], row_key: str,
     the number of left rows per key.
     """
     payload = [c for c in right.columns if c not in on]
-    if right.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+    small = SMALL_ROWS if small is None else min(small, SMALL_ROWS)
+    if right.limit(small + 1).count() <= small:
         return left.join(F.broadcast(right), on, "left").select(*left.columns, *payload)
     if weight is None:
         weight = "_weight"

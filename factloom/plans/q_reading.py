@@ -58,7 +58,7 @@ def read_fact_json(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations")
     item = F.struct("text", F.array("role").alias("tags"), (F.col("turn") / 100).alias("importance"),
                     F.lit("2024-03-01T10:00:00Z").alias("last_confirmed_at"))
-    arrays = turns.groupBy("conv_id").agg(F.to_json(F.collect_list(item)).alias("json"))    # one array a conversation
+    arrays = turns.select("conv_id", F.to_json(F.array(item)).alias("json"))
     items = files.json_items(arrays, "json")
     utc = F.to_utc_timestamp("last_confirmed_at", F.current_timezone())
     return items.select("conv_id", F.md5("text").alias("text_md5"), joined("tags"), "importance",

@@ -211,7 +211,27 @@ def delete_chunks(spark, sf_dir):
     return K.delete_chunks(_chunks(spark, sf_dir), ids).select("chunk_id", "document_id", "sequence_number")
 
 
-@register()
+# Jaro-Winkler step by step: each character of the shorter text takes the first free equal one near it.
+@register("""WITH RECURSIVE raw AS (SELECT c_custkey, n_name, CAST(c_custkey % length(n_name) + 1 AS INTEGER) AS pos
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+typed AS (SELECT c_custkey, lower(substr(n_name, 1, pos - 1) || ' ' || substr(n_name, pos + 1)) AS typed FROM raw),
+form AS (SELECT DISTINCT regexp_replace(typed, '[ \t\n\x0B\f\r]', '', 'g') AS f FROM typed),
+pair AS (SELECT f, n_nationkey AS o, n_name AS m, lower(n_name) AS c, CASE WHEN length(f) <= length(n_name) THEN f ELSE lower(n_name) END AS s,
+  CASE WHEN length(f) <= length(n_name) THEN lower(n_name) ELSE f END AS l FROM form, nation),
+step AS (SELECT f, o, s, l, greatest(length(l) // 2 - 1, 0) AS w, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, '' AS ms FROM pair
+  UNION ALL SELECT f, o, s, l, w, i + 1, CASE WHEN j IS NULL THEN used ELSE list_append(used, j) END,
+    CASE WHEN j IS NULL THEN ms ELSE ms || substr(s, i + 1, 1) END
+  FROM (SELECT *, list_min(list_filter(range(greatest(i - w, 0), least(i + w + 1, length(l))),
+    lambda x: substr(l, x + 1, 1) = substr(s, i + 1, 1) AND NOT list_contains(used, x))) AS j FROM step WHERE i < length(s))),
+done AS (SELECT f, o, s, l, ms, CAST(length(ms) AS FLOAT) AS m, array_to_string(list_transform(list_sort(used), lambda x: substr(l, x + 1, 1)), '') AS ml
+  FROM step WHERE i = length(s)),
+jaro AS (SELECT *, len(list_filter(range(length(ms)), lambda x: substr(ms, x + 1, 1) <> substr(ml, x + 1, 1))) // 2 AS swaps,
+  len(list_filter(range(1, length(s) + 1), lambda x: substr(s, 1, x) = substr(l, 1, x))) AS prefix FROM done),
+base AS (SELECT *, CASE WHEN s = l THEN 1 WHEN m = 0 THEN 0 ELSE (m / length(s) + m / length(l) + (m - swaps) / m) / 3 END AS j FROM jaro),
+score AS (SELECT f, o, CASE WHEN j < 0.7 OR s = l THEN j ELSE j + least(0.1, 1.0 / length(l)) * prefix * (1 - j) END AS sim FROM base),
+best AS (SELECT f, o, sim, row_number() OVER (PARTITION BY f ORDER BY round(sim, 5) DESC, o) AS r FROM score)
+SELECT c_custkey, typed, n_name AS match, CAST(round(sim, 4) AS DOUBLE) AS similarity FROM typed
+JOIN best ON f = replace(typed, ' ', '') AND r = 1 JOIN nation ON n_nationkey = o""")
 def closest_match_join(spark, sf_dir):
     """Nation names with one character missing, matched back to the nations."""
     nation = read(spark, sf_dir, "nation")
@@ -220,4 +240,5 @@ def closest_match_join(spark, sf_dir):
              .select("c_custkey", "n_name", F.lower(F.concat(
                  F.substring("n_name", F.lit(1), F.col("at") - 1), F.lit(" "),
                  F.substring("n_name", F.col("at") + 1, F.lit(100)))).alias("typed")))
-    return closest.closest_match_join(typed, nation, "typed", "n_name", "n_nationkey")
+    found = closest.closest_match_join(typed, nation, "typed", "n_name", "n_nationkey")
+    return found.select("c_custkey", "typed", "match", F.round("similarity", 4).alias("similarity"))

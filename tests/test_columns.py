@@ -77,6 +77,8 @@ def test_epoch_dates(spark):
 def test_day_numbers(spark):
     got = run(spark, ["2024-06-02", "0001-01-01"], lambda c: D.julian_day(c.cast("date")))
     assert got[1] == 1 and got[0] % 7 == 0      # a Sunday
+    back = run(spark, [*got, 0], lambda c: F.date_format(D.from_julian_day(c), "yyyy-MM-dd"), "bigint")
+    assert back == ["2024-06-02", "0001-01-01", None]
 
 
 def test_times(spark):
