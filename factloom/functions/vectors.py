@@ -80,8 +80,13 @@ def top_pairs(q: Block, b: Block, k: int, exclude_self: bool) -> tuple[np.ndarra
 
 
 def _top_pass(q: Block, b: Block, k: int, exclude_self: bool):
-    s = q.unit @ b.unit.T
+    """One pass over all pairs in single precision, whose error is bounded, then the few pairs that can count
+    again in double precision."""
+    n, dim = len(b.ids), q.unit.shape[1]
+    margin = (dim + 8) * 2.0 ** -24 + 10.0 ** -SCORE_DIGITS
+    s = q.unit.astype(np.float32) @ b.unit.astype(np.float32).T
     s[:, ~b.usable] = EXCLUDED
+    s[~q.usable] = EXCLUDED
     if q.tags is not None:
         asked = q.tags.sum(axis=1) > 0
         hit = (q.tags @ b.tags.T) > 0
@@ -90,17 +95,28 @@ def _top_pass(q: Block, b: Block, k: int, exclude_self: bool):
         s[b.seq[None, :] >= q.seq[:, None]] = EXCLUDED
     if exclude_self:
         s[q.ids[:, None] == b.ids[None, :]] = EXCLUDED
-    s[~q.usable] = EXCLUDED
     floor = np.full(len(q.ids), NO_FLOOR) if q.floor is None else np.where(np.isnan(q.floor), NO_FLOOR, q.floor)
-    cut = floor
-    if s.shape[1] > k:
-        cut = np.maximum(floor, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
-    qi, bi = np.nonzero(s >= (cut - 10.0 ** -SCORE_DIGITS)[:, None])
-    score = np.round(s[qi, bi], SCORE_DIGITS)
+    cut = floor - margin
+    if n > k:       # rows with many pairs above their floor: nothing far below the k-th best can count
+        many = np.nonzero((s >= cut[:, None].astype(np.float32)).sum(axis=1) > 4 * k)[0]
+        if len(many):
+            kth = np.partition(s[many], n - k, axis=1)[:, n - k]
+            cut[many] = np.maximum(cut[many], kth - 2 * margin)
+    qi, bi = np.nonzero(s >= cut[:, None])
+    score = np.round(_exact_scores(q.unit, b.unit, qi, bi), SCORE_DIGITS)
     keep = score >= np.round(floor[qi], SCORE_DIGITS)
     return q.ids[qi[keep]], b.ids[bi[keep]], score[keep]
 
 
+def _exact_scores(q: np.ndarray, b: np.ndarray, qi: np.ndarray, bi: np.ndarray) -> np.ndarray:
+    out = np.empty(len(qi))
+    step = max(1, _CELLS_PER_PASS // q.shape[1])
+    for lo in range(0, len(qi), step):
+        part = slice(lo, lo + step)
+        out[part] = np.einsum("ij,ij->i", q[qi[part]], b[bi[part]])
+    return out
+
+
 def merge_top(parts, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Several top lists into one, k best per query."""
     parts = [p for p in parts if len(p[0])]

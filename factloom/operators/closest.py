@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.operators.skew import join_unique
+from factloom.session import cut_lineage
 
 HELD_CANDIDATES = 20_000     # most candidates handed to every task
 HELD_BYTES = 16 << 20
@@ -94,7 +95,7 @@ def closest_match_join(left: DataFrame, right: DataFrame, left_text: str, right_
         scored = lhs.groupBy("lb", "rb").cogroup(rhs.groupBy("lb", "rb")).applyInPandas(block, schema)
     best = W.partitionBy("form").orderBy(F.desc("similarity"), "ord")
     won = scored.withColumn("r", F.row_number().over(best)).filter("r = 1").withColumn("at", F.abs(F.xxhash64("form")))
-    won = join_unique(won, cands.select("ord", "match"), ["ord"], "at").select("form", "match", "similarity")
+    won = join_unique(cut_lineage(won), cands.select("ord", "match"), ["ord"], "at").select("form", "match", "similarity")
     # A text may be that of very many rows, a candidate the match of very many texts.
     keyed = left.withColumn("form", matching_form(F.col(left_text))).withColumn("_at", F.monotonically_increasing_id())
     return join_unique(keyed, won, ["form"], "_at").drop("form", "_at")

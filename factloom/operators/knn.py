@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 
 from factloom.functions import vectors as V
 from factloom.operators.skew import join_unique
-from factloom.session import cut_lineage
+from factloom.session import cut_lineage, shuffle_partitions
 
 SCAN_BYTES = 64 << 20     # largest query side handed to every task
 BLOCK_ROWS = 4096         # rows per block side
-MAX_PIVOTS = 512
+CELLS_PER_BLOCK = 8       # a cell is first aimed at this fraction of a block
+MAX_PIVOTS = 1024
 _PAIRS = "query_id long, id long, s double"
 _SLACK = 1e-6             # keeps rounding from pruning a reachable cell
 
@@ -139,20 +140,43 @@ def _own_cell(angle: np.ndarray, width: np.ndarray) -> np.ndarray:
 
 
 def _cells(queries: DataFrame, base: DataFrame, how: _Join, block_rows: int, max_pivots: int) -> DataFrame:
-    n_base = base.count()
-    pivots = _pivots(base, how, int(min(max_pivots, max(1, -(-n_base // block_rows)))))
+    sizes = cut_lineage(base.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
+    n_base = sizes.agg(F.sum("n")).first()[0] or 0
+    cell_rows = max(1, block_rows // CELLS_PER_BLOCK)
+    pivots = _pivots(base, how, int(min(max_pivots, max(1, -(-n_base // cell_rows)))))
     if not len(pivots):
         return base.sparkSession.createDataFrame([], _PAIRS)
     shared = base.sparkSession.sparkContext.broadcast(pivots)
+    placed = _place(base, sizes, shared, len(pivots), how, cell_rows)
+    if not queries.filter("floor is null").isEmpty():
+        # First round in the query's own cell: its k-th score there is a sure least score.
+        first = _ranked(_visit(queries, placed, shared, how, block_rows, own_only=True), how.k)
+        reach = first.groupBy("query_id").agg(F.count("score").alias("c"), F.min("score").alias("m"))
+        reach = reach.filter(F.col("c") == how.k).select("query_id", F.col("m").alias("sure"))
+        queries = cut_lineage(queries.join(reach, "query_id", "left")
+                              .withColumn("floor", F.coalesce("floor", "sure", F.lit(-1.0))).drop("sure"))
 
-    # A part uses as many cells as its rows fill blocks; a small part is one cell.
-    sizes = base.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumn("width", F.least(F.lit(len(pivots)), F.ceil(F.col("n") / block_rows)).cast("int"))
+    # Small cells prune well when the vectors form groups. When they do not, each query goes
+    # to nearly all of them, and cells of a whole block each mean fewer copies.
+    asked = queries.groupBy("part").agg(F.count(F.lit(1)).alias("nq"))
+    wide = asked.join(sizes, "part").agg(F.sum(F.col("nq") * F.ceil(F.col("n") / block_rows))).first()[0] or 0
+    sent = _planned_routes(queries, placed, shared, how, False, only_cells=True).count()
+    if sent > 2 * wide and cell_rows < block_rows:
+        placed = _place(base, sizes, shared, len(pivots), how, block_rows)
+    return _visit(queries, placed, shared, how, block_rows, own_only=False)
+
+
+def _place(base: DataFrame, sizes: DataFrame, shared, n_pivots: int, how: _Join, cell_rows: int) -> DataFrame:
+    """Base rows with the cell of their nearest pivot and the angle to it, written to the shared folder.
+
+    A part uses as many pivots as its rows fill cells; a small part is one cell.
+    """
+    sizes = sizes.withColumn("width", F.least(F.lit(n_pivots), F.ceil(F.col("n") / cell_rows)).cast("int"))
     sized = join_unique(base, sizes, ["part"], "id", weight="n").drop("n")
-    schema_of = {"vec": "array<float>", "tags": "array<string>", "seq": "long", "floor": "double"}
-    extra = [c for c in ("tags", "seq") if c in base.columns]
-    placed_schema = ", ".join(["id long", "part string", "vec array<float>"]
-                              + [f"{c} {schema_of[c]}" for c in extra] + ["width int", "cell int", "angle double"])
+    types = {"tags": "array<string>", "seq": "long"}
+    extra = [c for c in types if c in base.columns]
+    schema = ", ".join(["id long", "part string", "vec array<float>"] + [f"{c} {types[c]}" for c in extra]
+                       + ["width int", "cell int", "angle double"])
 
     def place(batches):
         piv = shared.value
@@ -160,36 +184,32 @@ def _cells(queries: DataFrame, base: DataFrame, how: _Join, block_rows: int, max
             unit, usable = V.unit_rows(batch.column("vec"), how.dim)
             angle = _angles(unit, piv)
             cell = _own_cell(angle, np.asarray(batch.column("width")))
-            near = angle[np.arange(len(cell)), cell]
             out = {n: batch.column(n) for n in batch.schema.names}
-            out["cell"] = pa.array(np.where(usable, cell, -1), pa.int32())     # -1: no usable vector
-            out["angle"] = pa.array(near, pa.float64())
-            yield pa.RecordBatch.from_pydict(out)
+            out["cell"] = pa.array(cell, pa.int32())
+            out["angle"] = pa.array(angle[np.arange(len(cell)), cell], pa.float64())
+            yield pa.RecordBatch.from_pydict(out).filter(pa.array(usable))
 
-    placed = cut_lineage(sized.select("id", "part", "vec", *extra, "width").mapInArrow(place, placed_schema))
-    stats = (placed.filter("cell >= 0").groupBy("part", "cell")
-             .agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"),
-                  F.first("width").alias("width")))
+    return cut_lineage(sized.select("id", "part", "vec", *extra, "width").mapInArrow(place, schema))
 
-    if not queries.filter("floor is null").isEmpty():
-        # First round in the query's own cell: its k-th score there is a sure least score.
-        first = _ranked(_visit(queries, placed, stats, shared, how, block_rows, own_only=True), how.k)
-        reach = first.groupBy("query_id").agg(F.count("score").alias("c"), F.min("score").alias("m"))
-        reach = reach.filter(F.col("c") == how.k).select("query_id", F.col("m").alias("sure"))
-        queries = cut_lineage(queries.join(reach, "query_id", "left")
-                              .withColumn("floor", F.coalesce("floor", "sure", F.lit(-1.0))).drop("sure"))
-    return _visit(queries, placed, stats, shared, how, block_rows, own_only=False)
 
+def _cell_stats(placed: DataFrame) -> DataFrame:
+    return placed.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"),
+                                              F.max("angle").alias("hi"), F.first("width").alias("width"))
 
-def _visit(queries, placed, stats, shared, how: _Join, block_rows: int, own_only: bool) -> DataFrame:
-    """Score each query against every cell that can hold a row within its reach."""
-    plan = stats.groupBy("part").agg(F.first("width").alias("width"),
-                                     F.collect_list(F.struct("cell", "n", "lo", "hi")).alias("cells"))
-    # Routing once without the vectors going on, to learn how many queries each cell gets.
+
+def _planned_routes(queries, placed, shared, how: _Join, own_only: bool, only_cells: bool = False) -> DataFrame:
+    plan = _cell_stats(placed).groupBy("part").agg(F.first("width").alias("width"),
+                                                   F.collect_list(F.struct("cell", "n", "lo", "hi")).alias("cells"))
     planned = join_unique(queries, plan, ["part"], "query_id", small=500).filter("cells is not null")
-    routed = _route(planned, shared, how, own_only)
-    load = _route(planned, shared, how, own_only, only_cells=True).groupBy("part", "cell").agg(F.count(F.lit(1)).alias("nq"))
-    grid = (stats.join(load, ["part", "cell"])
+    return _route(planned, shared, how, own_only, only_cells)
+
+
+def _visit(queries, placed, shared, how: _Join, block_rows: int, own_only: bool) -> DataFrame:
+    """Score each query against every cell that can hold a row within its reach."""
+    routed = _planned_routes(queries, placed, shared, how, own_only)
+    load = (_planned_routes(queries, placed, shared, how, own_only, only_cells=True)
+            .groupBy("part", "cell").agg(F.count(F.lit(1)).alias("nq")))
+    grid = (_cell_stats(placed).join(load, ["part", "cell"])
             .withColumn("nb", F.ceil(F.col("n") / block_rows).cast("int"))
             .withColumn("nqb", F.ceil(F.col("nq") / block_rows).cast("int")))
     grid = cut_lineage(grid.select("part", "cell", "n", "nq", "nb", "nqb"))
@@ -201,7 +221,7 @@ def _visit(queries, placed, stats, shared, how: _Join, block_rows: int, own_only
     q_rows = q_rows.select("query_id", "part", "vec", "floor", *extra, "cell",
                            F.pmod(F.xxhash64("query_id"), "nqb").cast("int").alias("qb"),
                            F.explode(F.expr("sequence(0, nb - 1)")).alias("bb"))
-    b_rows = join_unique(placed.filter("cell >= 0"), grid.select("part", "cell", "n", "nb", "nqb"),
+    b_rows = join_unique(placed, grid.select("part", "cell", "n", "nb", "nqb"),
                          ["part", "cell"], "id", weight="n").filter("nb is not null")
     b_rows = b_rows.select("id", "part", "vec", *extra, "cell",
                            F.pmod(F.xxhash64("id"), "nb").cast("int").alias("bb"),
@@ -218,6 +238,9 @@ def _visit(queries, placed, stats, shared, how: _Join, block_rows: int, own_only
         return pa.Table.from_batches([V.pairs_batch(*V.top_pairs(qs, bs, how.k, how.exclude_self))])
 
     keys = ["part", "cell", "qb", "bb"]
+    # Little data can be much scoring, so the partitions are not to be merged by size.
+    n = shuffle_partitions(queries.sparkSession)
+    q_rows, b_rows = q_rows.repartition(n, *keys), b_rows.repartition(n, *keys)
     return q_rows.groupBy(*keys).cogroup(b_rows.groupBy(*keys)).applyInArrow(score, _PAIRS)
 
 

@@ -11,7 +11,7 @@ from factloom.errors import INVALID_INPUT, RequestError
 from factloom.operators.knn import BLOCK_ROWS, knn_join
 from factloom.operators.predicates import active
 from factloom.operators.skew import join_unique
-from factloom.session import cut_lineage
+from factloom.session import cut_lineage, shuffle_partitions
 
 
 def near_duplicate_pairs(memories: DataFrame, as_of, threshold: float = S.NEAR_DUP_THRESHOLD,
@@ -39,12 +39,13 @@ def near_duplicate_pairs(memories: DataFrame, as_of, threshold: float = S.NEAR_D
     copies = thin.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("rep"))
     groups = cut_lineage(heads.join(copies, same))
 
-    reps = rows.join(groups.select(F.col("rep").alias("id")), "id", "left_semi")
-    reps = cut_lineage(reps)
+    # The one shuffle of vectors. Scoring needs many tasks, so its partitions are not to be merged by size.
+    spread = rows.repartition(shuffle_partitions(memories.sparkSession), "id")
+    reps = cut_lineage(spread.join(groups.select(F.col("rep").alias("id")), "id", "left_semi"))
     q = reps.select(F.col("id").alias("query_id"), F.col("user_id").alias("part"), "vec",
                     F.lit(float(threshold)).alias("floor"))
     base = reps.select("id", F.col("user_id").alias("part"), "vec")
-    near = knn_join(q, base, k, exclude_self=True, strategy=strategy, block_rows=block_rows)
+    near = cut_lineage(knn_join(q, base, k, exclude_self=True, strategy=strategy, block_rows=block_rows))
 
     own = groups.filter(F.col("n") > 1).select(
         F.col("rep").alias("query_id"), F.lit(1.0).cast("double").alias("score"), F.explode("ids").alias("id"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom import schema as S
-from factloom.errors import EMBEDDING_ERROR, INVALID_INPUT, NOT_FOUND, SECRET_REJECTED  # noqa: F401
+from factloom.errors import EMBEDDING_ERROR, INVALID_INPUT, SECRET_REJECTED
 from factloom.functions import text as X
 from factloom.operators.predicates import moment
 

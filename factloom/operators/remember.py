@@ -72,9 +72,8 @@ def remember_batch(memories: DataFrame, items: DataFrame, as_of, provider: Embed
 
     # Like rows in the table, live and deleted.
     asked = unstored.filter("dedup_policy != 'insert'")
-    live = memories.filter(active(as_of))
-    near = cut_lineage(_near(asked, live, S.DEDUP_TOP_K, strategy))
-    deleted = _near(asked, memories.filter(tombstone()), S.DEDUP_TOP_K, strategy)
+    both = cut_lineage(_near_stored(asked, memories, as_of, strategy))
+    near, deleted = both.filter("live").drop("live"), both.filter("not live").drop("live")
     taken = near.filter("rank = 1").select("input_index")
     skips = F.col("dedup_policy") == "skip_if_near"
     unblocked = (unstored.join(taken.withColumn("near", F.lit(True)), "input_index", "left")
@@ -113,6 +112,24 @@ def remember(memories: DataFrame, as_of, provider: EmbeddingProvider, text: str,
     return done
 
 
+def _near_stored(asked: DataFrame, memories: DataFrame, as_of, strategy: str) -> DataFrame:
+    """The five nearest live and the five nearest deleted rows per item, `live` telling which, from one scan."""
+    live = active(as_of)
+
+    def part(flag):
+        return F.concat(F.when(flag, F.lit("live ")).otherwise(F.lit("gone ")), "user_id")
+
+    flag = F.explode(F.array(F.lit(False), F.lit(True))).alias("flag")
+    q = asked.select("input_index", "user_id", "embedding", flag)
+    q = q.select((F.shiftleft("input_index", 1) + F.col("flag").cast("long")).alias("query_id"),
+                 part(F.col("flag")).alias("part"), F.col("embedding").alias("vec"),
+                 F.lit(S.DEDUP_THRESHOLD).alias("floor"))
+    base = memories.filter(tombstone() | live).select("id", part(live).alias("part"), F.col("embedding").alias("vec"))
+    hits = knn_join(q, base, S.DEDUP_TOP_K, strategy=strategy)
+    return hits.select(F.shiftright("query_id", 1).alias("input_index"), "id", "score", "rank",
+                       (F.col("query_id") % 2 == 1).alias("live"))
+
+
 def _near(asked: DataFrame, rows: DataFrame, k: int, strategy: str, ordered: bool = False) -> DataFrame:
     q = asked.select(F.col("input_index").alias("query_id"), F.col("user_id").alias("part"),
                      F.col("embedding").alias("vec"), F.lit(S.DEDUP_THRESHOLD).alias("floor"),

@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from factloom import schema as S
 from factloom.functions import text as X
 from factloom.operators import prepare as P
 from factloom.operators import predicates as C

@@ -48,6 +48,10 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder, so that loops neither re-run nor grow their plan."""
     shared_dir(df.sparkSession)
