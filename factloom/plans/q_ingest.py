@@ -19,7 +19,7 @@ doc AS MATERIALIZED (SELECT doc_id, t, length(t) AS total FROM src),
 cut AS (
   SELECT doc_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS lo, CAST(0 AS BIGINT) AS hi FROM doc
   UNION ALL
-  SELECT doc_id, n + 1, s, CASE WHEN s + 1000 >= total THEN total WHEN blank > 0 THEN s + 500 + least(length(back) + 1, 501) - blank + 1
+  SELECT doc_id, n + 1, s, CASE WHEN s + 1000 >= total THEN total WHEN blank > 0 THEN s + 500 + length(back) - blank + 1
       WHEN stop > 0 THEN s + 501 + length(back2) - stop + 1 ELSE s + 1000 END
   FROM (SELECT doc_id, n, s, total, back, back2, strpos(back, chr(10) || chr(10)) AS blank,
       length(regexp_extract(back2, '^((?s:.)*?)[ \n][.!?]', 1)) + CASE WHEN regexp_matches(back2, '[ \n][.!?]') THEN 1 ELSE 0 END AS stop
