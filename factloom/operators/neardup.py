@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from factloom import schema as S
 from factloom.errors import INVALID_INPUT, RequestError
+from factloom.operators.components import connected_components
 from factloom.operators.knn import BLOCK_ROWS, knn_join
 from factloom.operators.predicates import active
 from factloom.operators.skew import join_unique
@@ -64,34 +65,6 @@ def near_duplicate_pairs(memories: DataFrame, as_of, threshold: float = S.NEAR_D
             .agg(F.max("p.score").alias("similarity")))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """`id, label` for every node of the undirected edges (id_a, id_b); label is the least id reached.
-
-    Each round a node takes the least label around it, then the label of that label
-    (pointer jumping), so the rounds grow with the logarithm of a chain's length. Minima are
-    combined before the shuffle, and the join back goes through `join_unique`, so a node
-    with very many neighbours does not fill one task.
-    """
-    both = edges.select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
-    both = both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    degree = both.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("least"))
-    both = cut_lineage(both)
-    labels = cut_lineage(degree.select(F.col("src").alias("id"), "n",
-                                       F.least("src", "least").alias("label")))
-    while True:
-        around = join_unique(both, labels.select(F.col("id").alias("src"), "n", "label"), ["src"], "dst", weight="n")
-        offer = around.groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("offer"))
-        taken = labels.join(offer, "id").select(
-            "id", "n", F.least("label", "offer").alias("label"), F.col("label").alias("before"))
-        taken = cut_lineage(taken)
-        jump = taken.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        fresh = cut_lineage(join_unique(taken, jump, ["label"], "id")
-                            .select("id", "n", F.least("label", "further").alias("label"), "before"))
-        labels = fresh.drop("before")
-        if fresh.filter(F.col("label") != F.col("before")).isEmpty():
-            return labels.select("id", "label")
-
-
 def near_duplicate_clusters(memories: DataFrame, as_of, threshold: float | None = None,
                             max_groups: int | None = None, strategy: str = "auto",
                             members: bool = True) -> DataFrame:

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITTEN: list[str] = []      # folders to delete when the job's results are stored
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, name: str = "factloom") -> SparkSession:
     """A session for tests and benches. On a cluster the session comes from the submitter."""
     return (SparkSession.builder.master(f"local[{cores}]").appName(name)
@@ -53,6 +56,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """`df` written to the shared folder, so that loops neither re-run nor grow their plan."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df` written as Parquet to the shared folder and read back.
+
+    Loops neither re-run nor grow their plan, a lost executor costs no recomputation of what
+    came before, and unlike a checkpoint the copy is compressed, pruned by column and has
+    a known size for the joins that follow. `drop_scratch` deletes the copies
+    when the results that read them are stored.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    _WRITTEN.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the folders that `cut_lineage` wrote for jobs that have ended."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
