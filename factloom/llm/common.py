@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.operators.skew import join_unique
+from factloom.session import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = r"[\x20\x09-\x0D]+"                                  # what stands between words
@@ -32,3 +34,53 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], spread: str) -> Dat
     holds. `spread` is any column of `left` that differs between rows of one key."""
     rows = left.withColumn("_row", F.pmod(F.xxhash64(spread), F.lit(1 << 40)))
     return join_unique(rows, right, on, "_row").drop("_row")
+
+
+def let(value: Column, use) -> Column:
+    """`use` of `value` as one bound value: lambdas inside see it computed once per row, not once per element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def two_hashes(value: Column) -> list[Column]:
+    """128 bits that stand for a text in shuffles: chance meetings don't occur at any size."""
+    return [F.xxhash64(value).alias("h1"), F.xxhash64(F.lit("second"), value).alias("h2")]
+
+
+def block_pairs(spread: Column, blocks: Column, looks: Column) -> Column:
+    """The block pairs (i, j) of its group that a row takes part in, as an array of structs i, j, side.
+
+    Owners (`looks` 0) of a group meet each other and all lookers (`looks` 1); lookers don't meet. A group of `blocks`
+    blocks is split by hash of `spread`; owner block i meets owner block j >= i and the lookers of every
+    block once, so a pair meets in one task and no task holds more than two blocks.
+    Side 0 is compared with the whole pair of blocks, side 2 with side 1 only.
+    """
+    n = F.coalesce(blocks, F.lit(1))
+    own = F.pmod(F.xxhash64(spread), n).cast("int")
+
+    def at(i: Column, j: Column, side: Column) -> Column:
+        return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+
+    every = F.sequence(F.lit(0), n - 1)
+    left = F.transform(every, lambda j: at(own, j, F.when(j == own, 0).otherwise(2)))
+    right = F.transform(F.filter(every, lambda i: i < own), lambda i: at(i, own, F.lit(1)))
+    looking = F.transform(every, lambda i: at(i, own, F.lit(1)))
+    return (F.when(n == 1, F.array(at(F.lit(0), F.lit(0), looks)))
+            .when(looks == 1, looking).otherwise(F.concat(left, right)))
+
+
+def running_sums(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
+    """`df` with running totals (the row included) of columns in a total order, without one sorted task.
+
+    Rows are range-partitioned by the order; each part sums its own rows, and what the parts before it hold, one
+    row per part, is added. The order must tell all rows apart for a repeatable result.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = cut_lineage(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    whole = parts.groupBy("_part").agg(*[F.sum(c).alias(f"_all_{o}") for o, c in sums.items()])
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)         # one row per part
+    offsets = whole.select("_part", *[F.coalesce(F.sum(f"_all_{o}").over(before), F.lit(0)).alias(f"_off_{o}") for o in sums])
+    upto = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    inside = parts.select("*", *[F.sum(c).over(upto).alias(f"_in_{o}") for o, c in sums.items()])
+    joined = inside.join(F.broadcast(offsets), "_part")                       # at most n rows
+    return joined.select(*df.columns, *[(F.col(f"_in_{o}") + F.col(f"_off_{o}")).alias(o) for o in sums])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import simhash
+from factloom.llm import decontaminate, lines, mixing, simhash
 from factloom.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,5 +19,28 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
-for _query in (op1_simhash,):
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    sizes, table = mixing.plan(read(spark, sf_dir, "documents"))
+    return mixing.copies(sizes, table).select(F.col("id").alias("doc_id"), "size", "source_size", "target",
+                                              (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that earlier documents hold."""
+    kept = lines.drop_shared_lines(read(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document that stand in windows of the benchmark."""
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+for _query, _sql in ((op1_simhash, None), (op2_mixing, mixing.SQL), (op6_line_dedup, lines.SQL),
+                     (op8_decontamination, decontaminate.SQL)):
     QUERIES[_query.__name__] = _query
+    if _sql is not None:
+        ORACLES[_query.__name__] = _sql

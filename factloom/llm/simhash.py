@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from factloom.llm.common import lookup
+from factloom.llm.common import block_pairs, lookup
 from factloom.operators.components import connected_components
 from factloom.session import cut_lineage, shuffle_partitions
 
@@ -111,9 +111,11 @@ def _pairs(prints: DataFrame, max_distance: int, cell_rows: int) -> DataFrame:
     cells = prints.mapInArrow(_cells, "cell long, looks int, print long")
     large = cut_lineage(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_rows)
                         .select("cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("blocks")))
-    rows = lookup(cells, large, ["cell"], "print").select("cell", "looks", "print", F.explode(_blocks()).alias("at"))
-    rows = rows.select("cell", "print", F.col("at.i").alias("i"), F.col("at.j").alias("j"), F.col("at.side").alias("side"))
-    dealt = rows.repartition(shuffle_partitions(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side")
+    rows = lookup(cells, large, ["cell"], "print").select(
+        "cell", "print",
+        F.explode(block_pairs(F.col("print"), F.col("blocks"), F.col("looks"))).alias("at"))
+    dealt = rows.select("cell", "at.i", "at.j", "at.side", "print")
+    dealt = dealt.repartition(shuffle_partitions(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "side")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _compare(batches, max_distance)
@@ -141,31 +143,11 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              ["cell", "looks", "print"])
 
 
-def _blocks() -> Column:
-    """The block pairs (i, j) that a row takes part in. side 0: compared with all of the pair; 2: with side 1 only.
-
-    A cell of n rows is split into n / cell_rows blocks by hash; owner block i meets owner block
-    j >= i and the lookers of every block once.
-    """
-    n = F.coalesce("blocks", F.lit(1))
-    own = F.pmod(F.xxhash64("print"), n).cast("int")
-
-    def at(i: Column, j: Column, side: Column) -> Column:
-        return F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
-
-    one = F.array(at(F.lit(0), F.lit(0), F.col("looks")))
-    every = F.sequence(F.lit(0), n - 1)
-    left = F.transform(every, lambda j: at(own, j, F.when(j == own, 0).otherwise(2)))
-    right = F.transform(F.filter(every, lambda i: i < own), lambda i: at(i, own, F.lit(1)))
-    looking = F.transform(every, lambda i: at(i, own, F.lit(1)))
-    return F.when(n == 1, one).when(F.col("looks") == 1, looking).otherwise(F.concat(left, right))
-
-
 def _compare(batches: Iterator[pa.RecordBatch], max_distance: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by cell, block pair and side; a run of one cell and block pair is compared at once."""
+    """Rows come as cell, i, j, side, print, sorted by the first four; a run of one cell and block pair is compared at once."""
     held: list[np.ndarray] | None = None
     for batch in batches:
-        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "i", "j", "side", "print")]
+        new = [column.to_numpy(zero_copy_only=False) for column in batch.columns]
         held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
         if not len(held[0]):
             continue
