@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, lines, mixing, simhash
+from factloom.llm import decontaminate, embedding_dups, licenses, lines, mixing, simhash, tokens, urls
 from factloom.llm.common import read
+from factloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +28,23 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and licence notices in every document."""
+    return licenses.scan(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of all documents, written and read back."""
+    path = scratch_path(spark, "tokens")
+    tokens.write_tokens(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.read_tokens(spark, path)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url."""
+    return urls.judge(read(spark, sf_dir, "pages")).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that earlier documents hold."""
     kept = lines.drop_shared_lines(read(spark, sf_dir, "documents"))
@@ -39,8 +58,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-for _query, _sql in ((op1_simhash, None), (op2_mixing, mixing.SQL), (op6_line_dedup, lines.SQL),
-                     (op8_decontamination, decontaminate.SQL)):
+def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all embeddings, by label."""
+    found = embedding_dups.near_duplicates(read(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+for _query, _sql in ((op1_simhash, None), (op2_mixing, mixing.SQL), (op3_licenses, None), (op4_tokens, None),
+                     (op5_url_filter, urls.SQL), (op6_line_dedup, lines.SQL), (op8_decontamination, decontaminate.SQL), (op10_embedding_dups, embedding_dups.SQL)):
     QUERIES[_query.__name__] = _query
     if _sql is not None:
         ORACLES[_query.__name__] = _sql

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from factloom.llm.common import block_pairs, lookup
+from factloom.llm.common import block_pairs, forest, lookup
 from factloom.operators.components import connected_components
 from factloom.session import cut_lineage, shuffle_partitions
 
@@ -184,30 +184,10 @@ def _links(rows: list[np.ndarray], max_distance: int) -> Iterator[pa.RecordBatch
             apart = np.bitwise_count(prints[part, None] ^ prints[None, lo:hi]) <= max_distance
             apart &= (side[lo:hi] == 1)[None, :] | ((side[part] == 0)[:, None] & (np.arange(lo, hi)[None, :] > part[:, None]))
             a, b = np.nonzero(apart)
-            a, b = _forest(part[a], b + lo)
+            a, b = forest(part[a], b + lo)
             found[0].append(a)
             found[1].append(b)
     if found[0]:
-        a, b = _forest(np.concatenate(found[0]), np.concatenate(found[1]))
+        a, b = forest(np.concatenate(found[0]), np.concatenate(found[1]))
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(prints[a].view(np.int64)), pa.array(prints[b].view(np.int64))], ["a", "b"])
-
-
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """As few links as connect what the given links connect: from each row to the least of its group."""
-    if not len(a):
-        return a, b
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = at[:len(a)], at[len(a):]
-    label = np.arange(len(nodes))
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        for x in (a, b, label[a], label[b]):
-            np.minimum.at(new, x, least)
-        new = new[new]
-        if np.array_equal(new, label):
-            break
-        label = new
-    moved = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[label[moved]], nodes[moved]
