@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, embedding_dups, licenses, lines, mixing, simhash, tokens, urls
+from factloom.llm import decontaminate, embedding_dups, licenses, lines, mixing, secrets, simhash, tokens, toxicity, urls
 from factloom.llm.common import read
-from factloom.session import scratch_path
+from factloom.session import cut_lineage, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,6 +52,23 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document."""
+    docs = read(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.fit(*secrets.findings(docs))).withColumnRenamed("id", "doc_id")
+
+    def shown(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "net")
+    counts = [F.size(F.filter("spans", _is(kind))).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS[:3]]
+    return cut_lineage(found).select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
+def _is(kind: str) -> Callable[[Column], Column]:
+    return lambda s: s["kind"] == kind
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of every document that stand in windows of the benchmark."""
     found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -58,14 +76,26 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
+    return toxicity.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all embeddings, by label."""
     found = embedding_dups.near_duplicates(read(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 for _query, _sql in ((op1_simhash, None), (op2_mixing, mixing.SQL), (op3_licenses, None), (op4_tokens, None),
-                     (op5_url_filter, urls.SQL), (op6_line_dedup, lines.SQL), (op8_decontamination, decontaminate.SQL), (op10_embedding_dups, embedding_dups.SQL)):
+                     (op5_url_filter, urls.SQL), (op6_line_dedup, lines.SQL),
+                     (op7_secrets, None), (op8_decontamination, decontaminate.SQL), (op9_toxicity, None), (op10_embedding_dups, embedding_dups.SQL),
+                     (pipeline, corpus_pipeline.ORACLE_SQL)):
     QUERIES[_query.__name__] = _query
     if _sql is not None:
         ORACLES[_query.__name__] = _sql
