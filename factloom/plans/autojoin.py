@@ -96,7 +96,7 @@ def auto_join(tables: dict[str, DataFrame], graph: FkGraph, columns: list[str],
     named = list(dict.fromkeys(in_select + in_where + known(also or []) + [j.from_table.lower() for j in joins]))
     wanted = [t for t in named if t not in targets] or named[:1]
     # A named subquery that the graph does not know is reached by an explicit join only.
-    apart = [t for t in wanted if t not in graph.edges_of]
+    apart = [t for t in wanted if t not in graph.tables]
     if len(apart) < len(wanted):
         joined_by = {j.to_table.lower() for j in joins}
         wanted = [t for t in wanted if t not in apart or t not in joined_by]

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +10,7 @@ from factloom.plans.autojoin import (Join, all_of, any_of, auto_join, where_exis
                                      where_not_in)
 from factloom.plans.fkgraph import FkGraph
 from factloom.plans.registry import read, register
+from factloom.session import scratch_path
 
 STAR = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
@@ -250,10 +248,9 @@ def named_subqueries(spark, sf_dir):
 
 @register("""SELECT p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand""")
 def saved_graph(spark, sf_dir):
-    """The graph written to its small text file, read back and used."""
-    with tempfile.TemporaryDirectory() as d:        # a driver-side file of a few lines, gone at once
-        path = os.path.join(d, "graph.txt")
-        star_graph().save(path)
-        graph = FkGraph.load(path)
+    """The graph written as a table, read back and used."""
+    path = scratch_path(spark, "graph")
+    star_graph().save(spark, path)
+    graph = FkGraph.load(spark, path)
     df = auto_join(star(spark, sf_dir), graph, ["part.p_brand", "lineitem.l_orderkey"])
     return df.groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
