@@ -1,9 +1,9 @@
 """Benchmark decontamination by winnowing.
 
 Every text keeps the least hash of the five-word grams in each window of six grams. Any ten words in a row that a document
-shares with a benchmark item are one such window on both sides, so both keep the same gram of it: a shared
-span of ten words is never missed. Documents whose grams meet those of the benchmark are looked at again: around a met
-gram the document's windows of ten words are compared with the item's, word for word.
+shares with a benchmark item are one such window on both sides, so both keep the same hash of it: a shared
+span of ten words is never missed. Documents whose hashes meet those of the benchmark are looked at again: a met hash is extended
+to its window of ten words, which is compared with the items' windows word for word.
 """
 
 from __future__ import annotations
@@ -15,28 +15,38 @@ from factloom.llm.common import NOT_ALNUM, ascii_lower, let, lookup, words
 from factloom.operators.skew import broadcast_if_small
 from factloom.session import cut_lineage
 
-WINDOW = 10          # words that make a hit
-GRAM = 5
+WINDOW = 10          # words that make a hit: six grams of five words
 
 
-def _gram(w: Column, at: Column, length: int) -> Column:
-    return F.xxhash64(F.lit(length), *[F.get(w, at + i) for i in range(length)])
+def _shifted(values: Column, by: int) -> Column:
+    return F.slice(values, by + 1, F.greatest(F.size(values) - by, F.lit(0)))
 
 
-def _whole_grams(w: Column, length: int) -> Column:
-    """All grams of `length` words: (h, pos, len)."""
-    return F.when(F.size(w) >= length, F.transform(
-        F.sequence(F.lit(0), F.size(w) - length),
-        lambda i: F.struct(_gram(w, i, length).alias("h"), i.alias("pos"), F.lit(length).alias("len"))))
+def _winnowed(w: Column) -> Column:
+    """For every window of ten words the least hash of its six grams of five words; null for a text of fewer words.
 
+    Hashes of 2, 4 and 5 words and least ones of 2, 4 and 6 grams are made by pairing an array with itself, shifted, so a word costs
+    six cheap steps. What pairing leaves behind the last window is cut off.
+    """
+    def pair(a: Column, b: Column, by: int) -> Column:
+        return F.zip_with(a, _shifted(b, by), lambda x, y: F.xxhash64(x, y))
 
-def _winnowed(w: Column) -> Column:
-    """The grams kept by winnowing; ties go to the leftmost gram of the window."""
-    grams = F.transform(F.sequence(F.lit(0), F.size(w) - GRAM),
-                        lambda i: F.struct(_gram(w, i, GRAM).alias("h"), i.alias("pos"), F.lit(WINDOW).alias("len")))
-    least = let(grams, lambda g: F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda j: F.array_min(F.slice(g, j, WINDOW - GRAM + 1)))))
-    return F.when(F.size(w) >= WINDOW, least)
+    def least(a: Column, by: int) -> Column:
+        return F.zip_with(a, _shifted(a, by), lambda x, y: F.least(x, y))
+
+    grams = let(F.transform(w, lambda x: F.xxhash64(x)), lambda one: let(
+        pair(one, one, 1), lambda two: pair(let(two, lambda t: pair(t, t, 2)), one, 4)))
+    pairs = let(grams, lambda g: least(g, 1))
+    fours = let(pairs, lambda m: least(m, 2))
+    sixes = let(fours, lambda m: least(m, 2))
+    return F.when(F.size(w) >= WINDOW, F.slice(sixes, 1, F.size(w) - WINDOW + 1))
+
+
+def _short_grams(w: Column, length: int) -> Column:
+    """The hash of every `length` words, for items of fewer than ten; null for a text of fewer words."""
+    return F.when(F.size(w) >= length, F.transform(
+        F.sequence(F.lit(0), F.size(w) - length),
+        lambda i: F.xxhash64(F.lit(length), *[F.get(w, i + k) for k in range(length)])))
 
 
 def _windows(w: Column, start: Column, length: Column) -> Column:
@@ -63,39 +73,37 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     of_items = cut_lineage(of_items.distinct())
     own = F.when(F.size("w") >= WINDOW, _winnowed(F.col("w")))
     for length in short:
-        own = F.when(F.size("w") == length, _whole_grams(F.col("w"), length)).otherwise(own)
-    test_grams = cut_lineage(tests.select(F.explode(own).alias("g")).select("g.h").distinct()
-                             .withColumn("met", F.lit(True)))
+        own = own.when(F.size("w") == length, _short_grams(F.col("w"), length))
+    test_grams = cut_lineage(tests.select(F.explode(own).alias("h")).distinct().withColumn("met", F.lit(True)))
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.select("id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("of"))
     split = rows.select("id", "of", words(ascii_lower(F.col("text")), NOT_ALNUM).alias("w"))
-    none = F.array().cast("array<struct<h:bigint,pos:int,len:int>>")
-    # One row per document goes along with its grams, so that one pass gives the counts as well.
-    self_row = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(-1).alias("pos"), F.lit(0).alias("len")))
-    grams = F.concat(self_row, F.coalesce(_winnowed(F.col("w")), none),
-                     *[F.coalesce(_whole_grams(F.col("w"), length), none) for length in short])
-    spread = split.select("id", "of", F.size("w").cast("long").alias("n_words"), F.explode(grams).alias("g"))
-    spread = spread.select("id", "of", "n_words", "g.h", "g.pos", "g.len")
-    met = lookup(spread, test_grams, ["h"], "pos").filter("met or pos = -1")
+    none = F.array().cast("array<long>")
+    hashes = [F.coalesce(_winnowed(F.col("w")), none), *[F.coalesce(_short_grams(F.col("w"), length), none) for length in short]]
+    # A null goes along with a document's hashes, so that one pass gives its words and its number of rows as well.
+    every = F.concat(F.array(F.lit(None).cast("long")), F.array_distinct(F.concat(*hashes)))
+    spread = split.select("id", "of", F.size("w").cast("long").alias("n_words"), F.explode(every).alias("h"))
+    met = lookup(spread, test_grams, ["h"], "of").filter("met or h is null")
     per_doc = cut_lineage(met.groupBy("id", "of").agg(
-        F.max("n_words").alias("n_words"), F.sum(F.when(F.col("pos") == -1, 1)).alias("copies"),
-        F.collect_set(F.when(F.col("pos") >= 0, F.struct("pos", "len"))).alias("met")))
-
-    suspects = per_doc.filter(F.size("met") > 0).select("id", "of", "met")
-    again = rows.join(broadcast_if_small(suspects.select(F.col("id").alias("sid"), F.col("of").alias("sof"), "met"), 2000),
-                      F.col("id").eqNullSafe(F.col("sid")) & (F.col("of") == F.col("sof")))
-    again = again.select("id", "of", "met", words(ascii_lower(F.col("text")), NOT_ALNUM).alias("w"))
-    reach = F.flatten(F.transform("met", lambda m: F.when(m["len"] < WINDOW, F.array(F.struct(m["pos"].alias("start"), m["len"].alias("len"))))
-                                  .otherwise(F.transform(
-        F.sequence(F.greatest(F.lit(0), m["pos"] - (WINDOW - GRAM)), F.least(m["pos"], F.size("w") - WINDOW)),
-        lambda s: F.struct(s.alias("start"), F.lit(WINDOW).alias("len"))))))
-    tried = again.select("id", "of", "w", F.explode(F.array_distinct(reach)).alias("at")).select(
-        "id", "of", "at.start", "at.len", _windows(F.col("w"), F.col("at.start"), F.col("at.len")).alias("window"))
-    numbered = cut_lineage(of_items.groupBy("window").agg(F.min("item").alias("least"), F.count(F.lit(1)).alias("n_items"))
-                           .withColumn("wid", F.xxhash64("window")))
-    hits = cut_lineage(lookup(tried.dropDuplicates(["id", "of", "start", "len"]), numbered.select("window", "wid"), ["window"], "start")
-                       .filter("wid is not null"))
+        F.max("n_words").alias("n_words"), F.count(F.when(F.col("h").isNull(), 1)).alias("copies"),
+        F.count(F.when(F.col("met"), 1)).alias("n_met")))
+
+    suspects = per_doc.filter("n_met > 0").select(F.col("id").alias("sid"), F.col("of").alias("sof"))
+    again = rows.join(broadcast_if_small(suspects), F.col("id").eqNullSafe(F.col("sid")) & (F.col("of") == F.col("sof")), "left_semi")
+    again = again.select("id", "of", words(ascii_lower(F.col("text")), NOT_ALNUM).alias("w"))
+
+    def placed(found: Column, length: int) -> Column:
+        """Hashes with their start and the words of their window."""
+        return F.coalesce(F.transform(found, lambda h, i: F.struct(h.alias("h"), i.alias("start"), F.lit(length).alias("len"),
+                                                                   _windows(F.col("w"), i, F.lit(length)).alias("window"))), no_places)
+
+    no_places = F.array().cast("array<struct<h:bigint,start:int,len:int,window:string>>")
+    windows = F.concat(placed(_winnowed(F.col("w")), WINDOW), *[placed(_short_grams(F.col("w"), length), length) for length in short])
+    tried = again.select("id", "of", F.explode(windows).alias("at")).select("id", "of", "at.*")
+    tried = lookup(tried, test_grams, ["h"], "start").filter("met").select("id", "of", "start", "len", "window")
+    numbered = cut_lineage(of_items.select("window").distinct().withColumn("same", F.lit(True)))
+    hits = cut_lineage(lookup(tried, numbered, ["window"], "start").filter("same").distinct())
     covered = hits.groupBy("id", "of").agg(F.collect_set(F.struct("start", "len")).alias("spans")).select(
         "id", "of", F.size(F.array_distinct(F.flatten(F.transform(
             "spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))))).cast("long").alias("n_hit"))
