@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, mixing, simhash, tokens, toxicity
-from factloom.llm.common import read
+from factloom.llm.common import read, unused
 from factloom.operators.skew import broadcast_if_small
 from factloom.session import cut_lineage, scratch_path
 
@@ -20,7 +20,8 @@ TABLES = 4                # fingerprints per document: what one table misses bey
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below the limit. A null text counts as empty; rows are judged one by one."""
     net = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net).filter(F.col("_score") < toxicity.REJECT).select(*docs.columns)
+    score = unused(docs, "score")
+    return toxicity.score(docs, net, out=score).filter(F.col(score) < toxicity.REJECT).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,16 +31,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = cut_lineage(groups.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id")).distinct())
     stay = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
     one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    known = stay.withColumn("_row", F.row_number().over(one)).filter("_row = 1").drop("_row")
+    row = unused(docs, "row")
+    known = stay.withColumn(row, F.row_number().over(one)).filter(F.col(row) == 1).drop(row)
     return known.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of the benchmark."""
     found = decontaminate.contamination(docs, read(spark, sf_dir, "benchmark"))
-    bad = cut_lineage(found.filter("n_hit > 0").select(F.col("id").alias("_id"), F.col("of").alias("_of")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_of"))
-    return docs.join(broadcast_if_small(bad), same, "left_anti").select(*docs.columns)
+    key, of = unused(docs, "id"), unused(docs, "of")
+    bad = cut_lineage(found.filter("n_hit > 0").select(F.col("id").alias(key), F.col("of").alias(of)).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(of))
+    return docs.join(broadcast_if_small(bad), same, "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

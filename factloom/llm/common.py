@@ -19,6 +19,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, every other character as it is. `lower` is quicker and the same on ASCII text."""
     return (F.when(F.octet_length(text) == F.char_length(text), F.lower(text))
@@ -53,7 +60,7 @@ def block_pairs(spread: Column, blocks: Column, looks: Column) -> Column:
     Owners (`looks` 0) of a group meet each other and all lookers (`looks` 1); lookers don't meet. A group of `blocks`
     blocks is split by hash of `spread`; owner block i meets owner block j >= i and the lookers of every
     block once, so a pair meets in one task and no task holds more than two blocks.
-    Side 0 is compared with the whole pair of blocks, side 2 with side 1 only.
+    Side 0 is compared with its whole block, side 1 with side 2 only; sorted by side, partners come after.
     """
     n = F.coalesce(blocks, F.lit(1))
     own = F.pmod(F.xxhash64(spread), n).cast("int")
@@ -62,10 +69,10 @@ def block_pairs(spread: Column, blocks: Column, looks: Column) -> Column:
         return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
 
     every = F.sequence(F.lit(0), n - 1)
-    left = F.transform(every, lambda j: at(own, j, F.when(j == own, 0).otherwise(2)))
-    right = F.transform(F.filter(every, lambda i: i < own), lambda i: at(i, own, F.lit(1)))
-    looking = F.transform(every, lambda i: at(i, own, F.lit(1)))
-    return (F.when(n == 1, F.array(at(F.lit(0), F.lit(0), looks)))
+    left = F.transform(every, lambda j: at(own, j, F.when(j == own, 0).otherwise(1)))
+    right = F.transform(F.filter(every, lambda i: i < own), lambda i: at(i, own, F.lit(2)))
+    looking = F.transform(every, lambda i: at(i, own, F.lit(2)))
+    return (F.when(n == 1, F.array(at(F.lit(0), F.lit(0), 2 * looks)))
             .when(looks == 1, looking).otherwise(F.concat(left, right)))
 
 

@@ -215,11 +215,11 @@ def _links(rows: pa.Table, dim: int, threshold: float) -> Iterator[pa.RecordBatc
         unit = _matrix(column.slice(lo, end - lo), dim)
         unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         run, weight = side[lo:end], n[lo:end]
-        left = np.flatnonzero(run != 1)
+        left = np.flatnonzero(run != 2)
         for at in range(0, len(left), 512):
             part = left[at:at + 512]
             near = unit[part] @ unit.T >= threshold
-            near &= (run == 1)[None] | ((run[part] == 0)[:, None] & (np.arange(len(run))[None] > part[:, None]))
+            near &= (run == 2)[None] | ((run[part] == 0)[:, None] & (np.arange(len(run))[None] > part[:, None]))
             a, b = np.nonzero(near)
             np.add.at(links, lo + part[a], weight[b])
             np.add.at(links, lo + b, weight[part[a]])

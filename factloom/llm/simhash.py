@@ -80,7 +80,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Two rows link when in one of the `tables` their fingerprints differ in at most `max_distance` bits. Up to three bits
     every such pair is found. Beyond three only pairs with a half that differs by one step are found; further
     tables then find most of the rest. Rows with a null id have a fingerprint and take the component of the rows with the same
-    fingerprint (null if there is none), but lead no link on. A repeated row is two rows with one id. Other columns of `docs` don't matter.
+    fingerprint (null if there is none), but lead no link on. A repeated row is two rows with one id;
+    rows with one id and different texts link, as they are one document. Other columns of `docs` don't matter.
     """
     prints = cut_lineage(fingerprints(docs, id_col, text_col, shingle_words, tables))
     # Copies share all fingerprints: a group of copies of any size is one class with one representative.
@@ -165,24 +166,24 @@ def _links(rows: list[np.ndarray], max_distance: int) -> Iterator[pa.RecordBatch
     end = np.append(first[1:], len(side))
     last = np.repeat(end, end - first)       # the end of each row's run
     found = [[], []]
-    short = np.flatnonzero((last - np.repeat(first, end - first) <= _SHORT_RUN) & (side != 1))
+    short = np.flatnonzero((last - np.repeat(first, end - first) <= _SHORT_RUN) & (side != 2))
     for d in range(1, _SHORT_RUN):
         short = short[short + d < last[short]]
         if not len(short):
             break
         other = short + d
-        may = np.where(side[short] == 0, side[other] <= 1, side[other] == 1)
+        may = (side[short] == 0) | (side[other] == 2)
         near = may & (np.bitwise_count(prints[short] ^ prints[other]) <= max_distance)
         found[0].append(short[near])
         found[1].append(other[near])
     for lo, hi in zip(first, end):
         if hi - lo <= _SHORT_RUN:
             continue
-        left = lo + np.flatnonzero(side[lo:hi] != 1)
+        left = lo + np.flatnonzero(side[lo:hi] != 2)
         for at in range(0, len(left), 256):
             part = left[at:at + 256]
             apart = np.bitwise_count(prints[part, None] ^ prints[None, lo:hi]) <= max_distance
-            apart &= (side[lo:hi] == 1)[None, :] | ((side[part] == 0)[:, None] & (np.arange(lo, hi)[None, :] > part[:, None]))
+            apart &= (side[lo:hi] == 2)[None, :] | ((side[part] == 0)[:, None] & (np.arange(lo, hi)[None, :] > part[:, None]))
             a, b = np.nonzero(apart)
             a, b = forest(part[a], b + lo)
             found[0].append(a)

@@ -244,7 +244,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 5, steps: int = STEPS)
     for step in range(steps):
         batch = np.concatenate([rng.choice(g, BATCH // 2) for g in groups])
         net.learn([split[i] for i in batch], truth[batch], 1.0 if step < steps // 3 else 3.0, 0.08 if step < steps // 2 else 0.03)
-    if truth[aside].min(initial=1) == truth[aside].max(initial=0):
+    if len(set(truth[aside])) < 2:
         aside = order
     net.scale, net.shift = platt(net.logits([split[i] for i in aside]), truth[aside])
     net.sums = {}
@@ -272,21 +272,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r.text for r in sample], [r.label for r in sample])
 
 
-def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with `_score`, from the text alone. Every whole text gets one; a null text counts as empty."""
+def score(docs: DataFrame, net: Network, text_col: str = "text", out: str = "score") -> DataFrame:
+    """`docs` with a score in the column `out`, from the text alone. Every whole text gets one; a null text counts as empty."""
     sent = docs.sparkSession.sparkContext.broadcast(vars(net))       # plain arrays: workers need no copy of this package
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         return pa.array(Network(**sent.value).scores(texts.to_pylist()))
 
-    return docs.withColumn("_score", scored(F.col(text_col)))
+    return docs.withColumn(out, scored(F.col(text_col)))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """`id, held_out, score, predicted` for every row. Rows with null ids are scored and never held out; a repeated row is
     scored again; without labels of both classes every score is next to 0 (or 1 if all are toxic)."""
     net = train(docs, labels, id_col, text_col, label_col)
-    rows = score(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), net, "id", "text")
-    rows = cut_lineage(rows.select("id", held_out(F.col("id")).alias("held_out"), F.col("_score").alias("score")))
+    rows = score(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), net)
+    rows = cut_lineage(rows.select("id", held_out(F.col("id")).alias("held_out"), "score"))
     return rows.withColumn("predicted", (F.col("score") >= REJECT).cast("int"))
