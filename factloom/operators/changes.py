@@ -297,19 +297,36 @@ def current_version(memories: DataFrame) -> DataFrame:
     return ended.select("id", F.when(F.col("real"), F.col("next")).alias("final_id"))
 
 
-def apply_row_changes(table: DataFrame, key: list[str], changes: DataFrame) -> DataFrame:
-    """A table after inserts, updates and deletes by key.
+class RowsChanged(NamedTuple):
+    rows: DataFrame
+    refused: DataFrame      # the changes not applied, with the reason
+
+
+def apply_row_changes(table: DataFrame, key: list[str], changes: DataFrame) -> RowsChanged:
+    """A table after inserts, updates and deletes by key, and the changes that were refused.
 
     `changes`: `op` (insert, update, delete), the key columns, the other columns (missing
     ones count as null) and optionally `columns`, the names an update sets; without it an
-    update sets every given column. At most one change per key.
+    update sets every given column. Refused are all changes of a key that has several of them (their order is not known), an
+    insert of a key that the table holds, and a change with a null in its key. A change of a missing key changes nothing.
     """
     if not key:
         raise RequestError(INVALID_INPUT, "a table without a primary key cannot be changed")
     given = [c for c in table.columns if c not in key and c in changes.columns]
     named = F.col("columns") if "columns" in changes.columns else F.lit(None).cast("array<string>")
     ch = changes.select("op", *key, *given, named.alias("columns"))
-    edits = broadcast_if_small(ch.filter("op in ('update', 'delete')")).alias("c")
+    several = ch.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    no_key = F.lit(False)
+    for k in key:
+        no_key |= F.col(k).isNull()
+    ch = join_unique(ch.withColumn("_row", F.pmod(F.xxhash64("op", *given), F.lit(1 << 40))), several, key, "_row", weight="_n")
+    present = table.join(broadcast_if_small(ch.filter("op = 'insert'").select(*key).distinct()), key, "left_semi").select(*key).distinct()
+    ch = ch.join(present.withColumn("_held", F.lit(True)), key, "left")
+    why = (F.when(no_key, "the key holds a null").when(F.col("_n") > 1, "several changes of one key")
+           .when((F.col("op") == "insert") & F.col("_held"), "the key is taken"))
+    ch = cut_lineage(ch.withColumn("reason", why).drop("_row", "_n", "_held"))
+    good = ch.filter("reason is null")
+    edits = broadcast_if_small(good.filter("op in ('update', 'delete')")).alias("c")
     on = F.lit(True)
     for k in key:
         on &= F.col(f"t.{k}") == F.col(f"c.{k}")
@@ -321,5 +338,6 @@ def apply_row_changes(table: DataFrame, key: list[str], changes: DataFrame) -> D
             cols.append(F.when(sets, F.col(f"c.{n}")).otherwise(F.col(f"t.{n}")).alias(n))
         else:
             cols.append(F.col(f"t.{n}"))
-    new = ch.filter("op = 'insert'").select(*key, *given)
-    return joined.select(*cols).unionByName(new, allowMissingColumns=True)
+    new = good.filter("op = 'insert'").select(*key, *given)
+    return RowsChanged(joined.select(*cols).unionByName(new, allowMissingColumns=True),
+                       ch.filter("reason is not null").select("op", *key, "reason"))

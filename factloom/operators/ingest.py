@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -96,20 +97,31 @@ def extract_facts(chunks: DataFrame, extractor: Callable[[str], str], extra_tags
     Facts whose text is blank or not a string are dropped; a failing chunk gives none (see
     `failed_chunks`). With `max_facts` the first ones by document, chunk and position are kept.
     """
-    answered = run_extractor(chunks, extractor)
+    return extract(chunks, extractor, extra_tags, max_facts).facts
+
+
+class Extracted(NamedTuple):
+    facts: DataFrame        # doc_id, seq, pos, text, tags
+    failed: DataFrame       # doc_id, seq of chunks whose call failed or whose answer has no list of facts
+
+
+def extract(chunks: DataFrame, extractor: Callable[[str], str], extra_tags: list[str] | None = None,
+            max_facts: int | None = None) -> Extracted:
+    """Facts and failures of one pass: every chunk is sent once, and its answer is written down before anything reads it."""
+    answered = cut_lineage(run_extractor(chunks, extractor))
+    failed = answered.filter(facts_of(F.col("response")).isNull()).select("doc_id", "seq")
     raw = answered.select("doc_id", "seq", F.posexplode(facts_of(F.col("response"))).alias("pos", "fact"))
     text = F.when(F.schema_of_variant(F.try_variant_get("fact", "$.text", "variant")) == "STRING",
                   F.try_variant_get("fact", "$.text", "string"))
     tags = F.try_variant_get("fact", "$.tags", "array<string>")
     facts = raw.select("doc_id", "seq", "pos", text.alias("text"), merge_tags(tags, extra_tags or []).alias("tags"))
     facts = facts.filter(F.coalesce("text", F.lit("")) != "")
-    return facts if max_facts is None else facts.orderBy("doc_id", "seq", "pos").limit(max_facts)
+    return Extracted(facts if max_facts is None else facts.orderBy("doc_id", "seq", "pos").limit(max_facts), failed)
 
 
 def failed_chunks(chunks: DataFrame, extractor: Callable[[str], str]) -> DataFrame:
-    """`n`: chunks whose call failed or whose answer has no list of facts."""
-    answered = run_extractor(chunks, extractor)
-    return answered.agg(F.count_if(facts_of(F.col("response")).isNull()).alias("n"))
+    """`n`: chunks whose call failed or whose answer has no list of facts. Use `extract` for facts and failures of one pass."""
+    return extract(chunks, extractor).failed.agg(F.count(F.lit(1)).alias("n"))
 
 
 def as_items(facts: DataFrame, provider_label: str = SOURCE_LABEL) -> DataFrame:
@@ -124,6 +136,12 @@ def as_items(facts: DataFrame, provider_label: str = SOURCE_LABEL) -> DataFrame:
 
 
 def load_facts(memories: DataFrame, facts: DataFrame, as_of, provider: EmbeddingProvider, *,
-               user_id: str = "default", policy: str = "skip_if_near") -> Remembered:
-    """Remember all facts; near duplicates are skipped unless another policy is given."""
-    return remember_batch(memories, as_items(facts), as_of, provider, user_id=user_id, default_policy=policy)
+               user_id: str = "default", policy: str = "skip_if_near", dry_run: bool = False) -> Remembered:
+    """Remember all facts; near duplicates are skipped unless another policy is given.
+
+    The results name the fact (doc_id, seq, pos). A dry run tells what would become of each fact and gives no rows to insert.
+    """
+    items = as_items(facts)
+    done = remember_batch(memories, items, as_of, provider, user_id=user_id, default_policy=policy)
+    results = done.results.join(items.select("input_index", "doc_id", "seq", "pos"), "input_index")
+    return Remembered(done.inserted.filter("false") if dry_run else done.inserted, results)

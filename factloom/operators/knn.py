@@ -260,7 +260,9 @@ def _route(queries: DataFrame, shared, how: _Join, own_only: bool, only_cells: b
             width = np.asarray(batch.column("width"))
             own = _own_cell(angle, width)
             floor = np.asarray(batch.column("floor").cast(pa.float64()))
-            theta = np.arccos(np.clip(np.where(np.isnan(floor), -1.0, floor), -1.0, 1.0)) + _SLACK
+            # Scores are rounded, so a row may reach the floor from one digit below it.
+            lowest = np.where(np.isnan(floor), -1.0, floor) - 10.0 ** -V.SCORE_DIGITS
+            theta = np.arccos(np.clip(lowest, -1.0, 1.0)) + _SLACK
             cells = batch.column("cells")
             counts = np.diff(np.asarray(cells.offsets))
             flat = cells.flatten()

@@ -111,17 +111,25 @@ def recall_batch(memories: DataFrame, queries: DataFrame, as_of, limit: int | No
 
 
 def _fill_unscored(hits: DataFrame, q: DataFrame, pool: DataFrame, k: int, tagged: bool) -> DataFrame:
-    """Lists shorter than k get the rows without a usable vector at their end, lowest ids first.
+    """Lists shorter than k get rows without a score at their end, lowest ids first: those without a usable vector, and for a
+    query without a usable vector any row.
 
     Only the k lowest ids per user (and tag) can be needed, so no more are kept.
     """
     hits = cut_lineage(hits)
     have = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("have"))
-    short = (q.filter("floor is null").join(have, "query_id", "left").fillna(0, ["have"])
+    blind = F.col("vec").isNull() | F.forall("vec", lambda x: x == 0)
+    short = (q.filter("floor is null").withColumn("blind", blind).join(have, "query_id", "left").fillna(0, ["have"])
              .filter(F.col("have") < k))
-    if short.isEmpty():         # the usual case: the table is not read again
-        return hits
-    loose = pool.filter(_unusable())
+    for any_row in (False, True):
+        asked = short.filter("blind" if any_row else "not blind")
+        if not asked.isEmpty():         # rare: else the table is not read again
+            hits = hits.unionByName(_lowest(asked, pool if any_row else pool.filter(_unusable()), k, tagged))
+    return hits
+
+
+def _lowest(short: DataFrame, loose: DataFrame, k: int, tagged: bool) -> DataFrame:
+    """The lowest ids of `loose` for each query up to its k-th row, without a score."""
     loose = loose.select(F.col("user_id").alias("part"), "id", "tags")
     any_tag = F.lit("")         # no tag is blank, so this stands for "whatever the tags"
     if tagged:
@@ -136,7 +144,7 @@ def _fill_unscored(hits: DataFrame, q: DataFrame, pool: DataFrame, k: int, tagge
             .select("query_id", "have", F.explode("ids").alias("id")).distinct())
     place = F.col("have") + F.row_number().over(W.partitionBy("query_id").orderBy("id"))
     tail = tail.withColumn("rank", place.cast("int")).filter(F.col("rank") <= k)
-    return hits.unionByName(tail.select("query_id", "id", F.lit(None).cast("double").alias("score"), "rank"))
+    return tail.select("query_id", "id", F.lit(None).cast("double").alias("score"), "rank")
 
 
 def _hints(rows: DataFrame, items: DataFrame, strategy: str) -> DataFrame:

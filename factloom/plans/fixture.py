@@ -38,7 +38,11 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, emb = read(spark, sf_dir, "documents"), read(spark, sf_dir, "embeddings")
     n_vec = emb.agg(F.count(F.lit(1)).alias("n")).scalar()
     n_doc = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    d = docs.withColumn("n", F.least(n_vec, F.floor(n_doc / 2)))
+    # At least two rows for every vector: where documents are too few, they are taken again with the next ids.
+    n_rows = F.greatest(n_doc, 2 * n_vec)
+    again = F.explode(F.sequence(F.lit(0), F.floor((n_rows - 1) / n_doc)))
+    d = docs.select("text", "lang", "source", "doc_id", again.alias("k")).withColumn("doc_id", F.col("doc_id") + F.col("k") * n_doc)
+    d = d.filter(F.col("doc_id") < n_rows).withColumn("n", n_vec)
     d = d.withColumn("v0", F.col("doc_id") % F.col("n")).withColumn("v1", (F.col("doc_id") + 1) % F.col("n"))
     e0 = emb.select(F.col("vec_id").alias("v0"), F.col("embedding").alias("e0"))
     e1 = emb.select(F.col("vec_id").alias("v1"), F.col("embedding").alias("e1"))
@@ -91,10 +95,13 @@ def cosine_sql(a: str, b: str) -> str:
 
 # The same table in SQL; `emb` is the vector in double precision.
 MEM = f"""WITH nv AS (
-  SELECT least((SELECT count(*) FROM embeddings), (SELECT count(*) FROM documents) // 2) AS n),
+  SELECT (SELECT count(*) FROM embeddings) AS n, (SELECT count(*) FROM documents) AS n_doc),
+rows AS (
+  SELECT d.doc_id + k * n_doc AS doc_id, d.text, d.lang, d.source, n
+  FROM documents d, (SELECT n, n_doc, unnest(range((greatest(n_doc, 2 * n) - 1) // n_doc + 1)) AS k FROM nv)
+  WHERE d.doc_id + k * n_doc < greatest(n_doc, 2 * n)),
 base AS (
-  SELECT d.doc_id, d.text, d.lang, d.source, nv.n, CAST(d.doc_id % nv.n AS BIGINT) AS v0,
-    CAST((d.doc_id + 1) % nv.n AS BIGINT) AS v1 FROM documents d, nv),
+  SELECT doc_id, text, lang, source, n, CAST(doc_id % n AS BIGINT) AS v0, CAST((doc_id + 1) % n AS BIGINT) AS v1 FROM rows),
 vec AS (
   SELECT b.*, CASE WHEN b.doc_id < b.n THEN e0.embedding
     ELSE list_transform(list_zip(e0.embedding, e1.embedding), lambda x: CAST(

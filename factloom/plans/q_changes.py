@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.operators import changes as E
@@ -347,23 +348,24 @@ def copy_corresponding(spark, sf_dir):
     return maintain.copy_corresponding(s, c)
 
 
-@register("""SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate < TIMESTAMP '1997-01-01' THEN 0 ELSE l_quantity END AS l_quantity,
-  l_tax FROM (SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)
+_NTH = "l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_shipdate"
+
+
+@register(f"""SELECT l_orderkey, l_linenumber, nth, CASE WHEN l_shipdate < TIMESTAMP '1997-01-01' THEN 0 ELSE l_quantity END AS l_quantity,
+  l_tax FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {_NTH}) AS INTEGER) AS nth FROM lineitem)
   WHERE l_returnflag <> 'R'
-UNION ALL SELECT -o_orderkey - 1, 0, o_totalprice, NULL FROM orders""")
+UNION ALL SELECT -o_orderkey - 1, 0, 1, o_totalprice, NULL FROM orders""")
 def apply_row_changes(spark, sf_dir):
-    """Line items by (order, line): old ones set to quantity 0, returned ones deleted, one row added per order."""
-    item = read(spark, sf_dir, "lineitem")
-    key = ["l_orderkey", "l_linenumber"]
-    single = item.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select(*key)
-    table = item.join(single, key, "left_semi").select(*key, "l_quantity", "l_tax")
-    dated = item.join(single, key, "left_semi")
+    """All line items by (order, line, nth of them): old ones set to quantity 0, returned ones deleted, one row added per order."""
+    nth = F.row_number().over(W.partitionBy("l_orderkey", "l_linenumber").orderBy(*_NTH.split(", ")))
+    item = read(spark, sf_dir, "lineitem").withColumn("nth", nth)
+    key = ["l_orderkey", "l_linenumber", "nth"]
     none = F.lit(None).cast("double")
     returned = F.col("l_returnflag") == "R"
-    edits = dated.filter(returned | (F.col("l_shipdate") < "1997-01-01")).select(
+    edits = item.filter(returned | (F.col("l_shipdate") < "1997-01-01")).select(
         F.when(returned, "delete").otherwise("update").alias("op"), *key, F.lit(0.0).alias("l_quantity"),
         none.alias("l_tax"), F.array(F.lit("l_quantity")).alias("columns"))
     new = read(spark, sf_dir, "orders").select(
-        F.lit("insert").alias("op"), (-F.col("o_orderkey") - 1).alias("l_orderkey"), F.lit(0).alias("l_linenumber"),
+        F.lit("insert").alias("op"), (-F.col("o_orderkey") - 1).alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.lit(1).alias("nth"),
         F.col("o_totalprice").alias("l_quantity"), none.alias("l_tax"), F.lit(None).cast("array<string>").alias("columns"))
-    return E.apply_row_changes(table, key, edits.unionByName(new))
+    return E.apply_row_changes(item.select(*key, "l_quantity", "l_tax"), key, edits.unionByName(new)).rows

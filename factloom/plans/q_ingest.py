@@ -73,11 +73,9 @@ FROM one LEFT JOIN new USING (normalized_text)
 UNION ALL SELECT doc_id, CAST(pos AS INTEGER), NULL, NULL FROM item WHERE length(text) > 16000""")
 def load_facts(spark, sf_dir):
     """Facts of all documents loaded for one user. Vectors of different texts are unrelated, so only equal texts clash."""
-    items = I.as_items(I.extract_facts(_whole(spark, sf_dir), I.split_lines))
-    done = I.remember_batch(stored_memories(spark, sf_dir), items, AS_OF, MockEmbedding(64), user_id="user0",
-                            default_policy="skip_if_near")
-    return done.results.join(items.select("input_index", "doc_id", "pos"), "input_index").select(
-        "doc_id", "pos", "memory_id", "already_existed")
+    facts = I.extract(_whole(spark, sf_dir), I.split_lines).facts
+    done = I.load_facts(stored_memories(spark, sf_dir), facts, AS_OF, MockEmbedding(64), user_id="user0")
+    return done.results.select("doc_id", "pos", "memory_id", "already_existed")
 
 
 @register(MEM + f""", item AS (SELECT conv_id, turn, {trim_sql('text')} AS text, {norm_sql('text')} AS normalized_text FROM conversations),

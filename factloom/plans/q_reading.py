@@ -56,11 +56,13 @@ def read_fact_lines(spark, sf_dir):
 def read_fact_json(spark, sf_dir):
     turns = read(spark, sf_dir, "conversations")
     item = F.struct("text", F.array("role").alias("tags"), (F.col("turn") / 100).alias("importance"),
-                    F.lit("2024-03-01T10:00:00Z").alias("last_confirmed_at"))
-    arrays = turns.select("conv_id", F.to_json(F.array(item)).alias("json"))
-    items = files.json_items(arrays, "json")
+                    F.lit("2024-03-01T10:00:00Z").alias("last_confirmed_at"), F.col("conv_id").cast("string").alias("session_id"))
+    path = scratch_path(spark, "fact-json")      # one file per conversation, each a JSON array of its turns
+    arrays = turns.groupBy("conv_id").agg(F.to_json(F.collect_list(item)).alias("value"))
+    arrays.withColumn("part", F.col("conv_id")).drop("conv_id").write.partitionBy("part").text(path)
+    items = files.read_fact_json(spark, path)
     utc = F.to_utc_timestamp("last_confirmed_at", F.current_timezone())
-    return items.select("conv_id", F.md5("text").alias("text_md5"), joined("tags"), "importance",
+    return items.select(F.col("session_id").cast("long").alias("conv_id"), F.md5("text").alias("text_md5"), joined("tags"), "importance",
                         F.date_format(utc, "yyyy-MM-dd HH:mm:ss").alias("last_confirmed_at"))
 
 

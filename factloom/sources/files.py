@@ -49,9 +49,11 @@ def _typed_items(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def read_fact_json(spark: SparkSession, path: str) -> DataFrame:
-    """Items of files that each hold one JSON array: `input_index` and the item columns."""
+    """Items of files that each hold one JSON array: `input_index`, rising by file path and then place, and the item columns."""
     rows = spark.read.schema(FACT_JSON).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    return _typed_items(rows.withColumn("input_index", F.monotonically_increasing_id()), ["input_index"])
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_place"))
+    ordered = placed.orderBy("_file", "_place").withColumn("input_index", F.monotonically_increasing_id())
+    return _typed_items(ordered, ["input_index"])
 
 
 def json_items(df: DataFrame, col: str) -> DataFrame:
@@ -64,7 +66,7 @@ def json_items(df: DataFrame, col: str) -> DataFrame:
 def read_facts(spark: SparkSession, path: str, fmt: str | None = None, tags_csv: str | None = None) -> DataFrame:
     """Fact lines or JSON items; without `fmt` a first character `[` means JSON."""
     if fmt not in (None, "json", "lines"):
-        raise RequestError(INVALID_INPUT, "format must be 'lines' or 'json'")
+        raise RequestError(INVALID_INPUT, f"unknown format {fmt!r}: give json, lines or none")
     if fmt is None:
         first = spark.read.text(path).filter(F.btrim("value", F.lit(_BLANKS)) != "").first()
         fmt = "json" if first and first.value.strip().startswith("[") else "lines"
@@ -74,16 +76,18 @@ def read_facts(spark: SparkSession, path: str, fmt: str | None = None, tags_csv:
 # ---- delimited files ----------------------------------------------------------------------
 
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", quote: str = '"',
-                   required: list[str] | None = None, field_count: int | None = None) -> DataFrame:
+                   required: list[str] | None = None, field_count: int | None = None,
+                   multi_line: bool = True) -> DataFrame:
     """A delimited file with a header: string columns named in lower case, values trimmed, gaps as ''.
 
-    Quotes are doubled inside quoted fields, which may span lines. Rows of blanks and
+    Quotes are doubled inside quoted fields, which may span lines; without `multi_line` they may not, and large files are then
+    read in parts. Files of one folder must have the same header: another order of names is an error. Rows of blanks and
     delimiters are skipped. `required` headers that are missing, and with `field_count` rows of
     another length, are errors.
     """
     reader = (spark.read.option("header", True).option("sep", delimiter).option("quote", quote)
-              .option("escape", quote).option("multiLine", True).option("emptyValue", "")
-              .option("inferSchema", False).option("enforceSchema", True)
+              .option("escape", quote).option("multiLine", multi_line).option("emptyValue", "")
+              .option("inferSchema", False).option("enforceSchema", False)
               .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True))
     if field_count is not None:
         reader = reader.option("mode", "FAILFAST")

@@ -99,7 +99,7 @@ def test_row_changes(spark):
     t = spark.createDataFrame([(1, 1, "a", 5), (1, 2, "b", 6), (2, 1, "c", 7)], "k long, n long, x string, y int")
     ch = spark.createDataFrame([("update", 1, 1, None, 9, ["x"]), ("update", 1, 2, "B", 8, None), ("delete", 2, 1, None, None, None),
                                 ("insert", 3, 1, "d", 1, None)], "op string, k long, n long, x string, y int, columns array<string>")
-    assert sorted(map(tuple, E.apply_row_changes(t, ["k", "n"], ch).collect())) == [
+    assert sorted(map(tuple, E.apply_row_changes(t, ["k", "n"], ch).rows.collect())) == [
         (1, 1, None, 5), (1, 2, "B", 8), (3, 1, "d", 1)]
     with pytest.raises(RequestError):
         E.apply_row_changes(t, [], ch)
