@@ -56,8 +56,7 @@ def update_memory_batch(memories: DataFrame, items: DataFrame, as_of, provider:
 
     Items with one id apply in `input_index` order. A new text is embedded and normalized
     again (items may bring their `embedding` instead of a provider). A text that another undeleted row of
-    the user holds, or that an earlier item asks for, is refused; a text given up inside the
-    batch is free from the next batch on.
+    the user holds when the item's turn comes is refused; a text that an earlier item gave up is free.
     """
     items = P.with_clean_text(P.complete(items, _UPDATE_TYPES))
     has_text, has_tags = F.col("text").isNotNull(), F.col("tags").isNotNull()
@@ -134,17 +133,44 @@ def update_memory_batch(memories: DataFrame, items: DataFrame, as_of, provider:
 
 
 def _taken_texts(memories: DataFrame, texts: DataFrame) -> DataFrame:
-    """`input_index` of the new texts that belong to someone else."""
-    key = ["user_id", "normalized_text"]
-    wanted = broadcast_if_small(texts.select(*key).distinct())
-    holders = (memories.filter("deleted_at is null").select("id", *key).join(wanted, key)
-               .groupBy(*key).agg(F.min("id").alias("low"), F.max("id").alias("high")))
-    first = texts.groupBy(*key).agg(F.min_by("id", "input_index").alias("first_id"))
-    owned = first.join(holders, key, "left")
-    joined = join_unique(texts.select("input_index", "id", *key), owned, key, "input_index")
-    held = (F.col("low") != F.col("id")) | (F.col("high") != F.col("id"))
-    return joined.filter(F.coalesce(held, F.lit(False)) | (F.col("low").isNull() & (F.col("first_id") != F.col("id")))
-                         ).select("input_index")
+    """`input_index` of the new texts that someone else holds when their turn comes, as if the items ran one after the other.
+
+    A text is held by the undeleted rows that have it; an accepted item gives up its row's old text. In each round an item is
+    refused if a holder other than its row has no open item before it, and accepted if nobody else holds or asks for the text before it
+    and its row has no open item before it. All that one holder keeps is refused at once, so the rounds follow
+    chains of texts that are passed on, not the number of items. The first open item is always decided.
+    """
+    def key(user: str, text: str) -> Column:
+        return F.sha2(F.concat_ws("\x01", user, text), 256).alias("key")
+
+    open_items = cut_lineage(texts.select("input_index", "id", key("user_id", "normalized_text")))
+    wanted = broadcast_if_small(open_items.select("key").distinct())
+    rows = memories.filter("deleted_at is null").select("id", key("user_id", "normalized_text"))
+    held = cut_lineage(rows.join(wanted, "key", "left_semi"))
+    refused = open_items.select("input_index").filter("false")
+    while not open_items.isEmpty():
+        turn = open_items.groupBy("id").agg(F.min("input_index").alias("turn"))
+        holders = held.join(turn, "id", "left")
+        stays = F.col("turn").isNull()
+        of_key = cut_lineage(holders.groupBy("key").agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.when(stays, F.col("id"))).alias("low"), F.max(F.when(stays, F.col("id"))).alias("high"),
+            F.max(F.when(~stays, F.struct("turn", "id"))).alias("last")))
+        asked = cut_lineage(open_items.groupBy("key").agg(F.min("input_index").alias("asked")))
+        seen = join_unique(open_items, of_key, ["key"], "input_index")
+        seen = join_unique(seen, asked, ["key"], "input_index")
+        seen = join_unique(seen, turn, ["id"], "input_index")
+        mine = held.select("id", "key", F.lit(1).alias("mine")).distinct()
+        seen = join_unique(seen, mine, ["id", "key"], "input_index")
+        kept = F.coalesce((F.col("low") != F.col("id")) | (F.col("high") != F.col("id")), F.lit(False))
+        kept |= F.coalesce((F.col("last.id") != F.col("id")) & (F.col("last.turn") > F.col("input_index")), F.lit(False))
+        others = F.coalesce("n", F.lit(0)) - F.coalesce("mine", F.lit(0))
+        free = (others == 0) & (F.col("asked") == F.col("input_index")) & (F.col("turn") == F.col("input_index"))
+        decided = cut_lineage(seen.select("input_index", "id", "key", F.when(kept, "no").when(free, "yes").alias("verdict")))
+        refused = cut_lineage(refused.unionByName(decided.filter("verdict = 'no'").select("input_index")))
+        new = decided.filter("verdict = 'yes'").select("id", "key")
+        held = cut_lineage(held.join(new.select("id"), "id", "left_anti").unionByName(new))
+        open_items = cut_lineage(decided.filter("verdict is null").drop("verdict"))
+    return refused
 
 
 def update_memory(memories: DataFrame, id: int, as_of, provider: P.EmbeddingProvider | None = None,

@@ -35,8 +35,8 @@ def remember_batch(memories: DataFrame, items: DataFrame, as_of, provider: Embed
     has the same user and normalized text; with policy `skip_if_near` also when an active
     row, or an inserted and unexpired item before it, scores 0.90 or more. The order is
     that of `input_index`. Items may bring their own `user_id` and `embedding`; without a
-    `provider` they must bring the embedding. `next_id` is the first id to give out; the
-    default is one above the largest id in the table.
+    `provider` they must bring the embedding. Ids go on from `next_id` (of the snapshot, see `load_snapshot`), so that the ids of
+    hard-deleted rows are not given out again, and always above the largest id in the table.
 
     Results: input_index, ok, memory_id, already_existed, message, candidates,
     previously_corrected (arrays of id and score), error_code, error_message.
@@ -80,8 +80,7 @@ def remember_batch(memories: DataFrame, items: DataFrame, as_of, provider: Embed
                  .filter(~(skips & F.col("near").isNotNull())).drop("near"))
     chosen = _first_come(_may_insert(unblocked), strategy)
 
-    start = F.lit(next_id) if next_id is not None else memories.agg(
-        (F.coalesce(F.max("id"), F.lit(0)) + 1).alias("x")).scalar()
+    start = memories.agg(F.greatest(F.coalesce(F.max("id"), F.lit(0)) + 1, F.lit(next_id or 1)).alias("x")).scalar()
     inserted = valid.join(chosen, "input_index", "left_semi")
     inserted = cut_lineage(dense_position(inserted, "input_index", "id", start))
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom import schema as S
 from factloom.operators import changes as E
 from factloom.operators import maintain, prepare, remember, reports
+from factloom.operators.prepare import MockEmbedding
 from factloom.plans.fixture import (ACTIVE_SQL, AS_OF, AS_OF_SQL, MEM, cosine_sql, joined, memories, norm_sql, stamp,
                                     stamp_sql, stored_memories, trim_sql)
 from factloom.plans.registry import read, register
+from factloom.session import scratch_path
+from factloom.sources.tables import load_snapshot, save_snapshot
 
 # ---- remember -----------------------------------------------------------------------------
 
@@ -369,3 +373,35 @@ def apply_row_changes(spark, sf_dir):
         F.lit("insert").alias("op"), (-F.col("o_orderkey") - 1).alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.lit(1).alias("nth"),
         F.col("o_totalprice").alias("l_quantity"), none.alias("l_tax"), F.lit(None).cast("array<string>").alias("columns"))
     return E.apply_row_changes(item.select(*key, "l_quantity", "l_tax"), key, edits.unionByName(new)).rows
+
+
+@register(MEM + """, top AS (SELECT max(id) AS m FROM mem), item AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT m + row_number() OVER (ORDER BY conv_id) AS id, 'new fact ' || conv_id AS text FROM item, top
+UNION ALL SELECT id, NULL FROM mem, top WHERE id <= m - 10""")
+def remember_after_hard_delete(spark, sf_dir):
+    """The ten largest ids deleted for good, then new facts: ids go on above them, by the mark of the snapshot."""
+    root = scratch_path(spark, "snapshots")
+    first = save_snapshot(memories(spark, sf_dir), root)
+    gone = spark.range(first.next_id - 10, first.next_id).select(F.col("id").alias("input_index"), "id")
+    save_snapshot(E.forget(first.memories, gone, AS_OF, hard=True).memories, root)
+    now = load_snapshot(spark, root)
+    items = read(spark, sf_dir, "conversations").select("conv_id").distinct().select(
+        F.col("conv_id").alias("input_index"), F.concat(F.lit("new fact "), F.col("conv_id").cast("string")).alias("text"))
+    done = remember.remember_batch(now.memories, items, AS_OF, MockEmbedding(64), user_id="user0", default_policy="insert", next_id=now.next_id)
+    after = save_snapshot(now.memories.unionByName(done.inserted), root, now.next_id)
+    return after.memories.select("id", F.when(F.col("id") >= now.next_id, F.col("text")).alias("text"))
+
+
+@register("""SELECT doc_id + 1 AS id, CASE WHEN doc_id % 3 = 0 THEN 'spare ' || doc_id ELSE 'text ' || (doc_id - 1) END AS text,
+  true AS ok FROM documents""")
+def update_passes_texts_on(spark, sf_dir):
+    """Rows by threes: the first takes a new text, the others, in order, the text that the row before gave up a moment ago."""
+    doc, name = F.col("doc_id"), F.concat(F.lit("text "), F.col("doc_id").cast("string"))
+    docs = read(spark, sf_dir, "documents").select("doc_id")
+    table = S.as_memories(docs.select((doc + 1).alias("id"), F.lit("u").alias("user_id"), name.alias("text"), name.alias("normalized_text")))
+    given = (F.when(doc % 3 == 0, F.concat(F.lit("spare "), doc.cast("string")))
+             .otherwise(F.concat(F.lit("text "), (doc - 1).cast("string"))))
+    items = docs.select(doc.alias("input_index"), (doc + 1).alias("id"), given.alias("text"),
+                        F.array(F.lit(1.0)).cast("array<float>").alias("embedding"))
+    done = E.update_memory_batch(table, items, AS_OF)
+    return done.memories.select("id", "text").join(done.results.select("id", "ok"), "id")

@@ -43,6 +43,25 @@ def test_a_text_of_someone_else_is_refused(spark, table):
     assert {x.id: x.text for x in done.memories.collect()} == {1: "three", 2: "Two", 3: "Three", 4: "two"}
 
 
+def test_updates_run_as_if_one_after_the_other(spark):
+    import random
+    random.seed(5)
+    for trial in range(3):
+        start = {i: random.choice("abcdefgh") for i in range(1, 7)}
+        asked = [(n, random.randint(1, 6), random.choice("abcdefghij")) for n in range(24)]
+        texts, want = dict(start), []
+        for _, i, t in asked:
+            ok = all(j == i or x != t for j, x in texts.items())
+            want.append(ok)
+            if ok:
+                texts[i] = t
+        table = memories(spark, [{"text": start[i]} for i in range(1, 7)])
+        items = spark.createDataFrame([(n, i, t, None, None, None) for n, i, t in asked], ITEM)
+        done = E.update_memory_batch(table, items, NOW, MockEmbedding(4))
+        assert [r.ok for r in done.results.orderBy("input_index").collect()] == want
+        assert {r.id: r.text for r in done.memories.collect()} == texts
+
+
 def test_dry_run_and_single_update(spark, table):
     items = spark.createDataFrame([(0, 1, "New", None, None, None)], ITEM)
     done = E.update_memory_batch(table, items, NOW, dry_run=True)
@@ -105,6 +124,16 @@ def test_row_changes(spark):
         E.apply_row_changes(t, [], ch)
 
 
+def test_row_changes_that_are_refused(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "k long, x string")
+    ch = spark.createDataFrame([("insert", 2, "B"), ("update", 1, "A"), ("delete", 1, None), ("delete", 3, None), ("insert", None, "n"), ("update", 9, "z")],
+                               "op string, k long, x string")
+    done = E.apply_row_changes(t, ["k"], ch)
+    assert sorted(map(tuple, done.rows.collect())) == [(1, "a"), (2, "b")]
+    assert sorted((r.op, r.k, r.reason) for r in done.refused.collect() if r.k) == [
+        ("delete", 1, "several changes of one key"), ("insert", 2, "the key is taken"), ("update", 1, "several changes of one key")]
+
+
 def test_reembed_is_resumable(spark, table):
     once = M.reembed(table, MockEmbedding(8), NOW)
     assert {len(r.embedding) for r in once.collect()} == {8}
