@@ -11,12 +11,17 @@ and a lost task writes its rows again.
 
 from __future__ import annotations
 
+import os
+import string
 import struct
+import sys
 import zlib
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,7 +34,9 @@ SEGMENT_TOKENS = 1 << 18      # a segment ends with the first document that reac
 RANK_BITS = 512
 MAGIC = b"DAC1"
 END_ID = 1
-_WORDS = 300_000              # encoded words a task remembers
+_WORDS = 600_000              # encoded words a worker remembers
+_BYTES = 4 << 20              # of text whose words are looked up together
+_PUNCTUATION = string.punctuation.encode()
 _TYPES = {8: np.dtype("u1"), 16: np.dtype("<u2")}
 _SEGMENT = "part int, seq int, first long, n_docs int, n_tokens long, payload binary"
 
@@ -140,25 +147,79 @@ def pack_segment(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
 
 
 class Encoder:
-    """Ids of whole texts. This tokenizer never joins what ASCII white space parts, so each distinct word is encoded once
-    and remembered; a text's ids are those of its words in order."""
+    """Ids of whole texts. This tokenizer never joins what ASCII white space parts, nor a letter and the ASCII punctuation after it, and it ignores case.
+    So a text's ids are those of its words in order, and of a word those of its letters and its closing punctuation. Each is
+    encoded once and remembered."""
+
+    @staticmethod
+    def of_process(tokenizer_path: str) -> Encoder:
+        """The encoder that all tasks of a worker process share. Task code travels by value and forgets its globals with each task; a module entry stays."""
+        kept = sys.modules.setdefault("_token_encoders", ModuleType("_token_encoders"))
+        if tokenizer_path not in vars(kept):
+            setattr(kept, tokenizer_path, Encoder(tokenizer_path))
+        return vars(kept)[tokenizer_path]
 
     def __init__(self, tokenizer_path: str) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
+        self.codes = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes | None], end_id: int) -> Iterator[bytes]:
-        end = np.array([end_id], "<u4").tobytes()
-        for text in texts:
-            parts = (text or b"").split()
-            if len(self.known) > _WORDS:
-                self.known.clear()
-            new = list({p for p in parts if p not in self.known})
-            if new:
-                found = self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False)
-                self.known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found)))
-            yield b"".join(map(self.known.__getitem__, parts)) + end
+        self.parts: dict[bytes, bytes] = {}
+
+    def encode(self, texts: pa.Array, end_id: int) -> Iterator[bytes]:
+        """The ids of each text as little-endian 32-bit integers, `end_id` last. Null is empty."""
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
+        lo = 0
+        while lo < len(texts):                   # a part has some megabytes of text, or one text
+            limit = (ends[lo - 1] if lo else 0) + _BYTES
+            hi = max(lo + 1, int(np.searchsorted(ends, limit, side="right")))
+            yield from self._encode(pc.fill_null(texts.slice(lo, hi - lo), ""), struct.pack("<I", end_id))
+            lo = hi
+
+    def _encode(self, texts: pa.Array, end: bytes) -> Iterator[bytes]:
+        if len(self.known) > _WORDS:
+            self.known, self.parts = {}, {}
+        split = pc.ascii_split_whitespace(texts)
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary.cast(pa.binary()).to_pylist()
+        self._learn([w for w in words if w not in self.known])
+        coded = [self.known[w] for w in words]
+        ids, sizes = np.frombuffer(b"".join(coded), "<u4"), np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        starts, at = np.cumsum(sizes) - sizes, numbered.indices.to_numpy(zero_copy_only=False)
+        bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
+        many = sizes[at]
+        before = np.concatenate([[0], np.cumsum(many)])
+        places = np.repeat(starts[at] - before[:-1], many) + np.arange(before[-1])
+        found, cut = ids[places].tobytes(), (4 * before[bounds]).tolist()
+        for first, last in zip(cut, cut[1:]):
+            yield found[first:last] + end
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Add words to those known: letters and closing punctuation apart, anything else as a whole."""
+        known, parts, whole, keys, closings = self.known, self.parts, set(), [], []
+        for word in new:
+            letters = word.rstrip(_PUNCTUATION)      # an empty word, before leading space, has no ids
+            if letters.isalpha():                # ASCII letters alone: one word to the tokenizer, and lower case is all it changes
+                key = letters.lower()
+                if key not in parts:
+                    parts[key] = b"".join([self.codes[t.id] for t in self.model.tokenize(key.decode())])
+            else:
+                key = letters
+                if not key.decode().lower().isalpha():      # digits, signs inside, letters that part in lower case
+                    key = letters = word
+                if key not in parts:
+                    whole.add(key)
+            closing = word[len(letters):]
+            if closing and closing not in parts:
+                whole.add(closing)
+            keys.append(key)
+            closings.append(closing)
+        rest = list(whole)
+        for key, found in zip(rest, self.tokenizer.encode_batch_fast([k.decode() for k in rest], add_special_tokens=False)):
+            parts[key] = b"".join([self.codes[i] for i in found.ids])
+        for word, key, closing in zip(new, keys, closings):
+            known[word] = parts[key] + parts[closing] if closing else parts[key]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -168,18 +229,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     Null ids come first; rows with one id are ordered by their texts' hashes, and each is a document. A null or empty
     text has the end id only. No column but the two named ones is read. An empty table gives no segments.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = [F.asc_nulls_first("id"), F.asc_nulls_first("of")]
     dealt = (rows.withColumn("of", F.xxhash64("text")).repartitionByRange(shuffle_partitions(docs.sparkSession), *order)
              .sortWithinPartitions(*order).select("id", "text"))
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part = Encoder(tokenizer_path), TaskContext.get().partitionId()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"         # the task's own core only
+        encoder, part = Encoder.of_process(tokenizer_path), TaskContext.get().partitionId()
         held_ids, held, size, seq, first = [], [], 0, 0, 0
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist(), end_id)):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1), end_id)):
                 held_ids.append(doc)
                 held.append(ids)
                 size += len(ids) // 4
