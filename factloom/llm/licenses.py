@@ -141,3 +141,45 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
                         F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
                         shown(own).alias("base_labels"), shown(F.concat(own, more)).alias("labels"),
                         F.when(F.size(places) > 0, 1.0).otherwise(F.round(F.least(F.coalesce(best, F.lit(0.0)), F.lit(1.0)), 6)).alias("score"))
+
+
+def _sql() -> str:
+    rows = []
+    for k, n in enumerate((*BASE, *NOTICES)):
+        key = range(n.key_at, n.key_at + len(n.key.split()))
+        rows += [f"({k}, '{n.label}', {k < len(BASE)}, {i}, '{x}', {i in key})" for i, x in enumerate(n.words)]
+    return rf"""
+WITH doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+stands AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM doc),
+notice(k, label, base, pos, word, in_key) AS (VALUES {', '.join(rows)}),
+df AS (SELECT word, count(DISTINCT doc_id) AS df FROM stands WHERE word IN (SELECT word FROM notice) GROUP BY word),
+weighed AS (
+  SELECT n.*, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (coalesce(df, 0) + 1)) AS idf FROM notice n LEFT JOIN df USING (word)),
+rare AS (
+  SELECT k, pos FROM (SELECT k, word, min(pos) AS pos, any_value(idf) AS idf FROM weighed GROUP BY k, word)
+  QUALIFY row_number() OVER (PARTITION BY k ORDER BY idf DESC, pos) <= 2),
+indexed AS (SELECT w.*, r.pos IS NOT NULL AS rare FROM weighed w LEFT JOIN rare r ON w.k = r.k AND w.pos = r.pos),
+whole AS (SELECT k, sum(idf + 1e-9) AS weight, count(*) FILTER (WHERE in_key) AS n_key, count(*) FILTER (WHERE rare) AS n_rare FROM indexed GROUP BY k),
+met AS (
+  SELECT doc_id, k, any_value(label) AS label, any_value(base) AS base, place - pos AS start, sum(idf + 1e-9) AS weight,
+    count(*) FILTER (WHERE in_key) AS n_key, count(*) FILTER (WHERE rare) AS n_rare
+  FROM stands JOIN indexed USING (word) GROUP BY doc_id, k, place - pos),
+found AS (
+  SELECT doc_id, label, base, start, met.weight / whole.weight AS share FROM met JOIN whole USING (k)
+  WHERE met.n_key = whole.n_key AND met.n_rare = whole.n_rare AND (base OR met.weight / whole.weight >= {LEAST_SHARE})),
+labelled AS (
+  SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels, string_agg(label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels
+  FROM (SELECT doc_id, label, bool_or(base) AS base FROM found GROUP BY doc_id, label) GROUP BY doc_id),
+counted AS (
+  SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word, max(start) FILTER (WHERE base) AS last_word,
+    max(share) AS share FROM found GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE round(least(coalesce(share, 0), 1), 6) END AS score
+FROM doc d LEFT JOIN labelled USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""
+
+
+SQL = _sql()

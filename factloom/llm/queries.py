@@ -92,7 +92,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-for _query, _sql in ((op1_simhash, None), (op2_mixing, mixing.SQL), (op3_licenses, None), (op4_tokens, None),
+for _query, _sql in ((op1_simhash, None), (op2_mixing, mixing.SQL), (op3_licenses, licenses.SQL), (op4_tokens, None),
                      (op5_url_filter, urls.SQL), (op6_line_dedup, lines.SQL),
                      (op7_secrets, None), (op8_decontamination, decontaminate.SQL), (op9_toxicity, None), (op10_embedding_dups, embedding_dups.SQL),
                      (pipeline, corpus_pipeline.ORACLE_SQL)):
