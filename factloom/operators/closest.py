@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.operators.skew import join_unique
-from factloom.session import cut_lineage
+from factloom.session import cut_lineage, shuffle_partitions
 
 HELD_CANDIDATES = 20_000     # most candidates handed to every task
 HELD_BYTES = 16 << 20
@@ -80,7 +80,8 @@ def closest_match_join(left: DataFrame, right: DataFrame, left_text: str, right_
             for batch in batches:
                 yield _best(batch["form"], shared.value)
 
-        scored = texts.mapInPandas(scan, schema)
+        # Little data can be much scoring, so the texts are spread over all tasks.
+        scored = texts.repartition(shuffle_partitions(left.sparkSession), "form").mapInPandas(scan, schema)
     else:
         n_right = max(1, -(-cands.count() // BLOCK_ROWS))
         n_left = max(1, -(-texts.count() // BLOCK_ROWS))
@@ -101,14 +102,30 @@ def closest_match_join(left: DataFrame, right: DataFrame, left_text: str, right_
     return join_unique(keyed, won, ["form"], "_at").drop("form", "_at")
 
 
+def _highest(a: str, b: str) -> float:
+    """No less than the similarity of texts of these lengths with this common prefix, whatever their other characters."""
+    short, long = sorted((len(a), len(b)))
+    if not short:
+        return 1.0
+    jaro = (2 + short / long) / 3
+    prefix = 0
+    while prefix < short and a[prefix] == b[prefix]:
+        prefix += 1
+    return jaro + min(0.1, 1 / long) * prefix * (1 - jaro) + 1e-5
+
+
 def _best(forms: pd.Series, cands: list[tuple[int, str]]) -> pd.DataFrame:
     rows = []
     for form in forms:
         top, at = -1.0, None
         for ord_, cand in cands:
+            if at is not None and _highest(form, cand) <= top:
+                continue
             s = jaro_winkler(form, cand)
             if s > top:
                 top, at = s, ord_
+                if top >= 1.0:
+                    break
         if at is not None:
             rows.append((form, at, top))
     return pd.DataFrame(rows, columns=["form", "ord", "similarity"])

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factloom.session import cut_lineage
+
 HOT_SHARE = 1000        # a key with more than 1/1000 of the rows is hot, so there are fewer than 1000 of them
 SMALL_ROWS = 10_000     # a counted side of at most this many rows is broadcast
 
@@ -42,22 +44,29 @@ def join_unique(left: DataFrame, right: DataFrame, on: list[str], row_key: str,
                          *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in payload])
 
 
-def dense_position(df: DataFrame, order: str, out: str, start=None) -> DataFrame:
-    """`df` with `out` = start, start+1, ... in the order of the unique long column `order`.
+def running_sums(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
+    """`df` with running totals (the row included) of columns in a total order, without one sorted task.
 
-    Rows are numbered inside buckets of 65536 order values; only the bucket sizes pass
-    through one running sum.
+    Rows are range-partitioned by the order; each part sums its own rows, and what the parts before it hold, one
+    row per part, is added. The order must tell all rows apart for a repeatable result.
     """
-    bucket = F.shiftright(F.col(order), 16)
-    rows = df.withColumn("_bucket", bucket)
-    sizes = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
-    offsets = sizes.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_bucket").orderBy(order))
-    numbered = rows.withColumn("_inside", inside).join(offsets, "_bucket")
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = cut_lineage(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    whole = parts.groupBy("_part").agg(*[F.sum(c).alias(f"_all_{o}") for o, c in sums.items()])
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)         # one row per part
+    offsets = whole.select("_part", *[F.coalesce(F.sum(f"_all_{o}").over(before), F.lit(0)).alias(f"_off_{o}") for o in sums])
+    upto = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    inside = parts.select("*", *[F.sum(c).over(upto).alias(f"_in_{o}") for o, c in sums.items()])
+    joined = inside.join(F.broadcast(offsets), "_part")                       # at most n rows
+    return joined.select(*df.columns, *[(F.col(f"_in_{o}") + F.col(f"_off_{o}")).alias(o) for o in sums])
+
+
+def dense_position(df: DataFrame, order: str, out: str, start=None) -> DataFrame:
+    """`df` with `out` = start, start+1, ... in the order of the unique column `order`."""
+    numbered = running_sums(df.withColumn("_one", F.lit(1).cast("long")), [order], {"_nth": "_one"})
     first = F.lit(0) if start is None else start
-    return numbered.withColumn(out, (first + F.col("_before") + F.col("_inside") - 1).cast("long")).drop(
-        "_bucket", "_inside", "_before")
+    return numbered.withColumn(out, (first + F.col("_nth") - 1).cast("long")).drop("_one", "_nth")
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
