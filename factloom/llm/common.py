@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.operators.skew import join_unique
-from factloom.session import cut_lineage
+from factloom.operators.skew import join_unique, running_sums  # noqa: F401
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = r"[\x20\x09-\x0D]+"                                  # what stands between words
@@ -76,24 +74,6 @@ def block_pairs(spread: Column, blocks: Column, looks: Column) -> Column:
             .when(looks == 1, looking).otherwise(F.concat(left, right)))
 
 
-def running_sums(df: DataFrame, order: list, sums: dict[str, str]) -> DataFrame:
-    """`df` with running totals (the row included) of columns in a total order, without one sorted task.
-
-    Rows are range-partitioned by the order; each part sums its own rows, and what the parts before it hold, one
-    row per part, is added. The order must tell all rows apart for a repeatable result.
-    """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = cut_lineage(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
-    whole = parts.groupBy("_part").agg(*[F.sum(c).alias(f"_all_{o}") for o, c in sums.items()])
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)         # one row per part
-    offsets = whole.select("_part", *[F.coalesce(F.sum(f"_all_{o}").over(before), F.lit(0)).alias(f"_off_{o}") for o in sums])
-    upto = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    inside = parts.select("*", *[F.sum(c).over(upto).alias(f"_in_{o}") for o, c in sums.items()])
-    joined = inside.join(F.broadcast(offsets), "_part")                       # at most n rows
-    return joined.select(*df.columns, *[(F.col(f"_in_{o}") + F.col(f"_off_{o}")).alias(o) for o in sums])
-
-
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As few links as connect what the given links connect: from each row to the least of its group."""
     if not len(a):
