@@ -69,9 +69,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete the folders that `cut_lineage` wrote for jobs that have ended."""
+def scratch_count() -> int:
+    """How many folders `cut_lineage` has written; where a job starts, for `drop_scratch` at its end."""
+    return len(_WRITTEN)
+
+
+def drop_scratch(spark: SparkSession, since: int = 0) -> None:
+    """Delete the folders that `cut_lineage` wrote since then, when the results that read them are stored."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _WRITTEN:
+    while len(_WRITTEN) > since:
         path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         path.getFileSystem(conf).delete(path, True)
