@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factloom.llm import decontaminate, mixing, simhash, tokens, toxicity
 from factloom.llm.common import read, unused
 from factloom.operators.skew import broadcast_if_small
-from factloom.session import cut_lineage, scratch_path
+from factloom.session import cut_lineage, drop_scratch, scratch_count, scratch_path
 
 SHINGLE_WORDS = 5
 MAX_DISTANCE = 9          # of 64 bits: an estimated similarity of shingle sets of 0.8 and more
@@ -70,10 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written to the shared folder and read again."""
+    """All stages over the documents, each written to the shared folder and read again; a stage's working copies go when it is stored."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = scratch_path(spark, f"stage-{name}")
+        path, before = scratch_path(spark, f"stage-{name}"), scratch_count()
         stage(spark, docs, sf_dir).write.parquet(path)
+        drop_scratch(spark, before)
         docs = spark.read.parquet(path)
     return docs
