@@ -14,7 +14,7 @@ from factloom.session import cut_lineage, drop_scratch, scratch_count, scratch_p
 
 SHINGLE_WORDS = 5
 MAX_DISTANCE = 9          # of 64 bits: an estimated similarity of shingle sets of 0.8 and more
-TABLES = 8                # fingerprints per document: what one table misses beyond three bits another one finds
+TABLES = 6                # fingerprints per document: what one table misses beyond three bits another one finds
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,10 +94,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = _pairs(owners.select("print"), max_distance, cell_rows)
         left = owners.select(F.col("print").alias("a"), F.col("owner").alias("id_a"))
         right = owners.select(F.col("print").alias("b"), F.col("owner").alias("id_b"))
-        links = cut_lineage(pairs).join(left, "a").join(right, "b").select("id_a", "id_b")
+        links = cut_lineage(cut_lineage(pairs).join(left, "a").join(right, "b").select("id_a", "id_b"))
         if tables > 1:       # classes that share this table's fingerprint only
             shared = lookup(one, owners, ["print"], "rep").filter("owner != rep")
-            links = links.unionByName(shared.select(F.col("owner").alias("id_a"), F.col("rep").alias("id_b")))
+            links = links.unionByName(cut_lineage(shared.select(F.col("owner").alias("id_a"), F.col("rep").alias("id_b"))))
         edges = links if edges is None else edges.unionByName(links)
     found = connected_components(edges).select(F.col("id").alias("rep"), "label")
     named = cut_lineage(classes.join(found, "rep", "left")

@@ -8,6 +8,7 @@ through a smooth maximum. The logit becomes a probability by a logistic fit on t
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -259,17 +260,30 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           per_class: int = SAMPLE_PER_CLASS, max_chars: int = SAMPLE_CHARS) -> Network:
     """A network fitted on at most `per_class` labelled rows of each class, those with the least hashes of their ids. Labels of
-    held-out rows, null labels and null ids are not used; of several labels of an id the largest counts."""
+    held-out rows, null labels and null ids are not used; of several labels of an id the largest counts. The sample has a fixed bound, so one task
+    fits the network and only its weights come to the driver."""
     known = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
              .filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id"))))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     short = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sample = []
+    sample = None
     for k in (0, 1):
         picked = known.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class)
         found = short.join(F.broadcast(picked), "id").filter(F.char_length("text") <= max_chars)      # at most per_class ids
-        sample += found.groupBy("id", "label").agg(F.max("text").alias("text")).orderBy(F.xxhash64("id"), "id").limit(per_class).collect()
-    return fit([r.text for r in sample], [r.label for r in sample])
+        one = found.groupBy("id", "label").agg(F.max("text").alias("text"))
+        sample = one if sample is None else sample.unionByName(one)
+
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, truth = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            truth += batch.column(1).to_pylist()
+        weights = pickle.dumps(vars(fit(texts, truth)), protocol=5)
+        yield pa.RecordBatch.from_arrays([pa.array([weights], pa.binary())], ["weights"])
+
+    placed = sample.repartition(1).sortWithinPartitions("label", F.xxhash64("id")).select("text", "label")
+    fitted = placed.mapInArrow(fit_all, "weights binary").first()
+    return Network(**pickle.loads(fitted.weights)) if fitted else fit([], [])
 
 
 def score(docs: DataFrame, net: Network, text_col: str = "text", out: str = "score") -> DataFrame:
