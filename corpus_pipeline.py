@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, mixing, simhash, tokens, toxicity
+from factloom.llm import decontaminate, mixing, shingles, tokens, toxicity
 from factloom.llm.common import read, unused
 from factloom.operators.skew import broadcast_if_small
 from factloom.session import cut_lineage, drop_scratch, scratch_count, scratch_path
 
 SHINGLE_WORDS = 5
-MAX_DISTANCE = 9          # of 64 bits: an estimated similarity of shingle sets of 0.8 and more
+SIMILARITY = 0.8          # of shingle sets: common shingles by all shingles
+MAX_DISTANCE = 9          # of 64 bits: what fingerprints propose, where SIMILARITY decides
 TABLES = 8                # fingerprints per document: what one table misses beyond three bits another one finds
 
 
@@ -27,9 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of every group of near duplicates. Rows that share an id are one document, of which one row stays; of rows
     without an id one stays for every different text."""
-    groups = simhash.near_duplicates(docs, shingle_words=SHINGLE_WORDS, max_distance=MAX_DISTANCE, tables=TABLES)
-    first = cut_lineage(groups.filter(F.col("id") == F.col("component_id")).select(F.col("id").alias("doc_id")).distinct())
-    stay = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    rows = shingles.near_duplicates(docs, shingle_words=SHINGLE_WORDS, least=SIMILARITY, max_distance=MAX_DISTANCE, tables=TABLES)
+    first = rows.filter("id is not null").groupBy("label").agg(F.min("id").alias("doc_id"))
+    stay = docs.join(cut_lineage(first.select("doc_id").distinct()), "doc_id", "left_semi").select(*docs.columns)
     one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     row = unused(docs, "row")
     known = stay.withColumn(row, F.row_number().over(one)).filter(F.col(row) == 1).drop(row)

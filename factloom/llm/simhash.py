@@ -33,17 +33,27 @@ _FIELDS = 0x55555555
 _ONES = np.array([1 << (2 * i) for i in range(16)], dtype=np.int64)
 
 
-def fingerprint(text: bytes | None, shingle_words: int, tables: int) -> list[int]:
-    """The fingerprints of a text, as signed 64-bit integers. Table 0 hashes with XXH64; further tables
-    remix those hashes, so that each is a fingerprint of its own."""
+def shingle_hashes(text: bytes | None, shingle_words: int) -> np.ndarray:
+    """XXH64 of every shingle of a text in order; a text of fewer words is one shingle, one without words has none."""
     found = (text or b"").lower().split()      # of bytes: A-Z only, and only ASCII white space
     if not found:
-        return [0] * tables
+        return np.zeros(0, dtype=np.uint64)
     if len(found) < shingle_words:
         hashes = [xxh64_intdigest(b" ".join(found), SEED)]
     else:
         hashes = [xxh64_intdigest(b" ".join(g), SEED) for g in zip(*(found[i:] for i in range(shingle_words)))]
-    base = np.array(hashes, dtype=np.uint64)
+    return np.array(hashes, dtype=np.uint64)
+
+
+def fingerprint(text: bytes | None, shingle_words: int, tables: int) -> list[int]:
+    """The fingerprints of a text, as signed 64-bit integers. Table 0 hashes with XXH64; further tables
+    remix those hashes, so that each is a fingerprint of its own."""
+    return prints_of(shingle_hashes(text, shingle_words), tables)
+
+
+def prints_of(base: np.ndarray, tables: int) -> list[int]:
+    if not len(base):
+        return [0] * tables
     prints = []
     for t in range(tables):
         mixed = base if t == 0 else _remix(base, t)
@@ -86,7 +96,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = cut_lineage(fingerprints(docs, id_col, text_col, shingle_words, tables))
     # Copies share all fingerprints: a group of copies of any size is one class with one representative.
     classes = cut_lineage(prints.groupBy("prints").agg(F.min("id").alias("rep")))
-    linked = classes.filter("rep is not null")
+    edges = table_links(classes.filter("rep is not null"), max_distance, tables, cell_rows)
+    found = connected_components(edges).select(F.col("id").alias("rep"), "label")
+    named = cut_lineage(classes.join(found, "rep", "left")
+                        .select("prints", F.coalesce("label", "rep").alias("component_id")))
+    shown = F.lower(F.lpad(F.hex(F.col("prints")[0]), 16, "0"))
+    return lookup(prints, named, ["prints"], "id").select("id", shown.alias("fingerprint"), "component_id")
+
+
+def table_links(linked: DataFrame, max_distance: int, tables: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """`id_a, id_b`: links between the classes `rep, prints`, enough of them to connect what the links of each table connect."""
     edges = None
     for t in range(tables):
         one = linked.select("rep", F.col("prints")[t].alias("print"))
@@ -99,11 +118,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             shared = lookup(one, owners, ["print"], "rep").filter("owner != rep")
             links = links.unionByName(cut_lineage(shared.select(F.col("owner").alias("id_a"), F.col("rep").alias("id_b"))))
         edges = links if edges is None else edges.unionByName(links)
-    found = connected_components(edges).select(F.col("id").alias("rep"), "label")
-    named = cut_lineage(classes.join(found, "rep", "left")
-                        .select("prints", F.coalesce("label", "rep").alias("component_id")))
-    shown = F.lower(F.lpad(F.hex(F.col("prints")[0]), 16, "0"))
-    return lookup(prints, named, ["prints"], "id").select("id", shown.alias("fingerprint"), "component_id")
+    return edges
 
 
 def _pairs(prints: DataFrame, max_distance: int, cell_rows: int) -> DataFrame:
