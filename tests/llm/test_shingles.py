@@ -48,8 +48,36 @@ def pairs(changed, seed):
     return texts
 
 
+def test_pairs_from_the_least_similarity_up_are_found(spark):
+    texts = pairs([2 + i * 26 // 59 for i in range(60)], 1)
+    near = [similarity(plain_set(a), plain_set(b)) for a, b in zip(texts[::2], texts[1::2])]
+    assert min(near) < 0.81 and max(near) > 0.95 and all(s >= SIMILARITY for s in near)
+    assert grouped(spark, texts) == plain_groups(texts)
+
+
 def test_pairs_below_the_least_similarity_stay_apart(spark):
     texts = pairs([30 + i % 40 for i in range(60)], 2)
     near = [similarity(plain_set(a), plain_set(b)) for a, b in zip(texts[::2], texts[1::2])]
     assert min(near) > 0.5 and 0.75 < max(near) < SIMILARITY
     assert grouped(spark, texts) == list(range(len(texts)))
+
+
+def test_bands_whose_owner_is_no_neighbour(spark):
+    some = random.Random(3)
+    words = [f"w{some.randrange(100_000)}" for _ in range(900)]
+    chain = [" ".join(words[i:i + 300]) for i in range(0, 600, 25)]          # 0.85 from one to the next
+    spread = [" ".join(words[i:i + 300]) for i in range(0, 600, 40)]
+    short = ["", None, " \n", "One two", "one  two", "one", "a b c d", "a b c d e", "a b c d e f"]
+    texts = chain + pairs([10] * 6, 4) + short
+    want = plain_groups(texts)
+    assert len(set(want[:len(chain)])) == 1
+    assert grouped(spark, texts) == want and grouped(spark, texts, block_rows=2) == want
+    assert grouped(spark, spread, block_rows=2) == plain_groups(spread)
+
+
+def test_stage_keeps_the_rows_of_a_plain_version(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: r.doc_id)
+    want = [r.doc_id for r, g, i in zip(rows, plain_groups([r.text for r in rows]), range(len(rows))) if g == i]
+    got = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).select("doc_id").collect()]
+    assert sorted(got) == want
