@@ -66,7 +66,8 @@ STAGES = [
     ("tokens", write_token_files),
 ]
 
-#: The network, the fingerprints and the tokenizer have no SQL; the tests hold every stage against a plain version.
+#: The network, the fingerprints and the tokenizer have no SQL. The tests hold the near-duplicate stage against a plain comparison of all pairs; of the
+#: other stages only columns, row bounds and empty input, their operators by the registered queries (SQL, round trip, held-out labels).
 ORACLE_SQL = None
 
 
