@@ -2,21 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factloom.session import cut_lineage
 
 HOT_SHARE = 1000        # a key with more than 1/1000 of the rows is hot, so there are fewer than 1000 of them
-SMALL_ROWS = 10_000     # a counted side of at most this many rows is broadcast
+SMALL_BYTES = 16 << 20  # a side measured to have at most so many bytes is broadcast
+
+
+def value_bytes(value: Column, kind: T.DataType) -> Column | int:
+    """About the bytes of a value in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.MapType):
+        return value_bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + value_bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        each = value_bytes(F.lit(None).cast(kind.elementType), kind.elementType)
+        if isinstance(each, int):
+            return F.coalesce(F.greatest(F.size(value), F.lit(0)), F.lit(0)).cast("long") * each + 16
+        total = F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + value_bytes(x, kind.elementType))
+        return F.coalesce(total, F.lit(0).cast("long")) + 16
+    if isinstance(kind, T.StructType):
+        parts = [value_bytes(value[f.name], f.dataType) for f in kind.fields]
+        fixed = sum(x for x in parts if isinstance(x, int))
+        return sum((x for x in parts if not isinstance(x, int)), fixed)
+    return 8
+
+
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether `df` is measured to fit into SMALL_BYTES (and has at most `max_rows` rows)."""
+    parts = [value_bytes(df[f"`{f.name}`"], f.dataType) for f in df.schema.fields]
+    fixed = 16 + sum(x for x in parts if isinstance(x, int))
+    varying = sum((x for x in parts if not isinstance(x, int)), F.lit(0).cast("long"))
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(varying), F.lit(0)).alias("b")).first()
+    return fixed * found.n + found.b <= SMALL_BYTES and (max_rows is None or found.n <= max_rows)
 
 
 def join_unique(left: DataFrame, right: DataFrame, on: list[str], row_key: str, weight: str | None = None,
                 small: int | None = None) -> DataFrame:
     """`left` with the columns of `right`, where `on` is unique in `right`; unmatched left rows keep nulls.
 
-    A `right` counted to be small (`small` rows, SMALL_ROWS by default) is broadcast. Otherwise only the hot keys of `left` are
+    A `right` measured to be small (and of at most `small` rows) is broadcast. Otherwise only the hot keys of `left` are
     joined by broadcast: fewer than HOT_SHARE right rows can be hot, so that side has a
     fixed bound. The rest is an ordinary shuffled join, where a row that is already served
     gets a key of its own (from `row_key`, a long column) that matches nothing, so no
@@ -24,8 +53,7 @@ def join_unique(left: DataFrame, right: DataFrame, on: list[str], row_key: str,
     the number of left rows per key.
     """
     payload = [c for c in right.columns if c not in on]
-    small = SMALL_ROWS if small is None else min(small, SMALL_ROWS)
-    if right.limit(small + 1).count() <= small:
+    if is_small(right, small):
         return left.join(F.broadcast(right), on, "left").select(*left.columns, *payload)
     if weight is None:
         weight = "_weight"
@@ -69,10 +97,10 @@ def dense_position(df: DataFrame, order: str, out: str, start=None) -> DataFrame
     return numbered.withColumn(out, (first + F.col("_nth") - 1).cast("long")).drop("_one", "_nth")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """`df` with a broadcast hint when it is counted to have at most `max_rows` rows, else as it is.
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """`df` with a broadcast hint when it is measured to be small, else as it is.
 
     For change sets joined to the whole table: a small one spares the shuffle of the table,
     a large one is joined by shuffle.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df

@@ -338,7 +338,7 @@ def untagged_only(spark, sf_dir):
     return memories(spark, sf_dir).filter(C.untagged()).select("id")
 
 
-@register("SELECT doc_id + 1 AS id FROM documents WHERE length(text) BETWEEN 200 AND 4000")
+@register(MEM + "SELECT id FROM mem WHERE length(text) BETWEEN 200 AND 4000")
 def text_length_between(spark, sf_dir):
     return memories(spark, sf_dir).filter(C.text_length_between(200, 4000)).select("id")
 
