@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm import decontaminate, embedding_dups, licenses, lines, mixing, secrets, simhash, tokens, toxicity, urls
+from factloom.llm import decontaminate, embedding_dups, licenses, lines, mixing, ranked, secrets, simhash, suffixes, tokens, toxicity, trie, urls
 from factloom.llm.common import read
 from factloom.session import cut_lineage, scratch_path
 
@@ -87,6 +87,22 @@ def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of all rebuilt conversations."""
+    return trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of repeated strings."""
+    kept = suffixes.drop_repeats(read(spark, sf_dir, "documents"))
+    return kept.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents for every item of the benchmark."""
+    return ranked.rank(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -95,6 +111,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 for _query, _sql in ((op1_simhash, None), (op2_mixing, mixing.SQL), (op3_licenses, licenses.SQL), (op4_tokens, None),
                      (op5_url_filter, urls.SQL), (op6_line_dedup, lines.SQL),
                      (op7_secrets, None), (op8_decontamination, decontaminate.SQL), (op9_toxicity, None), (op10_embedding_dups, embedding_dups.SQL),
+                     (op11_prefix_trie, trie.SQL), (op12_suffix_dedup, None), (op13_ranked_search, ranked.SQL),
                      (pipeline, corpus_pipeline.ORACLE_SQL)):
     QUERIES[_query.__name__] = _query
     if _sql is not None:

@@ -106,7 +106,7 @@ def test_line_dedup(spark):
 @pytest.mark.parametrize("small", [False, True])
 def test_decontamination(spark, small, monkeypatch):
     if small:         # all lookups by shuffle, as with a large benchmark
-        monkeypatch.setattr("factloom.operators.skew.SMALL_ROWS", 0)
+        monkeypatch.setattr("factloom.operators.skew.SMALL_BYTES", 0)
     items = [(1, "Jumps over the lazy dog, near the old stone bridge while seven birds"), (2, "w5 w6 w7 w8 w9 w10 w11 w12 w13 w14"),
              (3, "another text"), (10, "jumps over the lazy dog near the old stone bridge"), (4, None), (5, "..."), (None, "zero"), (6, "no such words anywhere")]
     bench = spark.createDataFrame([(i, t, 1, 2) for i, t in items], "item_id long, text string, id int, h int")
