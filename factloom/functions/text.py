@@ -115,8 +115,10 @@ def iso(c: Column) -> Column:
 
 
 # Typographic quotes and their ASCII form.
-_CURLY = "‘’‛❛❜" + "“‟”❝❞〝〞"
-_STRAIGHT = "'" * 5 + '"' * 7
+QUOTES = {
+    "‘": "'", "’": "'", "‛": "'", "❛": "'", "❜": "'",
+    "“": '"', "‟": '"', "”": '"', "❝": '"', "❞": '"', "〝": '"', "〞": '"',
+}
 
 # Entities, decoded one after the other in this order.
 ENTITIES = [("&sp;", " "), ("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"),
@@ -126,7 +128,7 @@ ENTITIES = [("&sp;", " "), ("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt
 def html_to_text(c: Column) -> Column:
     """Line breaks kept, quotes made ASCII, tags blanked, entities decoded; null gives ''."""
     t = F.regexp_replace(c, r"<br *[^>]*>", "\n")
-    t = F.translate(t, _CURLY, _STRAIGHT)
+    t = F.translate(t, "".join(QUOTES), "".join(QUOTES.values()))
     t = F.regexp_replace(t, r"<[^>]*>", " ")
     for entity, char in ENTITIES:
         t = F.replace(t, F.lit(entity), F.lit(char))

@@ -108,6 +108,39 @@ def _top_pass(q: Block, b: Block, k: int, exclude_self: bool):
     return q.ids[qi[keep]], b.ids[bi[keep]], score[keep]
 
 
+def link_pairs(q: Block, b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links between ids that connect every query with the base rows that reach its floor, as few as will do; scores are zero.
+
+    Single precision decides, with its error on the side of a link.
+    """
+    margin = (q.unit.shape[1] + 8) * 2.0 ** -24 + 10.0 ** -SCORE_DIGITS
+    cut = (np.where(np.isnan(q.floor), NO_FLOOR, q.floor) - margin).astype(np.float32)
+    ids, at = np.unique(np.concatenate([q.ids, b.ids]), return_inverse=True)
+    q_at, b_at, label = at[:len(q.ids)], at[len(q.ids):], np.arange(len(ids))
+    base, step = b.unit.astype(np.float32).T, max(1, _CELLS_PER_PASS // max(1, len(b.ids)))
+    for lo in range(0, len(q.ids), step):
+        near = q.unit[lo:lo + step].astype(np.float32) @ base >= cut[lo:lo + step, None]
+        near &= b.usable[None, :] & q.usable[lo:lo + step, None]
+        i, j = np.nonzero(near)
+        label = _joined(label, q_at[lo + i], b_at[j])
+    moved = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[moved], ids[label[moved]], np.zeros(len(moved))
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (the least member of each group) after linking a with b."""
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+    return label
+
+
 def _exact_scores(q: np.ndarray, b: np.ndarray, qi: np.ndarray, bi: np.ndarray) -> np.ndarray:
     out = np.empty(len(qi))
     step = max(1, _CELLS_PER_PASS // q.shape[1])

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom import schema as S
-from factloom.errors import DATABASE_ERROR, EMBEDDING_ERROR, INVALID_INPUT, NOT_FOUND, RequestError
+from factloom.errors import (DATABASE_ERROR, EMBEDDING_ERROR, INVALID_INPUT, NEEDS_VECTORS, NO_CHANGE, NO_ID, NO_TRACE, NOT_FOUND, TEXT_TAKEN,
+                             RequestError, no_row, over)
 from factloom.functions import text as X
 from factloom.operators import prepare as P
 from factloom.operators.predicates import moment
@@ -26,12 +27,8 @@ _UPDATE_TYPES = {"input_index": "long", "id": "long", "text": "string", "tags":
 _FIELDS = ["text", "tags", "importance", "expires_at", "last_confirmed_at"]      # the order results list them in
 
 
-def _id_text(prefix: str, id_col: Column, suffix: str) -> Column:
-    return F.concat(F.lit(prefix), id_col.cast("string"), F.lit(suffix))
-
-
 def _not_found(id_col: Column) -> Column:
-    return P._error(NOT_FOUND, _id_text("Memory ", id_col, " not found."))
+    return P._error(NOT_FOUND, F.format_string(no_row("%s"), id_col.cast("string")))
 
 
 def _rewrite(memories: DataFrame, changes: DataFrame, new_values: dict[str, Column]) -> DataFrame:
@@ -60,17 +57,14 @@ def update_memory_batch(memories: DataFrame, items: DataFrame, as_of, provider:
     """
     items = P.with_clean_text(P.complete(items, _UPDATE_TYPES))
     has_text, has_tags = F.col("text").isNotNull(), F.col("tags").isNotNull()
-    rules = [(F.col("id").isNull(), P._error(INVALID_INPUT, _id_text("items[", F.col("input_index"),
-                                                                     "].id is required")))]
+    rules = [(F.col("id").isNull(), P._error(INVALID_INPUT, NO_ID))]
     rules += [(has_text & F.coalesce(broken, F.lit(False)), e) for broken, e in P.text_rules()]
     rules += P.tag_rules(F.col("tags"))
     rules += P.expiry_rules(F.col("expires_at"), as_of) + P.confirmation_rules(F.col("last_confirmed_at"), as_of)
     nothing = F.lit(True)
     for f in _FIELDS:
         nothing &= F.col(f).isNull()
-    rules.append((nothing, P._error(INVALID_INPUT, _id_text(
-        "items[", F.col("input_index"), "] supplied no changes (need at least one of: "
-        "text, tags, importance, expires_at, last_confirmed_at)."))))
+    rules.append((nothing, P._error(INVALID_INPUT, NO_CHANGE)))
     changed = F.array_compact(F.array(*[F.when(F.col(f).isNotNull(), F.lit(f)) for f in _FIELDS]))
     own_vector = ["embedding"] if "embedding" in items.columns else []
     checked = items.select(
@@ -99,10 +93,9 @@ def update_memory_batch(memories: DataFrame, items: DataFrame, as_of, provider:
                 errors.append(texts.select("input_index", P._error(EMBEDDING_ERROR, failed.embed_error).alias("error")))
                 good, texts = good.filter("text is null"), texts.filter("false")
         elif provider is None and not own_vector and not texts.isEmpty():
-            raise RequestError(EMBEDDING_ERROR, "new texts need a provider or an embedding column")
+            raise RequestError(EMBEDDING_ERROR, NEEDS_VECTORS)
         refused = cut_lineage(_taken_texts(memories, texts))
-        errors.append(refused.select("input_index", P._error(
-            DATABASE_ERROR, "another memory already has this text").alias("error")))
+        errors.append(refused.select("input_index", P._error(DATABASE_ERROR, TEXT_TAKEN).alias("error")))
         good = good.join(refused.select("input_index"), "input_index", "left_anti")
         texts = texts.join(refused.select("input_index"), "input_index", "left_anti")
     bad = errors[0]
@@ -216,7 +209,7 @@ def _with_error(rows: DataFrame, rules) -> DataFrame:
 def _clean_reason(reason: str | None) -> str | None:
     reason = (reason or "").strip(X._BLANKS) or None
     if reason is not None and len(reason) > S.MAX_FORGET_REASON_CHARS:
-        raise RequestError(INVALID_INPUT, f"forget_reason is too long ({len(reason)} > {S.MAX_FORGET_REASON_CHARS}).")
+        raise RequestError(INVALID_INPUT, over("reason characters", len(reason), S.MAX_FORGET_REASON_CHARS))
     return reason
 
 
@@ -240,12 +233,10 @@ def forget(memories: DataFrame, requests: DataFrame, as_of, hard: bool = False,
     requests = requests.withColumn("reason", P.blank_to_null(F.col("reason")))
     rows = _found(memories, requests)
     length = F.char_length("reason")
-    rules = [(length > S.MAX_FORGET_REASON_CHARS, P._error(INVALID_INPUT, F.concat(
-        F.lit("forget_reason is too long ("), length.cast("string"), F.lit(f" > {S.MAX_FORGET_REASON_CHARS}).")))),
+    rules = [(length > S.MAX_FORGET_REASON_CHARS, P._error(INVALID_INPUT, P._over("reason characters", length, S.MAX_FORGET_REASON_CHARS))),
     ]
     if hard:
-        rules.append((F.col("reason").isNotNull() | F.col("replaced_by_id").isNotNull(), P._error(
-            INVALID_INPUT, "hard_delete drops the row; reason and replaced_by_id can't be recorded.")))
+        rules.append((F.col("reason").isNotNull() | F.col("replaced_by_id").isNotNull(), P._error(INVALID_INPUT, NO_TRACE)))
     rules.append((F.col("alive").isNull(), _not_found(F.col("id"))))
     rows = _with_error(rows, rules)
     rows = _mark_repeats(rows, dry_run)
@@ -289,7 +280,7 @@ def forget_batch(memories: DataFrame, ids: DataFrame, as_of, reason: str | None
     reason = _clean_reason(reason)
     rows = _found(memories, P.complete(ids, {"input_index": "long", "id": "long"}))
     rows = _with_error(rows, [
-        (F.col("id").isNull(), P._error(INVALID_INPUT, _id_text("ids[", F.col("input_index"), "] is null"))),
+        (F.col("id").isNull(), P._error(INVALID_INPUT, NO_ID)),
         (F.col("alive").isNull(), _not_found(F.col("id")))])
     rows = _mark_repeats(rows, dry_run)
     ok = F.col("error").isNull()

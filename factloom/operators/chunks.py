@@ -33,9 +33,7 @@ def search_chunks(chunks: DataFrame, vector: list[float], limit: int, where: Col
     """
     pool = chunks if where is None else chunks.filter(where)
     key = ["document_id", "sequence_number", "chunk_id"]
-    hits = nearest(pool, vector, limit, key)
-    return (hits.join(chunks.select("chunk_id", "text"), "chunk_id")
-            .select(*key, "text", "score").orderBy(F.desc_nulls_last("score"), *key))
+    return nearest(pool, vector, limit, [*key, "text"], key).select(*key, "text", "score")
 
 
 def get_chunk(chunks: DataFrame, chunk_id: str) -> DataFrame:

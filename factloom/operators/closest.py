@@ -16,6 +16,7 @@ from factloom.session import cut_lineage, shuffle_partitions
 HELD_CANDIDATES = 20_000     # most candidates handed to every task
 HELD_BYTES = 16 << 20
 BLOCK_ROWS = 2_000
+BUCKETS = 64                 # of characters in a signature
 
 
 def matching_form(c: Column) -> Column:
@@ -60,7 +61,7 @@ def closest_match_join(left: DataFrame, right: DataFrame, left_text: str, right_
     """`left` with `match` (the closest `right_text`) and `similarity`.
 
     Of equally close candidates the one with the least `order` wins. Each distinct text is
-    scored once. Candidates up to a counted number are handed to every task; more than
+    scored once, and only with candidates whose bound is not below the best similarity so far. Candidates up to a counted number are handed to every task; more than
     that are split into blocks and each block of texts meets each block of candidates in
     a task of its own.
     """
@@ -73,12 +74,12 @@ def closest_match_join(left: DataFrame, right: DataFrame, left_text: str, right_
     schema = "form string, ord long, similarity double"
     if size.n <= held and (size.bytes or 0) <= HELD_BYTES:
         table = cands.select("cand", "ord").toArrow()
-        shared = left.sparkSession.sparkContext.broadcast(
-            sorted(zip(table.column("ord").to_pylist(), table.column("cand").to_pylist())))
+        shared = left.sparkSession.sparkContext.broadcast(list(zip(table.column("ord").to_pylist(), table.column("cand").to_pylist())))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            known = _Candidates(shared.value)
             for batch in batches:
-                yield _best(batch["form"], shared.value)
+                yield _best(batch["form"], known)
 
         # Little data can be much scoring, so the texts are spread over all tasks.
         scored = texts.repartition(shuffle_partitions(left.sparkSession), "form").mapInPandas(scan, schema)
@@ -91,7 +92,7 @@ def closest_match_join(left: DataFrame, right: DataFrame, left_text: str, right_
                            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_left - 1).cast("long"))).alias("lb"))
 
         def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            return _best(a["form"], sorted(zip(b["ord"], b["cand"])))
+            return _best(a["form"], _Candidates(list(zip(b["ord"], b["cand"]))))
 
         scored = lhs.groupBy("lb", "rb").cogroup(rhs.groupBy("lb", "rb")).applyInPandas(block, schema)
     best = W.partitionBy("form").orderBy(F.desc("similarity"), "ord")
@@ -102,30 +103,53 @@ def closest_match_join(left: DataFrame, right: DataFrame, left_text: str, right_
     return join_unique(keyed, won, ["form"], "_at").drop("form", "_at")
 
 
-def _highest(a: str, b: str) -> float:
-    """No less than the similarity of texts of these lengths with this common prefix, whatever their other characters."""
-    short, long = sorted((len(a), len(b)))
-    if not short:
-        return 1.0
-    jaro = (2 + short / long) / 3
-    prefix = 0
-    while prefix < short and a[prefix] == b[prefix]:
-        prefix += 1
-    return jaro + min(0.1, 1 / long) * prefix * (1 - jaro) + 1e-5
-
-
-def _best(forms: pd.Series, cands: list[tuple[int, str]]) -> pd.DataFrame:
-    rows = []
-    for form in forms:
-        top, at = -1.0, None
-        for ord_, cand in cands:
-            if at is not None and _highest(form, cand) <= top:
-                continue
-            s = jaro_winkler(form, cand)
-            if s > top:
-                top, at = s, ord_
-                if top >= 1.0:
-                    break
-        if at is not None:
-            rows.append((form, at, top))
-    return pd.DataFrame(rows, columns=["form", "ord", "similarity"])
+class _Candidates:
+    """Candidates by `order`, with a signature each: how often the characters of every bucket occur.
+
+    Two texts can't have more matching characters than the sum of the lesser counts, so the signatures bound the similarity
+    of a text with all candidates at once.
+    """
+
+    def __init__(self, rows: list[tuple[int, str]]) -> None:
+        rows = sorted(rows)
+        self.orders, self.texts = [o for o, _ in rows], [t for _, t in rows]
+        self.place = {t: i for i, t in enumerate(self.texts)}
+        self.sizes = np.array([len(t) for t in self.texts], np.float64)
+        self.first = np.array([ord(t[0]) if t else -1 for t in self.texts])
+        self.counts = np.array([signature(t) for t in self.texts], np.int32).reshape(-1, BUCKETS)
+
+    def bounds(self, form: str) -> np.ndarray:
+        """No less than the similarity of the text with each candidate."""
+        most = np.minimum(self.counts, signature(form)[None]).sum(axis=1)
+        size = float(len(form))
+        short, long = np.minimum(self.sizes, size), np.maximum(self.sizes, size)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            jaro = np.where(most > 0, (most / size + most / self.sizes + 1) / 3, 0.0)
+            prefix = np.where(self.first == (ord(form[0]) if form else -2), np.minimum(most, short), 0)
+            bound = jaro + np.where(long > 0, np.minimum(0.1, 1 / long), 0.0) * prefix * (1 - jaro)
+        return np.where(short > 0, bound, np.where(long > 0, 0.0, 1.0)) + 1e-5
+
+    def best(self, form: str) -> tuple[int, float] | None:
+        """(order, similarity) of the closest candidate, the least order of equals; candidates are visited by their bounds."""
+        if form in self.place:
+            return self.orders[self.place[form]], 1.0
+        if not self.texts:
+            return None
+        bounds = self.bounds(form)
+        top, at = -1.0, 0
+        for i in np.argsort(-bounds, kind="stable").tolist():
+            if bounds[i] < top:
+                break
+            s = jaro_winkler(form, self.texts[i])
+            if s > top or (s == top and self.orders[i] < self.orders[at]):
+                top, at = s, i
+        return self.orders[at], top
+
+
+def signature(text: str) -> np.ndarray:
+    return np.bincount(np.fromiter(map(ord, text), np.int64, len(text)) % BUCKETS, minlength=BUCKETS).astype(np.int32)
+
+
+def _best(forms: pd.Series, cands: _Candidates) -> pd.DataFrame:
+    found = [(form, cands.best(form)) for form in forms]
+    return pd.DataFrame([(form, *hit) for form, hit in found if hit is not None], columns=["form", "ord", "similarity"])

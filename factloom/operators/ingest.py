@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factloom.errors import INVALID_INPUT, RequestError
+from factloom.errors import INVALID_INPUT, RequestError, expected
 from factloom.functions.text import merge_tags
 from factloom.operators.prepare import EmbeddingProvider
 from factloom.operators.remember import Remembered, remember_batch
@@ -47,7 +47,7 @@ def cut_points(text: str, size: int) -> list[tuple[int, int]]:
 def chunk_documents(docs: DataFrame, size: int = 4000, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id, seq, text`: each whole document in chunks of about `size` chars, blank chunks dropped."""
     if not 500 <= size <= 32000:
-        raise RequestError(INVALID_INPUT, "chunk size must be 500..32000")
+        raise RequestError(INVALID_INPUT, expected("chunk size", "a number from 500 to 32000", size))
 
     def chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

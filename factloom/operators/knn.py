@@ -4,8 +4,9 @@ Two ways give the same rows:
 
 * `scan`: the queries are few (their byte size is checked), so every task gets them
   and reads its share of the base once, keeping a running top k per query.
-* `cells`: neither side is small. Base rows go to the cell of their nearest pivot; a
-  query visits only the cells that can hold a row within its reach (triangle inequality
+* `cells`: neither side is small. Base rows go to the cell of their nearest pivot, and a cell that
+  is still too large gets pivots of its own, so the cells are the leaves of a tree whose nodes know their rows'
+  least and largest angle. A query goes down to the cells that can hold a row within its reach (triangle inequality
   on angles, and the plane between two pivots). Both sides of a cell are split into
   blocks of bounded size, and each task scores one block pair. Without a least score the
   reach comes from a first round in the query's own cell.
@@ -14,7 +15,7 @@ Two ways give the same rows:
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import vectors as V
-from factloom.operators.skew import join_unique
+from factloom.operators.skew import broadcast_if_small, join_unique
 from factloom.session import cut_lineage, shuffle_partitions
 
 SCAN_BYTES = 64 << 20     # largest query side handed to every task
 BLOCK_ROWS = 4096         # rows per block side
 CELLS_PER_BLOCK = 8       # a cell is first aimed at this fraction of a block
-MAX_PIVOTS = 1024
+MAX_PIVOTS = 256          # of one node of the tree; its depth grows with the rows
+GROUP_ROWS = 16384        # rows that meet the pivots of a node in one task
 _PAIRS = "query_id long, id long, s double"
 _SLACK = 1e-6             # keeps rounding from pruning a reachable cell
 
@@ -42,6 +44,7 @@ class _Join:
     exclude_self: bool
     tags: bool
     seq: bool
+    links: bool = False
 
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int, *, exclude_self: bool = False, tags: bool = False,
@@ -61,15 +64,30 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, *, exclude_self: bool
         if used:
             q_cols.append(name)
             b_cols.append(name)
-    queries = queries.select(*q_cols).filter("vec is not null")
-    base = base.select(*b_cols).filter("vec is not null")
+    pairs = _join(queries.select(*q_cols), base.select(*b_cols), _Join(k, 0, exclude_self, tags, seq), strategy, block_rows, max_pivots)
+    return _ranked(pairs, k)
+
+
+def knn_links(queries: DataFrame, base: DataFrame, strategy: str = "auto", block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+    """`id_a, id_b`: links between ids that connect every query with every base row of its part that reaches its floor.
+
+    A task puts out a spanning forest of what it finds, never all pairs. Rows that miss the floor by less than single precision may be linked too.
+    """
+    floor = F.col("floor").cast("double").alias("floor")
+    pairs = _join(queries.select("query_id", "part", "vec", floor), base.select("id", "part", "vec"),
+                  _Join(0, 0, False, False, False, links=True), strategy, block_rows, max_pivots)
+    return pairs.select(F.col("query_id").alias("id_a"), F.col("id").alias("id_b"))
+
+
+def _join(queries: DataFrame, base: DataFrame, how: _Join, strategy: str, block_rows: int, max_pivots: int) -> DataFrame:
+    queries, base = queries.filter("vec is not null"), base.filter("vec is not null")
     size = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
     if not size.n:
-        return _ranked(base.sparkSession.createDataFrame([], _PAIRS), k)
-    how = _Join(k, size.dim, exclude_self, tags, seq)
+        return base.sparkSession.createDataFrame([], _PAIRS)
+    how = replace(how, dim=size.dim)
     if strategy == "scan" or (strategy == "auto" and size.n * size.dim * 4 <= SCAN_BYTES):
-        return _ranked(_scan(queries, base, how), k)
-    return _ranked(_cells(queries, base, how, block_rows, max_pivots), k)
+        return _scan(queries, base, how)
+    return _cells(queries, base, how, block_rows, max_pivots)
 
 
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
@@ -111,7 +129,11 @@ def _scan(queries: DataFrame, base: DataFrame, how: _Join) -> DataFrame:
                 b_all.tags = V.tag_matrix(batch.column("tags"), words)
             found = [best]
             for p in np.unique(b_part):
-                found.append(V.top_pairs(q_of[p], b_all.take(np.nonzero(b_part == p)[0]), how.k, how.exclude_self))
+                mine = b_all.take(np.nonzero(b_part == p)[0])
+                if how.links:
+                    yield V.pairs_batch(*V.link_pairs(q_of[p], mine))
+                else:
+                    found.append(V.top_pairs(q_of[p], mine, how.k, how.exclude_self))
             best = V.merge_top(found, how.k)
         if len(best[0]):
             yield V.pairs_batch(*best)
@@ -119,38 +141,173 @@ def _scan(queries: DataFrame, base: DataFrame, how: _Join) -> DataFrame:
     return base.mapInArrow(score, _PAIRS)
 
 
-# ---- many queries: pivot cells ------------------------------------------------------------
+# ---- many queries: a tree of pivot cells ----------------------------------------------------
+
+ROOT = ""                 # the cell of a part before it is split; a child's name is its parent's, a slash and a number
 
-def _pivots(base: DataFrame, how: _Join, wanted: int) -> np.ndarray:
-    """Up to `wanted` base vectors, chosen by hash, as unit rows. At most MAX_PIVOTS rows reach the driver."""
-    picked = (base.filter(F.exists("vec", lambda x: x != 0)).select("vec", F.xxhash64("vec").alias("h"))
-              .orderBy("h").limit(wanted).select("vec").toArrow())
-    unit, usable = V.unit_rows(picked.column("vec"), how.dim)
-    return unit[usable]
+
+@dataclass(frozen=True)
+class _Tree:
+    rows: DataFrame         # base rows with the leaf cell they lie in
+    levels: list[DataFrame]     # per level the children of split cells: part, cell, k, vec, n, lo, hi, inner
 
 
 def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(unit @ pivots.T, -1.0, 1.0))
 
 
-def _own_cell(angle: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Nearest pivot among the first `width` ones of each row."""
-    masked = np.where(np.arange(angle.shape[1])[None, :] < width[:, None], angle, np.inf)
-    return masked.argmin(axis=1)
+def _grow(base: DataFrame, how: _Join, cell_rows: int, block_rows: int, max_pivots: int) -> _Tree:
+    """Split cells of more than `block_rows` rows (at first `cell_rows`) until there are none. Rows with one vector stay together."""
+    extra = [c for c in ("tags", "seq") if c in base.columns]
+    names = ["id", "part", "vec", *extra, "cell"]
+    live = base.filter(F.exists("vec", lambda x: x != 0)).withColumn("cell", F.lit(ROOT)).select(*names)
+    done, levels, most = [], [], cell_rows
+    while True:
+        sizes = live.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"))
+        split = cut_lineage(sizes.filter(F.col("n") > most).select(
+            "part", "cell", "n", F.least(F.lit(max_pivots), F.ceil(F.col("n") / cell_rows) + 1).cast("int").alias("width"),
+            F.ceil(F.col("n") / GROUP_ROWS).cast("int").alias("salts")))
+        pivots = _pivots(live, split)
+        if pivots is None:
+            done.append(live)
+            break
+        wide = pivots.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")       # one vector can't be split
+        split = cut_lineage(split.join(wide.select("part", "cell"), ["part", "cell"], "left_semi"))
+        marked = join_unique(live, split, ["part", "cell"], "id", weight="n")
+        done.append(marked.filter("salts is null").select(*names))
+        moved = cut_lineage(_place(marked.filter("salts is not null"), pivots, split, how, extra))
+        stats = moved.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
+        child = F.concat(F.col("cell"), F.lit("/"), F.col("k").cast("string"))
+        nodes = pivots.withColumn("child", child).join(stats.select("part", F.col("cell").alias("child"), "n", "lo", "hi"), ["part", "child"])
+        levels.append(cut_lineage(nodes.select("part", "cell", "k", "vec", "n", "lo", "hi")))
+        live, most = moved.select(*names), block_rows
+    for at in range(len(levels)):       # which children are split themselves
+        below = levels[at + 1].select("part", F.col("cell").alias("child")).distinct().withColumn("inner", F.lit(True)) if at + 1 < len(levels) else None
+        child = F.concat(F.col("cell"), F.lit("/"), F.col("k").cast("string"))
+        level = levels[at].withColumn("child", child)
+        level = level.withColumn("inner", F.lit(False)) if below is None else level.join(below, ["part", "child"], "left").fillna(False, ["inner"])
+        levels[at] = level.select("part", "cell", "k", "vec", "n", "lo", "hi", "inner")
+    rows = done[0]
+    for more in done[1:]:
+        rows = rows.unionByName(more)
+    return _Tree(rows, levels)
+
+
+def _pivots(rows: DataFrame, split: DataFrame) -> DataFrame | None:
+    """`part, cell, k, vec`: as many different vectors of each cell to split as it is wide, those with the least hashes. None without cells."""
+    if split.isEmpty():
+        return None
+    mine = join_unique(rows.select("id", "part", "cell", "vec"), split.select("part", "cell", "width", "n"), ["part", "cell"], "id", weight="n").filter("width is not null")
+    mine = mine.withColumn("h", F.xxhash64("vec"))
+    different = mine.groupBy("part", "cell", "h").agg(F.min("id").alias("id"), F.first("width").alias("width"))
+    first = W.partitionBy("part", "cell").orderBy("h")
+    picked = different.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= F.col("width"))
+    picked = cut_lineage(picked.select("part", "cell", "id", "h", "k"))
+    found = mine.join(broadcast_if_small(picked), ["part", "cell", "id", "h"])
+    return cut_lineage(found.groupBy("part", "cell", "k").agg(F.first("vec").alias("vec")))
+
+
+def _place(rows: DataFrame, pivots: DataFrame, split: DataFrame, how: _Join, extra: list[str]) -> DataFrame:
+    """Rows of split cells with the child of their nearest pivot and the angle to it."""
+    types = {"tags": "array<string>", "seq": "long"}
+    schema = ", ".join(["id long", "part string", "vec array<float>"] + [f"{c} {types[c]}" for c in extra] + ["cell string", "angle double"])
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def place(mine: pa.Table, nodes: pa.Table) -> pa.Table:
+        out = {n: mine.column(n) for n in names if n != "angle"}
+        if not mine.num_rows:
+            return pa.table({**out, "angle": pa.array([], pa.float64())})
+        piv, _ = V.unit_rows(nodes.column("vec"), how.dim)
+        unit, _ = V.unit_rows(mine.column("vec"), how.dim)
+        number = np.asarray(nodes.column("k")).astype(str)
+        nearest, angle = np.empty(len(unit), np.int64), np.empty(len(unit))
+        for lo in range(0, len(unit), 4096):
+            found = _angles(unit[lo:lo + 4096], piv)
+            nearest[lo:lo + 4096] = found.argmin(axis=1)
+            angle[lo:lo + 4096] = found.min(axis=1)
+        parent = mine.column("cell")[0].as_py()
+        out["cell"] = pa.array([f"{parent}/{x}" for x in number[nearest]], pa.string())
+        return pa.table({**out, "angle": pa.array(angle)})
+
+    keys, n = ["part", "cell", "salt"], shuffle_partitions(rows.sparkSession)
+    left = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("n", "width", "salts")
+    right = pivots.join(broadcast_if_small(split), ["part", "cell"]).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("n", "width", "salts")
+    return left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys)).applyInArrow(place, schema)
+
+
+def _descend(queries: DataFrame, tree: _Tree, how: _Join, own_only: bool) -> DataFrame:
+    """One row per query and leaf cell it must visit. With `own_only` the nearest cells that hold k rows at least."""
+    names = [*queries.columns, "cell"]
+    live = queries.withColumn("cell", F.lit(ROOT))
+    if not tree.levels:
+        return cut_lineage(live)
+    roots = cut_lineage(tree.levels[0].groupBy("part").agg(F.lit(True).alias("inner")))
+    live = join_unique(live, roots, ["part"], "query_id").fillna(False, ["inner"])
+    done = []
+    for nodes in tree.levels:
+        done.append(live.filter("not inner").select(*names))
+        live = cut_lineage(_children(live.filter("inner").select(*names), nodes, how, own_only))
+    done.append(live.select(*names))
+    rows = done[0]
+    for more in done[1:]:
+        rows = rows.unionByName(more)
+    return cut_lineage(rows)
+
+
+def _children(live: DataFrame, nodes: DataFrame, how: _Join, own_only: bool) -> DataFrame:
+    """The children of its cell that every query goes on to."""
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in live.schema.fields]
+    names = live.columns
+
+    def route(mine: pa.Table, below: pa.Table) -> pa.Table:
+        if not mine.num_rows or not below.num_rows:
+            return mine.select(names).slice(0, 0).append_column("inner", pa.array([], pa.bool_()))
+        piv, _ = V.unit_rows(below.column("vec"), how.dim)
+        number, inner = np.asarray(below.column("k")).astype(str), np.asarray(below.column("inner"))
+        n, low, high = (np.asarray(below.column(c)) for c in ("n", "lo", "hi"))
+        gap = np.sqrt(np.maximum(0.0, 2 - 2 * (piv @ piv.T)))          # distance between pivots
+        unit, usable = V.unit_rows(mine.column("vec"), how.dim)
+        floor = np.asarray(mine.column("floor").cast(pa.float64()))
+        # Scores are rounded, so a row may reach the floor from one digit below it.
+        lowest = np.where(np.isnan(floor), -1.0, floor) - 10.0 ** -V.SCORE_DIGITS - how.links * 1e-5
+        theta = np.arccos(np.clip(lowest, -1.0, 1.0)) + _SLACK
+        rows, cells = [], []
+        for lo in range(0, len(unit), 4096):
+            cos = np.clip(unit[lo:lo + 4096] @ piv.T, -1.0, 1.0)
+            angle, reach = np.arccos(cos), theta[lo:lo + 4096, None]
+            if own_only:
+                rich = np.where(n >= how.k, angle, np.inf)
+                go = np.arange(len(piv))[None, :] == rich.argmin(axis=1)[:, None]
+                if not (n >= how.k).any():
+                    go[:] = True
+            else:
+                own = angle.argmin(axis=1)
+                chord = 2 * np.sin(np.minimum(reach, np.pi) / 2)
+                go = (angle - reach <= high + _SLACK) & (angle + reach >= low - _SLACK)
+                go &= cos[np.arange(len(cos)), own][:, None] - cos <= chord * gap[own] + _SLACK
+            row, cell = np.nonzero(go & usable[lo:lo + 4096, None])
+            rows.append(row + lo)
+            cells.append(cell)
+        row, cell = np.concatenate(rows), np.concatenate(cells)
+        kept = mine.select(names).take(pa.array(row))
+        parent = mine.column("cell")[0].as_py()
+        kept = kept.set_column(names.index("cell"), "cell", pa.array([f"{parent}/{x}" for x in number[cell]], pa.string()))
+        return kept.append_column("inner", pa.array(inner[cell]))
+
+    keys, parts = ["part", "cell", "salt"], shuffle_partitions(live.sparkSession)
+    load = cut_lineage(live.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("nq")).withColumn("salts", F.ceil(F.col("nq") / GROUP_ROWS).cast("int")))
+    left = join_unique(live, load, ["part", "cell"], "query_id", weight="nq").withColumn("salt", F.pmod(F.xxhash64("query_id"), F.col("salts")).cast("int"))
+    right = nodes.join(broadcast_if_small(load), ["part", "cell"]).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).drop("nq", "salts")
+    left = left.drop("nq", "salts").repartition(parts, *keys).groupBy(*keys)
+    return left.cogroup(right.repartition(parts, *keys).groupBy(*keys)).applyInArrow(route, ", ".join([*fields, "inner boolean"]))
 
 
 def _cells(queries: DataFrame, base: DataFrame, how: _Join, block_rows: int, max_pivots: int) -> DataFrame:
-    sizes = cut_lineage(base.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
-    n_base = sizes.agg(F.sum("n")).first()[0] or 0
     cell_rows = max(1, block_rows // CELLS_PER_BLOCK)
-    pivots = _pivots(base, how, int(min(max_pivots, max(1, -(-n_base // cell_rows)))))
-    if not len(pivots):
-        return base.sparkSession.createDataFrame([], _PAIRS)
-    shared = base.sparkSession.sparkContext.broadcast(pivots)
-    placed = _place(base, sizes, shared, len(pivots), how, cell_rows)
-    if not queries.filter("floor is null").isEmpty():
+    tree = _grow(base, how, cell_rows, block_rows, max_pivots)
+    if not how.links and not queries.filter("floor is null").isEmpty():
         # First round in the query's own cell: its k-th score there is a sure least score.
-        first = _ranked(_visit(queries, placed, shared, how, block_rows, own_only=True), how.k)
+        first = _ranked(_visit(_descend(queries, tree, how, own_only=True), tree, how, block_rows), how.k)
         reach = first.groupBy("query_id").agg(F.count("score").alias("c"), F.min("score").alias("m"))
         reach = reach.filter(F.col("c") == how.k).select("query_id", F.col("m").alias("sure"))
         queries = cut_lineage(queries.join(reach, "query_id", "left")
@@ -158,70 +315,33 @@ def _cells(queries: DataFrame, base: DataFrame, how: _Join, block_rows: int, max
 
     # Small cells prune well when the vectors form groups. When they do not, each query goes
     # to nearly all of them, and cells of a whole block each mean fewer copies.
+    routed = _descend(queries, tree, how, own_only=False)
     asked = queries.groupBy("part").agg(F.count(F.lit(1)).alias("nq"))
+    sizes = base.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     wide = asked.join(sizes, "part").agg(F.sum(F.col("nq") * F.ceil(F.col("n") / block_rows))).first()[0] or 0
-    sent = _planned_routes(queries, placed, shared, how, False, only_cells=True).count()
-    if sent > 2 * wide and cell_rows < block_rows:
-        placed = _place(base, sizes, shared, len(pivots), how, block_rows)
-    return _visit(queries, placed, shared, how, block_rows, own_only=False)
-
+    if cell_rows < block_rows and routed.count() > 2 * wide:
+        tree = _grow(base, how, block_rows, block_rows, max_pivots)
+        routed = _descend(queries, tree, how, own_only=False)
+    return _visit(routed, tree, how, block_rows)
 
-def _place(base: DataFrame, sizes: DataFrame, shared, n_pivots: int, how: _Join, cell_rows: int) -> DataFrame:
-    """Base rows with the cell of their nearest pivot and the angle to it, written to the shared folder.
 
-    A part uses as many pivots as its rows fill cells; a small part is one cell.
-    """
-    sizes = sizes.withColumn("width", F.least(F.lit(n_pivots), F.ceil(F.col("n") / cell_rows)).cast("int"))
-    sized = join_unique(base, sizes, ["part"], "id", weight="n").drop("n")
-    types = {"tags": "array<string>", "seq": "long"}
-    extra = [c for c in types if c in base.columns]
-    schema = ", ".join(["id long", "part string", "vec array<float>"] + [f"{c} {types[c]}" for c in extra]
-                       + ["width int", "cell int", "angle double"])
-
-    def place(batches):
-        piv = shared.value
-        for batch in batches:
-            unit, usable = V.unit_rows(batch.column("vec"), how.dim)
-            angle = _angles(unit, piv)
-            cell = _own_cell(angle, np.asarray(batch.column("width")))
-            out = {n: batch.column(n) for n in batch.schema.names}
-            out["cell"] = pa.array(cell, pa.int32())
-            out["angle"] = pa.array(angle[np.arange(len(cell)), cell], pa.float64())
-            yield pa.RecordBatch.from_pydict(out).filter(pa.array(usable))
-
-    return cut_lineage(sized.select("id", "part", "vec", *extra, "width").mapInArrow(place, schema))
-
-
-def _cell_stats(placed: DataFrame) -> DataFrame:
-    return placed.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("lo"),
-                                              F.max("angle").alias("hi"), F.first("width").alias("width"))
-
-
-def _planned_routes(queries, placed, shared, how: _Join, own_only: bool, only_cells: bool = False) -> DataFrame:
-    plan = _cell_stats(placed).groupBy("part").agg(F.first("width").alias("width"),
-                                                   F.collect_list(F.struct("cell", "n", "lo", "hi")).alias("cells"))
-    planned = join_unique(queries, plan, ["part"], "query_id", small=500).filter("cells is not null")
-    return _route(planned, shared, how, own_only, only_cells)
-
-
-def _visit(queries, placed, shared, how: _Join, block_rows: int, own_only: bool) -> DataFrame:
-    """Score each query against every cell that can hold a row within its reach."""
-    routed = _planned_routes(queries, placed, shared, how, own_only)
-    load = (_planned_routes(queries, placed, shared, how, own_only, only_cells=True)
-            .groupBy("part", "cell").agg(F.count(F.lit(1)).alias("nq")))
-    grid = (_cell_stats(placed).join(load, ["part", "cell"])
+def _visit(routed: DataFrame, tree: _Tree, how: _Join, block_rows: int) -> DataFrame:
+    """Score each query against every cell that it was sent to."""
+    load = routed.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("nq"))
+    held = tree.rows.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("n"))
+    grid = (held.join(load, ["part", "cell"])
             .withColumn("nb", F.ceil(F.col("n") / block_rows).cast("int"))
             .withColumn("nqb", F.ceil(F.col("nq") / block_rows).cast("int")))
     grid = cut_lineage(grid.select("part", "cell", "n", "nq", "nb", "nqb"))
 
-    extra = [c for c in ("tags", "seq") if c in placed.columns]
+    extra = [c for c in ("tags", "seq") if c in tree.rows.columns]
     # Each row of a cell gets the cell's grid; hot cells are served by broadcast (join_unique).
     q_rows = join_unique(routed, grid.select("part", "cell", "nq", "nb", "nqb"), ["part", "cell"], "query_id",
-                         weight="nq")
+                         weight="nq").filter("nb is not null")
     q_rows = q_rows.select("query_id", "part", "vec", "floor", *extra, "cell",
                            F.pmod(F.xxhash64("query_id"), "nqb").cast("int").alias("qb"),
                            F.explode(F.expr("sequence(0, nb - 1)")).alias("bb"))
-    b_rows = join_unique(placed, grid.select("part", "cell", "n", "nb", "nqb"),
+    b_rows = join_unique(tree.rows, grid.select("part", "cell", "n", "nb", "nqb"),
                          ["part", "cell"], "id", weight="n").filter("nb is not null")
     b_rows = b_rows.select("id", "part", "vec", *extra, "cell",
                            F.pmod(F.xxhash64("id"), "nb").cast("int").alias("bb"),
@@ -232,6 +352,8 @@ def _visit(queries, placed, shared, how: _Join, block_rows: int, own_only: bool)
             return pa.Table.from_batches([V.pairs_batch(*V.merge_top([], how.k))])
         qs = V.block_from(q, "query_id", how.dim, how.seq, floor=True)
         bs = V.block_from(b, "id", how.dim, how.seq)
+        if how.links:
+            return pa.Table.from_batches([V.pairs_batch(*V.link_pairs(qs, bs))])
         if how.tags:
             words = _vocabulary(q.column("tags"))
             qs.tags, bs.tags = V.tag_matrix(q.column("tags"), words), V.tag_matrix(b.column("tags"), words)
@@ -239,48 +361,6 @@ def _visit(queries, placed, shared, how: _Join, block_rows: int, own_only: bool)
 
     keys = ["part", "cell", "qb", "bb"]
     # Little data can be much scoring, so the partitions are not to be merged by size.
-    n = shuffle_partitions(queries.sparkSession)
+    n = shuffle_partitions(routed.sparkSession)
     q_rows, b_rows = q_rows.repartition(n, *keys), b_rows.repartition(n, *keys)
     return q_rows.groupBy(*keys).cogroup(b_rows.groupBy(*keys)).applyInArrow(score, _PAIRS)
-
-
-def _route(queries: DataFrame, shared, how: _Join, own_only: bool, only_cells: bool = False) -> DataFrame:
-    """One row per query and cell it must visit; with `only_cells` just part and cell."""
-    kept_names = ["part"] if only_cells else [c for c in queries.columns if c not in ("cells", "width")]
-    fields = [f"{f.name} {f.dataType.simpleString()}" for f in queries.select(kept_names).schema.fields]
-    schema = ", ".join(fields + ["cell int"])
-
-    def route(batches):
-        piv = shared.value
-        gap = np.sqrt(np.maximum(0.0, 2 - 2 * (piv @ piv.T)))          # distance between pivots
-        for batch in batches:
-            unit, usable = V.unit_rows(batch.column("vec"), how.dim)
-            cos = np.clip(unit @ piv.T, -1.0, 1.0)
-            angle = np.arccos(cos)
-            width = np.asarray(batch.column("width"))
-            own = _own_cell(angle, width)
-            floor = np.asarray(batch.column("floor").cast(pa.float64()))
-            # Scores are rounded, so a row may reach the floor from one digit below it.
-            lowest = np.where(np.isnan(floor), -1.0, floor) - 10.0 ** -V.SCORE_DIGITS
-            theta = np.arccos(np.clip(lowest, -1.0, 1.0)) + _SLACK
-            cells = batch.column("cells")
-            counts = np.diff(np.asarray(cells.offsets))
-            flat = cells.flatten()
-            row = np.repeat(np.arange(len(width)), counts)
-            cell = np.asarray(flat.field("cell"))
-            at, mine = angle[row, cell], own[row]
-            go = usable[row]
-            if own_only:
-                go &= cell == mine
-            else:
-                reach = theta[row]
-                go &= (at - reach <= np.asarray(flat.field("hi")) + _SLACK)
-                go &= (at + reach >= np.asarray(flat.field("lo")) - _SLACK)
-                chord = 2 * np.sin(np.minimum(reach, np.pi) / 2)
-                go &= cos[row, mine] - cos[row, cell] <= chord * gap[mine, cell] + _SLACK
-            row, cell = row[go], cell[go]
-            if len(row):
-                kept = batch.select(kept_names).take(pa.array(row))
-                yield kept.append_column(pa.field("cell", pa.int32()), pa.array(cell, pa.int32()))
-
-    return queries.mapInArrow(route, schema)

@@ -9,18 +9,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom import schema as S
+from factloom.operators.ledger import PARTS, resume
 from factloom.operators.predicates import below_version, moment, stale_embedding
 from factloom.operators.prepare import EmbeddingProvider, embed_column
 
 
-def reembed(memories: DataFrame, provider: EmbeddingProvider, as_of) -> DataFrame:
+def reembed(memories: DataFrame, provider: EmbeddingProvider, as_of, ledger: str | None = None, parts: int = PARTS) -> DataFrame:
     """The table with new vectors on every row whose provider or model differs; tombstones too.
 
     Text, tags and deletion stay. A failed provider call fails the job. Running it again
-    on the result changes nothing.
+    on the result changes nothing. With a `ledger` folder the stale texts are sent in `parts` committed one after the other: a
+    job that failed or was lost keeps what it paid for, and the next one sends only the rest and what failed. Only ids and texts are
+    worked on, and the vectors come back to their rows by id.
     """
     stale = F.coalesce(stale_embedding(provider.provider_name, provider.model_name), F.lit(True))
-    fresh = embed_column(memories.filter(stale), provider)
+    if ledger is None:
+        fresh = embed_column(memories.filter(stale), provider)
+    else:
+        asked = memories.filter(stale).select("id", "text", F.xxhash64("text").alias("text_hash"))
+        what = f"{provider.provider_name}/{provider.model_name}/{provider.dimensions}"
+        sent = resume(asked, ["id", "text_hash"], what, lambda rows: embed_column(rows, provider), "embed_error is null", ledger, parts)
+        made = ["embedding", "embedding_provider", "embedding_model", "embed_error"]
+        failed = sent.filter("embed_error is not null").select("embed_error").first()
+        if failed:
+            raise RuntimeError(failed.embed_error)
+        fresh = memories.filter(stale).drop(*made).join(sent.select("id", *made), "id")
     failed = F.col("embed_error").isNotNull()
     fresh = fresh.withColumn("embedding", F.when(failed, F.raise_error(F.col("embed_error")).cast("array<float>"))
                              .otherwise(F.col("embedding"))).withColumn("updated_at", moment(as_of))
@@ -55,23 +68,21 @@ def upgrade_records(memories: DataFrame, upgraders: list[Upgrader], target: int,
     for u in upgraders:
         if u.from_version != u.to_version - 1 or not u.name:
             raise ValueError(f"upgrader {u.name!r} must go up by one version and have a name")
+    due, done = rows_to_upgrade(memories, target), memories.filter(~F.coalesce(below_version(target), F.lit(False)))
     names = memories.columns
-    df = memories.withColumn("_was", F.struct(*names)).withColumn("_error", F.lit(None).cast("string"))
+    df = due.withColumn("_was", F.struct(*names)).withColumn("_error", F.lit(None).cast("string"))
     for u in upgraders:
         before = df.select("_was", "_error", F.struct(*names).alias("_now"), *names)
         after = u.apply(before.withColumn("upgrade_error", F.lit(None).cast("string")))
-        due = F.col("_error").isNull() & (F.col("_now.record_version") == u.from_version)
+        now = F.col("_error").isNull() & (F.col("_now.record_version") == u.from_version)
         df = after.select(
-            "_was", F.when(due, F.col("upgrade_error")).otherwise(F.col("_error")).alias("_error"),
-            *[(F.when(due, F.lit(u.to_version)).otherwise(F.col("_now.record_version")) if n == "record_version"
-               else F.when(due, F.col(n)).otherwise(F.col(f"_now.{n}"))).alias(n) for n in names])
-    due = F.col("_was.record_version") < target
+            "_was", F.when(now, F.col("upgrade_error")).otherwise(F.col("_error")).alias("_error"),
+            *[(F.when(now, F.lit(u.to_version)).otherwise(F.col("_now.record_version")) if n == "record_version"
+               else F.when(now, F.col(n)).otherwise(F.col(f"_now.{n}"))).alias(n) for n in names])
     keep_old = F.col("_error").isNotNull()
-    out = []
-    for n in names:
-        new = F.when(due, moment(as_of)).otherwise(F.col(n)) if n == "updated_at" else F.col(n)
-        out.append(F.when(keep_old, F.col(f"_was.{n}")).otherwise(new).alias(n))
-    return df.select(*out, F.col("_error").alias("upgrade_error"))
+    upgraded = df.select(*[F.when(keep_old, F.col(f"_was.{n}")).otherwise(moment(as_of) if n == "updated_at" else F.col(n)).alias(n)
+                           for n in names], F.col("_error").alias("upgrade_error"))
+    return done.withColumn("upgrade_error", F.lit(None).cast("string")).unionByName(upgraded)
 
 
 def rows_to_upgrade(memories: DataFrame, target: int) -> DataFrame:

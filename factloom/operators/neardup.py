@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom import schema as S
-from factloom.errors import INVALID_INPUT, RequestError
+from factloom.errors import INVALID_INPUT, RequestError, expected
 from factloom.operators.components import connected_components
 from factloom.operators.knn import BLOCK_ROWS, knn_join
 from factloom.operators.predicates import active
@@ -26,7 +26,7 @@ def near_duplicate_pairs(memories: DataFrame, as_of, threshold: float = S.NEAR_D
     vector that a third of the table shares costs no more than any other.
     """
     if not 0.5 <= threshold <= 1.0:
-        raise RequestError(INVALID_INPUT, f"threshold must be between 0.5 and 1.0 (got {threshold})")
+        raise RequestError(INVALID_INPUT, expected("threshold", "a number from 0.5 to 1", threshold))
     rows = (memories.filter(active(as_of) & F.col("embedding").isNotNull()
                             & F.exists("embedding", lambda x: x != 0))
             .select("id", "user_id", F.col("embedding").alias("vec")))
@@ -78,8 +78,7 @@ def near_duplicate_clusters(memories: DataFrame, as_of, threshold: float | None
     threshold = S.NEAR_DUP_THRESHOLD if threshold is None else threshold
     max_groups = S.NEAR_DUP_GROUPS if max_groups is None else max_groups
     if not 1 <= max_groups <= S.MAX_NEAR_DUP_GROUPS:
-        raise RequestError(INVALID_INPUT, f"max_groups must be between 1 and {S.MAX_NEAR_DUP_GROUPS} "
-                                          f"(got {max_groups})")
+        raise RequestError(INVALID_INPUT, expected("max_groups", f"a number from 1 to {S.MAX_NEAR_DUP_GROUPS}", max_groups))
     pairs = cut_lineage(near_duplicate_pairs(memories, as_of, threshold, strategy=strategy))
     labels = connected_components(pairs)
     by_pair = join_unique(pairs.select(F.col("id_a").alias("id"), "similarity"), labels, ["id"], "id")

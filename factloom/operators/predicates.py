@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from factloom.errors import INVALID_INPUT, RequestError
+from factloom.errors import INVALID_INPUT, NOT_YET, RequestError, expected
 from factloom.functions.text import normalize_tags
 
 
@@ -62,9 +62,9 @@ def text_length_between(min_chars: int | None = None, max_chars: int | None = No
     """Inclusive bounds on the text's length in characters."""
     for name, n in (("min_chars", min_chars), ("max_chars", max_chars)):
         if n is not None and n < 0:
-            raise RequestError(INVALID_INPUT, f"{name} must be >= 0 (got {n}).")
+            raise RequestError(INVALID_INPUT, expected(name, "a number from 0", n))
     if min_chars is not None and max_chars is not None and min_chars > max_chars:
-        raise RequestError(INVALID_INPUT, f"min_chars ({min_chars}) must be <= max_chars ({max_chars}).")
+        raise RequestError(INVALID_INPUT, expected("min_chars", f"a number up to {max_chars}", min_chars))
     out = F.lit(True)
     if min_chars is not None:
         out &= F.char_length("text") >= min_chars
@@ -76,7 +76,7 @@ def text_length_between(min_chars: int | None = None, max_chars: int | None = No
 def not_confirmed_since(since: datetime, as_of: datetime) -> Column:
     """Never confirmed, or last confirmed before `since`."""
     if since > as_of + timedelta(minutes=5):
-        raise RequestError(INVALID_INPUT, "not_confirmed_since cannot be in the future.")
+        raise RequestError(INVALID_INPUT, f"not_confirmed_since: {NOT_YET}")
     return F.col("last_confirmed_at").isNull() | (F.col("last_confirmed_at") < moment(since))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom import schema as S
-from factloom.errors import EMBEDDING_ERROR, INVALID_INPUT, SECRET_REJECTED
+from factloom.errors import EMBEDDING_ERROR, INVALID_INPUT, NO_TEXT, NOT_YET, SECRET_REJECTED, TOO_LATE, expected, over
 from factloom.functions import text as X
 from factloom.operators.predicates import moment
 
@@ -29,6 +29,14 @@ def _error(code: str, message: Column | str) -> Column:
     return F.struct(F.lit(code).alias("code"), message.alias("message"))
 
 
+def _over(what: str, found: Column, most: int) -> Column:
+    return F.format_string(over(what, "%s", most), found.cast("string"))
+
+
+def _expected(what: str, wanted: str, found: Column) -> Column:
+    return F.format_string(expected(what, wanted, "%s"), found.cast("string"))
+
+
 def first_error(rules: list[tuple[Column, Column]]) -> Column:
     """The error of the first rule that fires, or null. A null condition does not fire."""
     out = F.lit(None).cast("struct<code:string,message:string>")
@@ -46,9 +54,8 @@ def text_rules() -> list[tuple[Column, Column]]:
     """Rules on the columns of `with_clean_text`."""
     n = F.char_length("_text")
     return [
-        (F.coalesce("_text", F.lit("")) == "", _error(INVALID_INPUT, "The text field is required.")),
-        (n > S.MAX_TEXT_CHARS, _error(INVALID_INPUT, F.concat(
-            F.lit("Text is too long ("), n.cast("string"), F.lit(f" > {S.MAX_TEXT_CHARS} chars).")))),
+        (F.coalesce("_text", F.lit("")) == "", _error(INVALID_INPUT, NO_TEXT)),
+        (n > S.MAX_TEXT_CHARS, _error(INVALID_INPUT, _over("text characters", n, S.MAX_TEXT_CHARS))),
         (F.col("_secret").isNotNull(), _error(SECRET_REJECTED, F.col("_secret"))),
     ]
 
@@ -57,25 +64,24 @@ def tag_rules(c: Column) -> list[tuple[Column, Column]]:
     long_tags = F.filter(c, lambda t: F.char_length(X.clean_text(t)) > S.MAX_TAG_CHARS)
     long_length = F.char_length(X.clean_text(F.try_element_at(long_tags, F.lit(1))))
     return [
-        (F.size(long_tags) > 0, _error(INVALID_INPUT, F.concat(
-            F.lit("Tag is too long: "), long_length.cast("string"), F.lit(f" > {S.MAX_TAG_CHARS}")))),
+        (F.size(long_tags) > 0, _error(INVALID_INPUT, _over("tag characters", long_length, S.MAX_TAG_CHARS))),
         (F.size(X.normalize_tags(c)) > S.MAX_TAGS,
-         _error(INVALID_INPUT, f"Too many tags (max {S.MAX_TAGS}).")),
+         _error(INVALID_INPUT, _over("tags", F.size(X.normalize_tags(c)), S.MAX_TAGS))),
     ]
 
 
 def importance_rules(c: Column) -> list[tuple[Column, Column]]:
-    return [((c < 0) | (c > 1), _error(INVALID_INPUT, "importance must be between 0 and 1."))]
+    return [((c < 0) | (c > 1), _error(INVALID_INPUT, expected("importance", "a number from 0 to 1")))]
 
 
 def expiry_rules(c: Column, as_of) -> list[tuple[Column, Column]]:
     return [(c > moment(as_of) + F.expr("interval 36500 days"),
-             _error(INVALID_INPUT, "expires_at is too far in the future (more than 100 years out)."))]
+             _error(INVALID_INPUT, f"expires_at: {TOO_LATE}"))]
 
 
 def confirmation_rules(c: Column, as_of) -> list[tuple[Column, Column]]:
     return [(c > moment(as_of) + F.expr("interval 5 minutes"),
-             _error(INVALID_INPUT, "last_confirmed_at must not be in the future."))]
+             _error(INVALID_INPUT, f"last_confirmed_at: {NOT_YET}"))]
 
 
 def blank_to_null(c: Column) -> Column:
@@ -110,14 +116,11 @@ def validate_items(items: DataFrame, as_of, default_policy: str | None = None,
     rules = (
         text_rules() + tag_rules(F.col("tags")) + importance_rules(F.col("importance"))
         + [(~mode.isin(*CAPTURE_MODES),
-            _error(INVALID_INPUT, "capture_mode must be 'explicit' or 'inferred'.")),
+            _error(INVALID_INPUT, _expected("capture_mode", " or ".join(CAPTURE_MODES), mode))),
            (F.char_length(session) > S.MAX_SESSION_ID_CHARS,
-            _error(INVALID_INPUT, F.concat(F.lit("session_id is too long ("), F.char_length(session).cast("string"),
-                                           F.lit(f" > {S.MAX_SESSION_ID_CHARS}).")))),
+            _error(INVALID_INPUT, _over("session_id characters", F.char_length(session), S.MAX_SESSION_ID_CHARS))),
            (~policy.isin(*DEDUP_POLICIES),
-            _error(INVALID_INPUT, F.concat(
-                F.lit("dedup_policy must be one of 'insert', 'skip_if_near', or 'ask' (got: "), policy,
-                F.lit(")."))))]
+            _error(INVALID_INPUT, _expected("dedup_policy", " or ".join(DEDUP_POLICIES), policy)))]
         + expiry_rules(F.col("expires_at"), as_of) + confirmation_rules(F.col("last_confirmed_at"), as_of))
     provider = F.when(F.col("source_provider") != "", F.col("source_provider"))
     return items.select(
@@ -187,7 +190,7 @@ def embed_column(df: DataFrame, provider: EmbeddingProvider, text_col: str = "te
                     vectors = np.asarray(provider.embed_batch(texts), dtype=np.float32)
                 except Exception as e:      # the call failed: say so in the rows
                     vec = pa.nulls(len(texts), pa.list_(pa.float32()))
-                    why = pa.array([f"embedding provider call failed: {e}"] * len(texts), pa.string())
+                    why = pa.array([f"embedding: {e}"] * len(texts), pa.string())
                 else:
                     if vectors.shape != (len(texts), provider.dimensions):
                         raise ValueError(f"{EMBEDDING_ERROR}: got vectors of shape {vectors.shape}, "

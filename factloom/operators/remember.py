@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom import schema as S
-from factloom.errors import EMBEDDING_ERROR, INVALID_INPUT, RequestError
-from factloom.operators.knn import knn_join
+from factloom.errors import EMBEDDING_ERROR, INVALID_INPUT, NEEDS_VECTORS, RequestError, expected
+from factloom.functions import vectors as V
+from factloom.operators.components import connected_components
+from factloom.operators.knn import knn_join, knn_links
 from factloom.operators.predicates import active, moment, tombstone
 from factloom.operators.prepare import DEDUP_POLICIES, EmbeddingProvider, embed_column, validate_items
 from factloom.operators.skew import broadcast_if_small, dense_position, join_unique
-from factloom.session import cut_lineage
+from factloom.session import cut_lineage, shuffle_partitions
 
 _HINTS = "array<struct<id:bigint,score:double>>"
 _KEY = ["user_id", "normalized_text"]
+WALK_ROWS = 4096          # items of a component that one task takes in order
 
 
 class Remembered(NamedTuple):
@@ -43,9 +49,9 @@ def remember_batch(memories: DataFrame, items: DataFrame, as_of, provider: Embed
     """
     policy = (default_policy or "").strip() or "ask"
     if policy not in DEDUP_POLICIES:
-        raise RequestError(INVALID_INPUT, f"dedup_policy must be one of {DEDUP_POLICIES} (got: {policy}).")
+        raise RequestError(INVALID_INPUT, expected("dedup_policy", " or ".join(DEDUP_POLICIES), policy))
     if provider is None and "embedding" not in items.columns:
-        raise RequestError(EMBEDDING_ERROR, "items without an embedding need a provider")
+        raise RequestError(EMBEDDING_ERROR, NEEDS_VECTORS)
     if "user_id" not in items.columns:
         items = items.withColumn("user_id", F.lit(user_id))
     checked = cut_lineage(validate_items(items, as_of, policy, default_provider))
@@ -162,24 +168,95 @@ def _first_come(items: DataFrame, strategy: str) -> DataFrame:
     """`input_index` of the items that get inserted when the items are taken in order.
 
     An item conflicts with an earlier one of the same text and, when its policy is
-    `skip_if_near`, with an earlier fresh one that is near. In each round an item that no
-    earlier undecided item conflicts with is inserted, and what conflicts with it leaves.
-    Only the single best earlier conflict of an item is looked up, never all pairs.
+    `skip_if_near`, with an earlier fresh one that is near. Links that connect what conflicts are made once; an item without
+    a link is inserted. A component of at most WALK_ROWS items is walked in order in one task. Of a larger one the first
+    WALK_ROWS open items are walked, then the rest that conflicts with the newly inserted ones leaves, and so on: a
+    chain of any shape takes one walk for every WALK_ROWS items, and a dense group far fewer.
     """
-    open_items = cut_lineage(items)
-    accepted = open_items.select("input_index").filter("false")
+    items = cut_lineage(items)
+    labels = connected_components(_conflict_links(items, strategy)).select(F.col("id").alias("input_index"), "label")
+    accepted = cut_lineage(items.select("input_index").join(labels, "input_index", "left_anti"))
+    open_items = cut_lineage(items.join(labels, "input_index"))
+    in_order = W.partitionBy("label").orderBy("input_index")
     while not open_items.isEmpty():
-        waiting = cut_lineage(_conflicting(open_items, open_items, strategy))
-        new = cut_lineage(open_items.join(waiting, "input_index", "left_anti"))
-        accepted = accepted.unionByName(new.select("input_index"))
-        rest = open_items.join(waiting, "input_index", "left_semi")
-        if waiting.isEmpty():
-            break
-        out = _conflicting(rest, new, strategy)
+        largest = open_items.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if largest <= WALK_ROWS:
+            return accepted.unionByName(cut_lineage(_walk(open_items)))
+        head = open_items.select("label", "input_index").withColumn("nth", F.row_number().over(in_order))
+        head = cut_lineage(head.filter(F.col("nth") <= WALK_ROWS).select("input_index"))
+        new = cut_lineage(_walk(open_items.join(head, "input_index", "left_semi")))
+        accepted = accepted.unionByName(new)
+        rest = open_items.join(head, "input_index", "left_anti")
+        out = _conflicting(rest, open_items.join(new, "input_index", "left_semi"), strategy)
         open_items = cut_lineage(rest.join(out, "input_index", "left_anti"))
     return accepted
 
 
+def _conflict_links(items: DataFrame, strategy: str) -> DataFrame:
+    """`id_a, id_b`: links that connect all items which conflict."""
+    first = items.groupBy(*_KEY).agg(F.min("input_index").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    same_text = join_unique(items.select("input_index", *_KEY), cut_lineage(first), _KEY, "input_index", weight="n").filter("first < input_index")
+    base = items.filter("fresh").select(F.col("input_index").alias("id"), F.col("user_id").alias("part"), F.col("embedding").alias("vec"))
+    asked = items.filter("dedup_policy = 'skip_if_near'").select(F.col("input_index").alias("query_id"), F.col("user_id").alias("part"),
+                                                                F.col("embedding").alias("vec"), F.lit(S.DEDUP_THRESHOLD).alias("floor"))
+    near = knn_links(asked, base, strategy).filter("id_a != id_b")
+    return cut_lineage(near.unionByName(same_text.select(F.col("first").alias("id_a"), F.col("input_index").alias("id_b"))))
+
+
+def _walk(items: DataFrame) -> DataFrame:
+    """`input_index` of the items that are inserted, every `label` on its own, in order."""
+    rows = items.select("label", "input_index", *_KEY, "embedding", (F.col("dedup_policy") == "skip_if_near").alias("skips"), "fresh")
+    rows = rows.repartition(shuffle_partitions(items.sparkSession), "label").sortWithinPartitions("label", "input_index")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            label = np.asarray(held.column("label"))
+            if not len(label):
+                continue
+            starts = np.flatnonzero(np.diff(label)) + 1
+            if len(starts):         # the last component may go on in the next batch
+                yield _inserted(held.slice(0, int(starts[-1])))
+                held = held.slice(int(starts[-1]))
+        if held is not None and held.num_rows:
+            yield _inserted(held)
+
+    return rows.mapInArrow(walk, "input_index long")
+
+
+def _inserted(rows: pa.Table) -> pa.RecordBatch:
+    """The sequential rule over whole components, one after the other."""
+    label, index = np.asarray(rows.column("label")), np.asarray(rows.column("input_index"))
+    keys = list(zip(*(rows.column(c).to_pylist() for c in _KEY)))
+    skips, fresh = np.asarray(rows.column("skips")), np.asarray(rows.column("fresh"))
+    vec = rows.column("embedding").combine_chunks()
+    ends = np.append(np.flatnonzero(np.diff(label)) + 1, len(label))
+    taken, lo = [], 0
+    for hi in ends.tolist():
+        own = vec.slice(lo, hi - lo)
+        known = own.drop_null()
+        unit, usable = V.unit_rows(own, len(known[0]) if len(known) else 0)
+        texts, near, users, n = set(), np.zeros_like(unit), [], 0
+        users = np.zeros(hi - lo, object)
+        for i in range(hi - lo):
+            key = keys[lo + i]
+            if key in texts:
+                continue
+            if skips[lo + i] and usable[i] and n:
+                score = np.round(near[:n] @ unit[i], V.SCORE_DIGITS)
+                if ((score >= S.DEDUP_THRESHOLD) & (users[:n] == key[0])).any():
+                    continue
+            texts.add(key)
+            taken.append(index[lo + i])
+            if fresh[lo + i] and usable[i]:
+                near[n], users[n] = unit[i], key[0]
+                n += 1
+        lo = hi
+    return pa.RecordBatch.from_arrays([pa.array(taken, pa.int64())], ["input_index"])
+
+
 def _conflicting(items: DataFrame, earlier: DataFrame, strategy: str) -> DataFrame:
     """`input_index` of the items that conflict with an item of `earlier` before them."""
     first = earlier.groupBy(*_KEY).agg(F.min("input_index").alias("first"))

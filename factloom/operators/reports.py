@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from factloom import schema as S
-from factloom.errors import LIMIT_EXCEEDED, NOT_FOUND, RequestError, check_limit
+from factloom.errors import LIMIT_EXCEEDED, NOT_FOUND, RequestError, check_limit, no_row, over
 from factloom.operators.predicates import (Cleanup, active, expired, for_user, from_provider, stale_embedding,
                                            tags_overlap, text_contains, tombstone, visible)
 from factloom.operators.skew import broadcast_if_small, join_unique
@@ -41,7 +41,7 @@ def export_memories(memories: DataFrame, user_id: str, as_of, include_deleted: b
     """All rows of a user without vectors, oldest first. `max_rows` makes a larger export an error."""
     rows = memories.filter(for_user(user_id) & visible(as_of, include_deleted))
     if max_rows is not None and rows.limit(max_rows + 1).count() > max_rows:
-        raise RequestError(LIMIT_EXCEEDED, f"export exceeds maximum of {max_rows} rows.")
+        raise RequestError(LIMIT_EXCEEDED, over("rows", "more", max_rows))
     return rows.select([c for c in S.READ_COLUMNS if c in memories.columns]).orderBy("created_at", "id")
 
 
@@ -50,7 +50,7 @@ def get_memory(memories: DataFrame, id: int) -> Row:
     row = memories.filter(F.col("id") == id).select(
         [c for c in S.READ_COLUMNS if c in memories.columns]).first()
     if row is None:
-        raise RequestError(NOT_FOUND, f"Memory {id} not found.")
+        raise RequestError(NOT_FOUND, no_row(id))
     return row
 
 
@@ -124,17 +124,19 @@ def forget_summary(results: DataFrame) -> DataFrame:
                        F.count_if(~F.col("ok")).alias("errors"))
 
 
-def fetch_count(df: DataFrame) -> int:
-    return df.count()
+def fetch_count(df: DataFrame) -> DataFrame:
+    """`n`, one row."""
+    return df.agg(F.count(F.lit(1)).alias("n"))
 
 
-def exists(df: DataFrame) -> bool:
-    return not df.isEmpty()
+def exists(df: DataFrame) -> Column:
+    """Whether there is a row, as a scalar subquery of the plan it stands in."""
+    return df.limit(1).agg(F.count(F.lit(1)) > 0).scalar()
 
 
-def fetch_one(df: DataFrame) -> Row | None:
-    """The first row, or None."""
-    return df.first()
+def fetch_one(df: DataFrame, column: str, order: list[str]) -> Column:
+    """The first row's value of a column, null without rows, as a scalar subquery."""
+    return df.orderBy(*order).limit(1).agg(F.first(column)).scalar()
 
 
 def page(df: DataFrame, number: int, size: int) -> DataFrame:

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factloom import schema as S
-from factloom.errors import INVALID_INPUT, RequestError, check_limit
+from factloom.errors import INVALID_INPUT, RequestError, check_limit, expected
 from factloom.functions.text import normalize_tags
 from factloom.functions.vectors import SCORE_DIGITS, unit_rows
 from factloom.operators.knn import knn_join
@@ -28,45 +24,36 @@ def _unusable() -> Column:
     return F.col("embedding").isNull() | F.forall("embedding", lambda x: x == 0)
 
 
-def nearest(rows: DataFrame, vector: list[float], k: int, key: list[str]) -> DataFrame:
-    """The k rows nearest to one vector: the `key` columns and `score`, equal scores in key order.
-
-    Each task keeps its k best rows only. Rows without a usable vector come last, with a null score.
-    """
+def similarity_to(vector: list[float]) -> Column:
+    """The cosine of `embedding` with one vector; null without a usable vector on either side."""
     target = np.asarray(vector, dtype=np.float64)
     norm = np.linalg.norm(target)
-    target = target / norm if norm > 0 else None
-    thin = rows.select(*key, F.col("embedding").alias("vec"))
-    schema = T.StructType([*rows.select(*key).schema.fields, T.StructField("score", T.DoubleType())])
-    order = [("score", "descending"), *[(c, "ascending") for c in key]]
-
-    def keep_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
-        for batch in batches:
-            unit, usable = unit_rows(batch.column("vec"), len(vector))
-            known = usable & (target is not None)
-            score = np.round(unit @ target, SCORE_DIGITS) if target is not None else np.zeros(len(usable))
-            table = pa.Table.from_batches([batch.drop_columns(["vec"])]).append_column(
-                "score", pa.array(score, pa.float64(), mask=~known))
-            table = table if best is None else pa.concat_tables([best, table])
-            best = table.take(pc.sort_indices(table, sort_keys=order)[:k]).combine_chunks()
-        if best is not None:
-            yield from best.to_batches()
-
-    return thin.mapInArrow(keep_best, schema).orderBy(F.desc_nulls_last("score"), *key).limit(k)
-
-
-def _with_columns(hits: DataFrame, memories: DataFrame) -> DataFrame:
-    """At most 50 hits with the read columns, best first.
-
-    The ids go into the filter of the second read, so that files and row groups without them are skipped.
+    if not norm > 0:
+        return F.lit(None).cast("double")
+    target = target / norm
+
+    @F.arrow_udf("double")
+    def cosine(vectors: pa.Array) -> pa.Array:
+        unit, usable = unit_rows(vectors, len(target))
+        return pa.array(np.round(unit @ target, SCORE_DIGITS), pa.float64(), mask=~usable)
+
+    return cosine(F.col("embedding"))
+
+
+def nearest(rows: DataFrame, vector: list[float], k: int, columns: list[str], key: list[str]) -> DataFrame:
+    """The k rows nearest to one vector: `columns` and `score`, equal scores in `key` order.
+
+    One scan: only the vectors go through Python, and each task keeps its k best rows with
+    all their columns. Rows without a usable vector come last, with a null score.
     """
-    rows = memories.select([c for c in S.READ_COLUMNS if c in memories.columns])
-    found = hits.collect()
-    spark = memories.sparkSession
-    scores = spark.createDataFrame([(r.id, r.score) for r in found], "id long, score double")
-    return (rows.filter(F.col("id").isin([r.id for r in found])).join(F.broadcast(scores), "id")
-            .orderBy(F.desc_nulls_last("score"), "id").limit(S.MAX_RESULT_ROWS))
+    scored = rows.select(*columns, similarity_to(vector).alias("score"))
+    return scored.orderBy(F.desc_nulls_last("score"), *key).limit(k)
+
+
+def _recalled(pool: DataFrame, vector: list[float], k: int, min_score: float | None = None) -> DataFrame:
+    """At most 50 hits with the read columns, best first."""
+    hits = nearest(pool, vector, k, [c for c in S.READ_COLUMNS if c in pool.columns], ["id"])
+    return hits if min_score is None else hits.filter(F.col("score") >= min_score)
 
 
 def recall(memories: DataFrame, vector: list[float], user_id: str, as_of, limit: int | None = None,
@@ -77,18 +64,14 @@ def recall(memories: DataFrame, vector: list[float], user_id: str, as_of, limit:
     """
     k = check_limit(limit, S.DEFAULT_RECALL_ROWS, S.MAX_RESULT_ROWS)
     pool = memories.filter((F.col("user_id") == user_id) & active(as_of) & tags_overlap(tags))
-    hits = nearest(pool, vector, k, ["id"])
-    if min_score is not None:
-        hits = hits.filter(F.col("score") >= min_score)
-    return _with_columns(hits, memories)
+    return _recalled(pool, vector, k, min_score)
 
 
 def recall_tombstones(memories: DataFrame, vector: list[float], user_id: str, limit: int | None = None) -> DataFrame:
     """As `recall`, over deleted rows only."""
     k = check_limit(limit, S.DEFAULT_RECALL_ROWS, S.MAX_RESULT_ROWS)
     pool = memories.filter((F.col("user_id") == user_id) & tombstone())
-    hits = nearest(pool, vector, k, ["id"])
-    return _with_columns(hits, memories)
+    return _recalled(pool, vector, k)
 
 
 def recall_batch(memories: DataFrame, queries: DataFrame, as_of, limit: int | None = None,
@@ -196,9 +179,9 @@ def build_context_prompt(memories: DataFrame, prompts: DataFrame, as_of, limit:
     `prompts`: query_id, user_id, user_prompt, embedding and optionally min_score, tags, max_chars.
     """
     if max_chars is not None and max_chars <= 0:
-        raise RequestError(INVALID_INPUT, f"max_chars must be > 0 (got {max_chars}).")
+        raise RequestError(INVALID_INPUT, expected("max_chars", "a number from 1", max_chars))
     budget = F.col("max_chars") if "max_chars" in prompts.columns else F.lit(max_chars)
-    hits = broadcast_if_small(recall_batch(memories, prompts, as_of, limit), 100_000)      # four numbers a row
+    hits = broadcast_if_small(cut_lineage(recall_batch(memories, prompts, as_of, limit)))
     facts = memories.select("id", "text").join(hits, "id").filter("text is not null")
     facts = facts.join(prompts.select("query_id", budget.cast("int").alias("_budget")), "query_id")
     kept = within_budget(facts, F.col("_budget")).groupBy("query_id").agg(

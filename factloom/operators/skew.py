@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from factloom.session import cut_lineage
 
 HOT_SHARE = 1000        # a key with more than 1/1000 of the rows is hot, so there are fewer than 1000 of them
-SMALL_BYTES = 16 << 20  # a side measured to have at most so many bytes is broadcast
+SMALL_BYTES = 1 << 20   # a side measured to have at most so many bytes is broadcast; a job may hold several at once
 
 
 def value_bytes(value: Column, kind: T.DataType) -> Column | int:

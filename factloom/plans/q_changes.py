@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from factloom.plans.fixture import (ACTIVE_SQL, AS_OF, AS_OF_SQL, MEM, cosine_sq
                                     stamp_sql, stored_memories, trim_sql)
 from factloom.plans.registry import read, register
 from factloom.session import scratch_path
+from factloom.sources import changelog
 from factloom.sources.tables import load_snapshot, save_snapshot
 
 # ---- remember -----------------------------------------------------------------------------
@@ -204,6 +207,22 @@ def confirm(spark, sf_dir):
     return E.confirm(memories(spark, sf_dir), ids, AS_OF).memories.select("id", stamp("last_confirmed_at"))
 
 
+@register(MEM + f""", seen AS (SELECT doc_id + 1 AS id FROM labels WHERE quality = 1), gone AS (SELECT doc_id * 2 + 1 AS id FROM labels)
+SELECT id, strftime(CASE WHEN id IN (SELECT id FROM seen) AND deleted_at IS NULL THEN {AS_OF_SQL} ELSE last_confirmed_at END,
+  '%Y-%m-%d %H:%M:%S') AS last_confirmed_at, md5(text) AS text_md5 FROM mem WHERE id NOT IN (SELECT id FROM gone)""")
+def changes_logged(spark, sf_dir):
+    """Rows confirmed, then others deleted, in the change log beside a snapshot; read back merged."""
+    root = scratch_path(spark, "logged")
+    save_snapshot(memories(spark, sf_dir), root)
+    seen = read(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("input_index"), (F.col("doc_id") + 1).alias("id"))
+    before = changelog.load_merged(spark, root).memories
+    changelog.append_changes(spark, root, changelog.changed_rows(before, E.confirm(before, seen, AS_OF).memories, seen))
+    gone = _forget_requests(spark, sf_dir).select("input_index", "id")
+    before = changelog.load_merged(spark, root).memories
+    changelog.append_changes(spark, root, changelog.changed_rows(before, E.forget(before, gone, AS_OF, hard=True).memories, gone))
+    return changelog.load_merged(spark, root).memories.select("id", stamp("last_confirmed_at"), F.md5("text").alias("text_md5"))
+
+
 def _forget_requests(spark, sf_dir):
     return read(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("input_index"), (F.col("doc_id") * 2 + 1).alias("id"),
@@ -289,14 +308,38 @@ def supersede(spark, sf_dir):
 
 # ---- maintenance --------------------------------------------------------------------------
 
-@register(MEM + f"""SELECT id, CASE WHEN embedding_model <> 'm1' THEN 'mock-sha256' ELSE embedding_model END AS embedding_model,
-  CASE WHEN embedding_model <> 'm1' THEN sha256(text) END AS digest, md5(text) AS text_md5 FROM mem""")
+_REEMBEDDED = MEM + """SELECT id, CASE WHEN embedding_model <> 'm1' THEN 'mock-sha256' ELSE embedding_model END AS embedding_model,
+  CASE WHEN embedding_model <> 'm1' THEN sha256(text) END AS digest, md5(text) AS text_md5 FROM mem"""
+
+
+@register(_REEMBEDDED)
 def reembed(spark, sf_dir):
     class Named(prepare.MockEmbedding):
         """Goes by the name the current rows have, so only the others are stale."""
         model_name = "m1"
 
-    done = maintain.reembed(memories(spark, sf_dir), Named(64), AS_OF)
+    return _digests(maintain.reembed(memories(spark, sf_dir), Named(64), AS_OF))
+
+
+@register(_REEMBEDDED)
+def reembed_resumed(spark, sf_dir):
+    """The first run meets a provider that fails for long texts; the second one sends only what failed."""
+    class Named(prepare.MockEmbedding):
+        model_name = "m1"
+
+    class Short(Named):
+        def embed_batch(self, texts):
+            if max(len(t) for t in texts) > 5000:
+                raise RuntimeError("too long")
+            return prepare.MockEmbedding.embed_batch(self, texts)
+
+    table, ledger = stored_memories(spark, sf_dir), scratch_path(spark, "ledger")
+    with contextlib.suppress(RuntimeError):
+        maintain.reembed(table, Short(64), AS_OF, ledger=ledger, parts=4)
+    return _digests(maintain.reembed(table, Named(64), AS_OF, ledger=ledger, parts=4))
+
+
+def _digests(done):
     new = F.col("updated_at") == F.lit("2024-06-01").cast("timestamp")
     # The direction of the new vector gives back the digest bytes: its 64 values repeat 32 signed bytes.
     norm = F.sqrt(F.aggregate(F.slice("embedding", 1, 32), F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

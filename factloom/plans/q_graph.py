@@ -45,21 +45,30 @@ _PATHS = [      # the shortest ways, written down by hand
     ("part", "supplier", "lineitem>part lineitem>supplier"), ("region", "supplier", "nation>region supplier>nation")]
 
 
-@register(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, '{p}' AS path, (SELECT count(*) FROM {a}) AS rows"
-                             for a, b, p in _PATHS))
+_KEYS = {      # what equals what on each edge
+    "nation>region": "n_regionkey = r_regionkey", "customer>nation": "c_nationkey = n_nationkey", "supplier>nation": "s_nationkey = n_nationkey",
+    "orders>customer": "o_custkey = c_custkey", "lineitem>orders": "l_orderkey = o_orderkey", "lineitem>part": "l_partkey = p_partkey",
+    "lineitem>supplier": "l_suppkey = s_suppkey"}
+
+
+def _path_sql(a: str, b: str, path: str) -> str:
+    joined = sorted({t for edge in path.split() for t in edge.split(">")})
+    return (f"SELECT '{a}' AS a, '{b}' AS b, '{path}' AS path, count(*) AS rows FROM {', '.join(joined)} "
+            f"WHERE {' AND '.join(_KEYS[e] for e in path.split())}")
+
+
+@register(" UNION ALL ".join(_path_sql(*row) for row in _PATHS))
 def join_path(spark, sf_dir):
-    """The edges between each pair of tables that the data fills."""
-    tables = star(spark, sf_dir)
-    graph = star_graph()
-    rows = None
+    """The edges between each pair of tables, and the rows of the join along them."""
+    tables, graph, found = star(spark, sf_dir), star_graph(), None
     for a in STAR:
         for b in STAR:
             if a < b:
                 path = " ".join(f"{e.from_table}>{e.to_table}" for e in graph.join_path([a, b]))
-                r = tables[a].agg(F.count(F.lit(1)).alias("rows")).select(
-                    F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(path).alias("path"), "rows")
-                rows = r if rows is None else rows.unionByName(r)
-    return rows
+                joined = auto_join(tables, graph, [f"{t}.{tables[t].columns[0]}" for t in (a, b)])
+                r = joined.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(path).alias("path"), "rows")
+                found = r if found is None else found.unionByName(r)
+    return found
 
 
 @register("""SELECT c_name, r_name, o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders

@@ -14,7 +14,7 @@ from factloom.plans.fixture import (ACTIVE_SQL, AS_OF, AS_OF_SQL, MEM, joined, m
                                     trim_sql)
 from factloom.plans.registry import read, register
 from factloom.session import scratch_path
-from factloom.sources import files, tables
+from factloom.sources import files, pages, tables
 
 # ---- sources and sinks --------------------------------------------------------------------
 
@@ -40,15 +40,17 @@ def save_memories(spark, sf_dir):
         "id", "user_id", F.md5("text").alias("text_md5"), F.md5("normalized_text").alias("key_md5"))
 
 
-@register(r"""SELECT text, count(*) AS n, 'imported' AS tags FROM (
-  SELECT regexp_replace(regexp_replace(line, '[\r \t]+$', ''), '^[ \t]+', '') AS text
-  FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents))
-WHERE text <> '' AND NOT starts_with(text, '#') GROUP BY text""")
+@register(r"""SELECT row_number() OVER (ORDER BY doc_id, nth) - 1 AS input_index, md5(text) AS text_md5, 'imported' AS tags FROM (
+  SELECT doc_id, nth, regexp_replace(regexp_replace(line, '[\r \t]+$', ''), '^[ \t]+', '') AS text
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents))
+WHERE text <> '' AND NOT starts_with(text, '#')""")
 def read_fact_lines(spark, sf_dir):
+    """The documents' lines from several files whose names follow the documents' order."""
     path = scratch_path(spark, "lines")
-    read(spark, sf_dir, "documents").select("text").write.text(path)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("text").write.text(path)
     facts = files.read_fact_lines(spark, path, " imported ,")
-    return facts.groupBy("text").agg(F.count(F.lit(1)).alias("n"), F.max(F.array_join("tags", "|")).alias("tags"))
+    return facts.select("input_index", F.md5("text").alias("text_md5"), joined("tags"))
 
 
 @register("""SELECT conv_id, md5(text) AS text_md5, role AS tags, CAST(turn AS DOUBLE) / 100 AS importance,
@@ -175,12 +177,12 @@ SELECT doc_id AS input_index,
   CASE WHEN t = '' OR length(t) > 16000 THEN 'INVALID_INPUT' WHEN imp < 0 OR imp > 1 THEN 'INVALID_INPUT'
     WHEN lang NOT IN ('en', 'fr') THEN 'INVALID_INPUT' WHEN source = 'src1' THEN 'INVALID_INPUT'
     WHEN n_chars > 2000 THEN 'INVALID_INPUT' END AS error_code,
-  CASE WHEN t = '' THEN 'The text field is required.'
-    WHEN length(t) > 16000 THEN 'Text is too long (' || length(t) || ' > 16000 chars).'
-    WHEN imp < 0 OR imp > 1 THEN 'importance must be between 0 and 1.'
-    WHEN lang NOT IN ('en', 'fr') THEN 'capture_mode must be ''explicit'' or ''inferred''.'
-    WHEN source = 'src1' THEN 'dedup_policy must be one of ''insert'', ''skip_if_near'', or ''ask'' (got: maybe).'
-    WHEN n_chars > 2000 THEN 'last_confirmed_at must not be in the future.' END AS error_message
+  CASE WHEN t = '' THEN 'text: none given'
+    WHEN length(t) > 16000 THEN 'text characters: ' || length(t) || ' found, 16000 allowed'
+    WHEN imp < 0 OR imp > 1 THEN 'importance: a number from 0 to 1 is expected'
+    WHEN lang NOT IN ('en', 'fr') THEN 'capture_mode: explicit or inferred is expected, ' || lang || ' found'
+    WHEN source = 'src1' THEN 'dedup_policy: insert or skip_if_near or ask is expected, maybe found'
+    WHEN n_chars > 2000 THEN 'last_confirmed_at: later than now' END AS error_message
 FROM i""")
 def validate_items(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
@@ -434,10 +436,16 @@ def embedding_model_counts(spark, sf_dir):
 @register("""SELECT (SELECT count(*) FROM lineitem) AS n, (SELECT count(*) > 0 FROM labels WHERE toxic = 1) AS any_toxic,
   (SELECT count(*) > 0 FROM labels WHERE toxic = 7) AS any_seven, (SELECT min(o_orderkey) FROM orders) AS first_order""")
 def fetch_count(spark, sf_dir):
+    """A count, two tests and a first value in one plan."""
     labels = read(spark, sf_dir, "labels")
-    first = R.fetch_one(read(spark, sf_dir, "orders").orderBy("o_orderkey"))
-    return spark.range(1).select(
-        F.lit(R.fetch_count(read(spark, sf_dir, "lineitem"))).cast("long").alias("n"),
-        F.lit(R.exists(labels.filter("toxic = 1"))).alias("any_toxic"),
-        F.lit(R.exists(labels.filter("toxic = 7"))).alias("any_seven"),
-        F.lit(first.o_orderkey).cast("long").alias("first_order"))
+    return R.fetch_count(read(spark, sf_dir, "lineitem")).select(
+        "n", R.exists(labels.filter("toxic = 1")).alias("any_toxic"), R.exists(labels.filter("toxic = 7")).alias("any_seven"),
+        R.fetch_one(read(spark, sf_dir, "orders"), "o_orderkey", ["o_orderkey"]).alias("first_order"))
+
+
+@register("SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders ORDER BY orders.o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 1000")
+def page_from_files(spark, sf_dir):
+    """Page 40 of the orders by price, from the one or two files that hold it."""
+    path, order = scratch_path(spark, "pages"), [F.desc("o_totalprice"), F.asc("o_orderkey")]
+    pages.write_pages(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), path, order, rows_per_file=400)
+    return pages.read_page(spark, path, 40, 25, order).select("o_orderkey", F.round("o_totalprice", 2).alias("o_totalprice"))

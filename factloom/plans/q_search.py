@@ -130,13 +130,13 @@ def near_duplicate_clusters(spark, sf_dir):
                     "total_pairs", "id")
 
 
-@register(MEM + f""", asked AS (
+@register(MEM + f""", turn_of AS MATERIALIZED (
   SELECT conv_id * 1000 + turn AS query_id, 'user' || (conv_id % 3) AS user_id, text AS user_prompt,
-    CAST(embedding AS DOUBLE[]) AS qv, CASE WHEN turn % 3 = 0 THEN 1500 WHEN turn % 3 = 1 THEN 300 END AS max_chars
-  FROM conversations JOIN embeddings ON vec_id = (conv_id * 7 + turn) % (SELECT count(*) FROM embeddings)),
-hits AS (SELECT query_id, id, {cosine_sql('emb', 'qv')} AS s FROM asked JOIN mem USING (user_id) WHERE {ACTIVE_SQL}),
-top AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) <= 8),
-ranked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM top),
+    CASE WHEN turn % 3 = 0 THEN 1500 WHEN turn % 3 = 1 THEN 300 END AS max_chars, (conv_id * 7 + turn) % n AS vec_id FROM conversations, nv),
+asked AS MATERIALIZED (SELECT turn_of.*, CAST(embedding AS DOUBLE[]) AS qv FROM turn_of JOIN embeddings USING (vec_id)),
+pool AS MATERIALIZED (SELECT id, user_id, emb FROM mem WHERE {ACTIVE_SQL}),
+hits AS MATERIALIZED (SELECT query_id, id, {cosine_sql('emb', 'qv')} AS s FROM asked JOIN pool USING (user_id)),
+ranked AS MATERIALIZED (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS r FROM hits QUALIFY r <= 8),
 run AS (SELECT query_id, r, text, sum(length(text)) OVER (PARTITION BY query_id ORDER BY r) AS used FROM ranked JOIN mem USING (id)),
 kept AS (SELECT query_id, string_agg(run.text || chr(10) || chr(10), '' ORDER BY r) AS body FROM run JOIN asked USING (query_id)
   WHERE max_chars IS NULL OR used <= max_chars GROUP BY query_id)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-_WRITTEN: list[str] = []      # folders to delete when the job's results are stored
+_COPIES: ContextVar[list[str] | None] = ContextVar("copies", default=None)      # folders of the job that runs in this thread
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, name: str = "factloom") -> SparkSession:
@@ -47,8 +49,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; inside `working_copies` it is deleted at the end."""
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    held = _COPIES.get()
+    if held is not None:
+        held.append(path)
+    return path
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -60,23 +66,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     Loops neither re-run nor grow their plan, a lost executor costs no recomputation of what
     came before, and unlike a checkpoint the copy is compressed, pruned by column and has
-    a known size for the joins that follow. `drop_scratch` deletes the copies
-    when the results that read them are stored.
+    a known size for the joins that follow. A job that stores its results inside `working_copies`
+    leaves none behind.
     """
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scratch_count() -> int:
-    """How many folders `cut_lineage` has written; where a job starts, for `drop_scratch` at its end."""
-    return len(_WRITTEN)
-
+@contextlib.contextmanager
+def working_copies(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the folders that were made inside. The results must be stored by then.
 
-def drop_scratch(spark: SparkSession, since: int = 0) -> None:
-    """Delete the folders that `cut_lineage` wrote since then, when the results that read them are stored."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while len(_WRITTEN) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+    Every thread has its own list, so jobs that run at once leave each other's copies alone.
+    """
+    token = _COPIES.set([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for name in _COPIES.get() or ():
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+        _COPIES.reset(token)

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import csv
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.errors import INVALID_INPUT, RequestError
 from factloom.functions.text import _BLANKS, bad_iso, parse_iso, split_tags
+from factloom.operators.skew import broadcast_if_small
+from factloom.session import cut_lineage
 
 # ---- fact files ---------------------------------------------------------------------------
 
@@ -28,13 +38,25 @@ def fact_lines(lines: DataFrame, col: str = "value", tags_csv: str | None = None
             .filter((F.col("text") != "") & ~F.startswith("text", F.lit("#"))))
 
 
+def _numbered(rows: DataFrame, out: str) -> DataFrame:
+    """`rows` (with `_file`, `_block`, in the order they were read) numbered 0, 1, 2, ... by file, block and place, without a sort.
+
+    A task reads a block in order, so numbers that rise in the task are the place in the block. A directory of the rows of every
+    block, one row each, tells how many stand before it.
+    """
+    held = cut_lineage(rows.withColumn("_place", F.monotonically_increasing_id()))
+    blocks = held.groupBy("_file", "_block").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    directory = cut_lineage(blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    placed = held.join(broadcast_if_small(directory), ["_file", "_block"])
+    return placed.withColumn(out, F.col("_before") + F.col("_place") - F.col("_first")).drop("_file", "_block", "_place", "_first", "_before")
+
+
 def read_fact_lines(spark: SparkSession, path: str, tags_csv: str | None = None) -> DataFrame:
-    """One fact per line: `input_index` (rising in file and line order), `text`, `tags`."""
+    """One fact per line: `input_index` (0, 1, 2, ... in file and line order), `text`, `tags`."""
     lines = spark.read.option("lineSep", "\n").text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"))
-    facts = fact_lines(lines, "value", tags_csv).orderBy("file", "block", "line")
-    return facts.select(F.monotonically_increasing_id().alias("input_index"), "text", "tags")
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    return _numbered(fact_lines(lines, "value", tags_csv), "input_index").select("input_index", "text", "tags")
 
 
 def _typed_items(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -49,11 +71,10 @@ def _typed_items(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def read_fact_json(spark: SparkSession, path: str) -> DataFrame:
-    """Items of files that each hold one JSON array: `input_index`, rising by file path and then place, and the item columns."""
+    """Items of files that each hold one JSON array: `input_index`, 0, 1, 2, ... by file path and then place, and the item columns."""
     rows = spark.read.schema(FACT_JSON).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_place"))
-    ordered = placed.orderBy("_file", "_place").withColumn("input_index", F.monotonically_increasing_id())
-    return _typed_items(ordered, ["input_index"])
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.lit(0).cast("long").alias("_block"))
+    return _typed_items(_numbered(placed, "input_index"), ["input_index"])
 
 
 def json_items(df: DataFrame, col: str) -> DataFrame:
@@ -75,35 +96,92 @@ def read_facts(spark: SparkSession, path: str, fmt: str | None = None, tags_csv:
 
 # ---- delimited files ----------------------------------------------------------------------
 
+_LINE = "value string, file string, block long, line long, quotes long, starts0 long, starts1 long"
+
+
+def records(spark: SparkSession, path: str, quote: str = '"') -> DataFrame:
+    """`file, nr, record`: the records of quoted text files, which may span lines, numbered from 0 in each file.
+
+    A file is read in as many blocks as Spark makes of it. A block does not know whether it begins inside a quoted field: each
+    line is numbered for both cases, and the quotes of all blocks before it, a row each, tell which case holds. Records of one
+    line, nearly all, stay where they are; only the lines of longer ones are shuffled together.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, line, quotes, begun = None, 0, 0, [0, 0]
+        for batch in batches:
+            of = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
+            ends = [i for i in range(1, len(of)) if of[i] != of[i - 1]] + [len(of)]
+            lo = 0
+            for hi in ends:
+                if hi == lo:
+                    continue
+                if of[lo] != now:
+                    now, line, quotes, begun = of[lo], 0, 0, [0, 0]
+                own = np.asarray(pc.count_substring(batch.column(0).slice(lo, hi - lo), quote)).astype(np.int64)
+                upto = quotes + np.cumsum(own) - own          # quotes of the block before each line
+                starts = [begun[k] + np.cumsum(upto % 2 == k) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.slice(lo, hi - lo) for c in batch.columns), pa.array(line + np.arange(hi - lo)), pa.array(upto + 0),
+                     pa.array(starts[0]), pa.array(starts[1])], [x.split()[0] for x in _LINE.split(", ")])
+                line, quotes, begun, lo = line + hi - lo, int(upto[-1] + own[-1]), [int(s[-1]) for s in starts], hi
+
+    held = cut_lineage(lines.mapInArrow(number, _LINE))
+    own = F.length(F.regexp_replace("value", f"[^{re.escape(quote)}]", ""))
+    blocks = held.groupBy("file", "block").agg(F.max(F.col("quotes") + own).alias("quotes"), F.max("starts0").alias("starts0"), F.max("starts1").alias("starts1"))
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)       # a row per block
+    blocks = blocks.withColumn("odd", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    begun = F.when(F.col("odd") == 0, F.col("starts0")).otherwise(F.col("starts1"))
+    blocks = cut_lineage(blocks.select("file", "block", "odd", F.coalesce(F.sum(begun).over(before), F.lit(0)).alias("before")))
+    placed = held.join(broadcast_if_small(blocks), ["file", "block"])
+    nr = F.col("before") + F.when(F.col("odd") == 0, F.col("starts0")).otherwise(F.col("starts1")) - 1
+    inside = (F.col("odd") + F.col("quotes")) % 2 == 1
+    placed = placed.select("file", "block", "line", "value", nr.alias("nr"), (~inside & (own % 2 == 0)).alias("whole"))
+    long = placed.filter("not whole").groupBy("file", "nr").agg(F.sort_array(F.collect_list(F.struct("block", "line", "value"))).alias("l"))
+    return placed.filter("whole").select("file", "nr", F.col("value").alias("record")).unionByName(
+        long.select("file", "nr", F.array_join(F.col("l.value"), "\n").alias("record")))
+
+
 def read_delimited(spark: SparkSession, path: str, delimiter: str = ",", quote: str = '"',
-                   required: list[str] | None = None, field_count: int | None = None,
-                   multi_line: bool = True) -> DataFrame:
+                   required: list[str] | None = None, field_count: int | None = None) -> DataFrame:
     """A delimited file with a header: string columns named in lower case, values trimmed, gaps as ''.
 
-    Quotes are doubled inside quoted fields, which may span lines; without `multi_line` they may not, and large files are then
-    read in parts. Files of one folder must have the same header: another order of names is an error. Rows of blanks and
-    delimiters are skipped. `required` headers that are missing, and with `field_count` rows of
+    Quotes are doubled inside quoted fields, which may span lines; large files are read in parts all the same (see `records`). A
+    quote inside a field that does not begin with one must not stand alone. Files of one folder must have the same header: another order of names is
+    an error. Rows of blanks and delimiters are skipped. `required` headers that are missing, and with `field_count` rows of
     another length, are errors.
     """
-    reader = (spark.read.option("header", True).option("sep", delimiter).option("quote", quote)
-              .option("escape", quote).option("multiLine", multi_line).option("emptyValue", "")
-              .option("inferSchema", False).option("enforceSchema", False)
-              .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True))
-    if field_count is not None:
-        reader = reader.option("mode", "FAILFAST")
-    raw = reader.csv(path)
-    names = [n.strip().lower() for n in raw.columns]
+    rows = cut_lineage(records(spark, path, quote).filter(F.btrim("record", F.lit(_BLANKS)) != ""))
+    options = {"sep": delimiter, "quote": quote, "escape": quote, "emptyValue": "", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    first = rows.groupBy("file").agg(F.min("nr").alias("nr"))                      # a row per file
+    heads = cut_lineage(rows.join(broadcast_if_small(first), ["file", "nr"]).select("file", "nr", F.regexp_replace("record", "^\ufeff|\r$", "").alias("record")))
+    head = heads.orderBy("file").first()
+    if head is None:
+        raise RequestError(INVALID_INPUT, "no header")
+    other = heads.filter(F.col("record") != head.record).first()
+    if other is not None:
+        raise RequestError(INVALID_INPUT, f"{other.file} has another header than {head.file}")
+    names = next(csv.reader([head.record], delimiter=delimiter, quotechar=quote, skipinitialspace=True))
+    names = [n.strip().lower() for n in names]
     missing = missing_headers(names, required or [])
     if missing:
         raise RequestError(INVALID_INPUT, f"missing headers: {', '.join(missing)}")
     if field_count is not None and len(names) != field_count:
         raise RequestError(INVALID_INPUT, f"expected {field_count} fields, the header has {len(names)}")
     # Positions, because a header may hold dots or repeat in another case.
-    raw = raw.toDF(*[f"c{i}" for i in range(len(names))])
-    fields = [F.coalesce(F.btrim(F.col(f"c{i}"), F.lit(_BLANKS)), F.lit("")).alias(n)
+    body = rows.join(broadcast_if_small(first.withColumnRenamed("nr", "head")), "file").filter("nr > head")
+    text = F.regexp_replace("record", "\r$", "")
+    schema = ", ".join([f"c{i} string" for i in range(len(names))] + ["broken string"])
+    parsed = body.select(text.alias("record")).withColumn("r", F.from_csv("record", schema, options | {"columnNameOfCorruptRecord": "broken"}))
+    if field_count is not None:
+        wrong = F.raise_error(F.concat(F.lit(f"{INVALID_INPUT}: expected {field_count} fields: "), F.col("record")))
+        parsed = parsed.withColumn("r", F.when(F.col("r.broken").isNotNull(), wrong.cast(parsed.schema["r"].dataType)).otherwise(F.col("r")))
+    fields = [F.coalesce(F.btrim(F.col(f"r.c{i}"), F.lit(_BLANKS)), F.lit("")).alias(n)
               for i, n in enumerate(names) if n]
-    rows = raw.select(*fields)
-    return rows.filter(F.concat(*[F.col(f"`{n}`") for n in rows.columns]) != "")
+    out = parsed.select(*fields)
+    return out.filter(F.concat(*[F.col(f"`{n}`") for n in out.columns]) != "")
 
 
 def missing_headers(names: list[str], required: list[str]) -> list[str]:

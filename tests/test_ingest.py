@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -6,7 +7,8 @@ from factloom.errors import RequestError
 from factloom.operators import chunks as K
 from factloom.operators import closest, ingest
 from factloom.operators.prepare import MockEmbedding
-from factloom.streaming.remember_stream import remember_stream, stream_table
+from factloom.streaming import remember_stream as stream_module
+from factloom.streaming.remember_stream import remember_stream, stream_results, stream_table
 from tests.helpers import NOW, memories
 
 
@@ -110,5 +112,53 @@ def test_stream_and_replay(spark, tmp_path):
     for f in (commit, commit.with_name(f".{commit.name}.crc")):
         f.unlink(missing_ok=True)
     assert go() == {1: "a", 2: "b", 3: "c"}
-    results = spark.read.parquet(f"{root}/results")
-    assert results.count() == 5
+    assert stream_results(spark, root).count() == 5
+
+
+def test_a_half_written_batch_inserts_nothing_twice(spark, tmp_path, monkeypatch):
+    root, items = str(tmp_path), spark.createDataFrame([(1, "a"), (2, "b")], "input_index long, text string")
+    plain = stream_module._commit
+
+    def lost(*args):
+        raise RuntimeError("lost before the commit")
+
+    monkeypatch.setattr(stream_module, "_commit", lost)
+    with pytest.raises(RuntimeError):
+        stream_module.take_batch(items, 0, root, MockEmbedding(16), NOW)
+    assert stream_table(spark, root).count() == 0        # the part is there, but it does not count
+    monkeypatch.setattr(stream_module, "_commit", plain)
+    for _ in range(3):                                    # and once it was committed, running it again changes nothing
+        stream_module.take_batch(items, 0, root, MockEmbedding(16), NOW)
+    assert sorted(r.id for r in stream_table(spark, root).collect()) == [1, 2] and stream_results(spark, root).count() == 2
+
+
+def test_parts_grow_with_the_logarithm_of_the_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stream_module, "FOLD", 2)
+    root, held = str(tmp_path), []
+    for k in range(7):
+        items = spark.createDataFrame([(1, f"new {k}"), (2, f"new {max(0, k - 1)}")], "input_index long, text string")
+        stream_module.take_batch(items, k, root, MockEmbedding(16), NOW)
+        held.append([(r.first, r["last"]) for r in stream_module.parts(spark, root)])
+    assert held[-1] == [(0, 3), (4, 5), (6, 6)] and held[3] == [(0, 3)] and max(map(len, held)) <= 3
+    assert sorted(r.text for r in stream_table(spark, root).collect()) == [f"new {k}" for k in range(7)]
+    assert sorted(r.text for r in stream_table(spark, root, before=3).collect()) == ["new 0", "new 1", "new 2"]
+    assert stream_results(spark, root).count() == 14
+
+
+def test_few_candidates_are_scored(monkeypatch):
+    """The same best candidates as by scoring all pairs, with a tenth of the calls at most."""
+    rnd = random.Random(4)
+    parts = ["ka", "lo", "min", "ter", "sch", "ou", "ra", "en", "vi", "qu", "ö"]
+    cands = sorted({"".join(rnd.choices(parts, k=rnd.randrange(1, 6))) for _ in range(700)} | {""})
+    rows = list(enumerate(cands))
+    rnd.shuffle(rows)
+    forms = [c[:k] + rnd.choice("abcdeö") + c[k + 1:] for c in rnd.sample(cands, 120) for k in [rnd.randrange(len(c) + 1)]] + ["", "a", "zzz", cands[5]]
+    want = {f: min((-closest.jaro_winkler(f, c), o) for o, c in rows) for f in forms}
+    calls = []
+    plain = closest.jaro_winkler
+    monkeypatch.setattr(closest, "jaro_winkler", lambda a, b: calls.append(1) or plain(a, b))
+    known = closest._Candidates(rows)
+    got = {f: known.best(f) for f in forms}
+    assert got == {f: (o, -s) for f, (s, o) in want.items()}
+    assert len(calls) * 10 <= len(forms) * len(cands)
+    assert closest._Candidates([]).best("a") is None
