@@ -1,8 +1,8 @@
 """Near duplicates among embeddings by an inverted multi-index.
 
 Unit vectors are cut into two halves, each with a codebook of its own; the pairs of codes are the cells of a product grid. A
-vector lies in the cell of its nearest codes and also visits the cells nearest to it, in the order of the sum of the two
-halves' squared distances to the cells (the multi-sequence order), until the target recall is reached. In a cell every
+vector lies in the cell of its nearest codes and also visits the cells nearest to it: the codes of each half are sorted by their distance, and
+a heap walks the two sequences together in the order of the summed squared distances, until the target recall is reached. In a cell every
 pair is verified by its cosine in double precision.
 
 How far to go is fitted: around sampled vectors, neighbours at exactly the least similarity are drawn in random directions; the
@@ -12,10 +12,12 @@ the one with the higher number visits the lower, so a pair meets once.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,9 @@ from factloom.session import cut_lineage, shuffle_partitions
 
 THRESHOLD = 0.98
 TARGET_RECALL = 0.999
-SAMPLE = 8192             # vectors that the codebooks and the reach are fitted on
-CELL_VECTORS = 64         # vectors of a label that a cell is aimed at
-MAX_CODES = 128           # per half
+SAMPLE = 8192             # vectors that the codebooks and the reach are fitted on, or
+SAMPLE_PER_CODE = 16      # so many for every code, if that is more
+CELL_VECTORS = 64         # vectors of a label that a cell is aimed at: the codes of a half grow with the square root of the vectors
 CELL_ROWS = 2048          # rows of a cell in one task; larger cells are split into pairs of blocks
 _ROUNDS = 12
 
@@ -39,6 +41,8 @@ class Grid:
         rng = np.random.default_rng(seed)
         self.half = unit.shape[1] // 2
         self.books = [_k_means(unit[:, :self.half], codes, rng), _k_means(unit[:, self.half:], codes, rng)]
+        squares = [(b * b).sum(axis=1) for b in self.books]
+        self.apart = [2 * np.sqrt(np.maximum(q[:, None] + q[None] - 2 * b @ b.T, 1e-30)) for b, q in zip(self.books, squares)]
         self.reach = 2 - 2 * threshold
         if target < 1 and len(unit):
             noise = rng.normal(size=unit.shape)
@@ -57,32 +61,54 @@ class Grid:
     def _look(self, unit: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Per half: the own codes, and a lower bound of the squared distance to the region of every code."""
         own, gaps = [], []
-        for book, x in zip(self.books, (unit[:, :self.half], unit[:, self.half:])):
+        for book, apart, x in zip(self.books, self.apart, (unit[:, :self.half], unit[:, self.half:])):
             d = (x * x).sum(axis=1)[:, None] - 2 * x @ book.T + (book * book).sum(axis=1)[None, :]
             code = d.argmin(axis=1)
-            apart = 2 * np.sqrt(np.maximum(((book[:, None] - book[None]) ** 2).sum(axis=2), 1e-30))
             gap = np.maximum(d - d[np.arange(len(d)), code][:, None], 0) / apart[code]
             own.append(code)
             gaps.append(np.where(np.arange(len(book))[None] == code[:, None], 0.0, gap * gap))
         return own, gaps
 
     def _names(self, own: list[np.ndarray]) -> np.ndarray:
-        return own[0] * len(self.books[1]) + own[1]
+        return own[0].astype(np.int64) * len(self.books[1]) + own[1]
 
     def cells(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, cell, looks): each row's own cell, and the lower cells it visits within the reach."""
+        """(row, cell, looks): each row's own cell, and the cells of lower number that its visit meets."""
         own, gaps = self._look(unit)
         name = self._names(own)
-        rows, cells, looks = [np.arange(len(unit))], [name], [np.zeros(len(unit), np.int32)]
-        for i in range(len(self.books[0])):       # one code of the first half at a time, so that the grid is never spread out whole
-            row = np.flatnonzero(gaps[0][:, i] <= self.reach)
-            at, j = np.nonzero(gaps[0][row, i][:, None] + gaps[1][row] <= self.reach)
-            cell = i * len(self.books[1]) + j
-            lower = cell < name[row[at]]
-            rows.append(row[at][lower])
-            cells.append(cell[lower])
-            looks.append(np.ones(int(lower.sum()), np.int32))
-        return np.concatenate(rows), np.concatenate(cells), np.concatenate(looks)
+        rows, cells, width = [], [], len(self.books[1])
+        near = [[np.flatnonzero(g <= self.reach) for g in half] for half in gaps]
+        for row in range(len(unit)):
+            a, b = near[0][row], near[1][row]
+            a, b = a[np.argsort(gaps[0][row, a], kind="stable")], b[np.argsort(gaps[1][row, b], kind="stable")]
+            for i, j, _ in visits(gaps[0][row, a].tolist(), gaps[1][row, b].tolist(), self.reach):
+                cell = int(a[i]) * width + int(b[j])
+                if cell < name[row]:
+                    rows.append(row)
+                    cells.append(cell)
+        return (np.concatenate([np.arange(len(unit)), np.array(rows, np.int64)]), np.concatenate([name, np.array(cells, np.int64)]),
+                np.concatenate([np.zeros(len(unit), np.int32), np.ones(len(rows), np.int32)]))
+
+
+def visits(first: list[float], second: list[float], reach: float) -> Iterator[tuple[int, int, float]]:
+    """The multi-sequence order: pairs of places in two ascending lists by ascending sum, as long as it is at most `reach`.
+
+    A pair enters the heap when both its neighbours towards the origin have been visited, so the heap holds a
+    staircase of pairs and never the grid.
+    """
+    if not first or not second:
+        return
+    heap, done = [(first[0] + second[0], 0, 0)], [0] * len(first)      # done[i]: how many pairs (i, 0), (i, 1), ... were visited
+    while heap:
+        total, i, j = heapq.heappop(heap)
+        if total > reach:
+            return
+        yield i, j, total
+        done[i] = j + 1
+        if i + 1 < len(first) and done[i + 1] == j:
+            heapq.heappush(heap, (first[i + 1] + second[j], i + 1, j))
+        if j + 1 < len(second) and (i == 0 or done[i - 1] > j + 1):
+            heapq.heappush(heap, (first[i] + second[j + 1], i, j + 1))
 
 
 def _k_means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -101,10 +127,12 @@ def _k_means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Vectors in double precision, short ones filled up with zeros."""
-    lists = column.to_numpy(zero_copy_only=False)
-    out = np.zeros((len(lists), dim))
-    for i, v in enumerate(lists):
-        out[i, :len(v)] = v
+    sizes = np.asarray(pc.list_value_length(column))
+    flat = np.asarray(column.flatten()).astype(float)
+    if (sizes == dim).all():
+        return flat.reshape(len(sizes), dim)
+    out = np.zeros((len(sizes), dim))
+    out[np.arange(dim)[None] < sizes[:, None]] = flat
     return out
 
 
@@ -117,7 +145,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     the least id reached over links, the row's own included. A vector that is null, empty, zero or holds a null or non-finite component, and a row
     with a null label or id, links with nothing and is its own component. A repeated row is a row of its own: it links with its copies. Rows
     with one vector and label are compared once and count as often as they occur. Codebooks and reach are
-    fitted on the `sample` vectors with the least hashes; every vector is indexed.
+    fitted on the `sample` vectors with the least hashes (more if there are many codes); every vector is indexed.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"),
                           F.col(vec_col).cast("array<double>").alias("vec"))
@@ -126,18 +154,19 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     group = F.struct("label", F.size("vec").alias("dim"), F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit("second"), "vec").alias("h2"))
     thin = rows.select("id", F.when(usable, group).alias("group"))
     groups = cut_lineage(thin.filter("group is not null").groupBy("group").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
-    held = rows.filter(usable).withColumn("group", group).select("id", "group", "vec")
-    same = held.join(groups, "group").filter(F.col("id") == F.col("rep"))        # repeated rows of one id: once each
+    held = rows.filter(usable).withColumn("group", group).select(F.col("id").alias("rep"), "group", "vec")
+    same = held.join(groups, ["rep", "group"])        # of a group of copies one id, so none of its keys is hot; repeated rows of it: once each
     reps = cut_lineage(same.groupBy("group", "rep", "n").agg(F.first("vec").alias("vec"))
                        .select("rep", "n", F.concat_ws("/", F.col("group.dim"), F.col("group.label")).alias("part"), "vec"))
     facts = reps.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
     links, edges = None, None
     if facts.n:
         parts = reps.select("part").distinct().count()
+        codes = max(1, round((facts.n / parts / CELL_VECTORS) ** 0.5))
+        sample = max(sample, SAMPLE_PER_CODE * codes)
         picked = reps.orderBy(F.xxhash64("vec"), "rep").limit(sample).select("vec").toArrow().column(0).combine_chunks()
         fitted = _matrix(picked, facts.dim)
         fitted /= np.linalg.norm(fitted, axis=1, keepdims=True)
-        codes = int(min(MAX_CODES, max(1, round((facts.n / parts / CELL_VECTORS) ** 0.5))))
         grid = Grid(fitted, codes, threshold, target_recall)
         found = cut_lineage(_compare_cells(reps, grid, facts.dim, threshold, cell_rows))
         edges = found.filter("other is not null").select(F.col("rep").alias("id_a"), F.col("other").alias("id_b"))
@@ -167,10 +196,10 @@ def _compare_cells(reps: DataFrame, grid: Grid, dim: int, threshold: float, cell
                 row, cell, looks = grid.cells(unit)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(2).take(take), pa.array(cell.astype(np.int32)), pa.array(looks), part.column(0).take(take),
+                    [part.column(2).take(take), pa.array(cell), pa.array(looks), part.column(0).take(take),
                      part.column(1).take(take), part.column(3).take(take)], ["part", "cell", "looks", "rep", "n", "vec"])
 
-    spread = reps.select("rep", "n", "part", "vec").mapInArrow(cells, "part string, cell int, looks int, rep long, n long, vec array<double>")
+    spread = reps.select("rep", "n", "part", "vec").mapInArrow(cells, "part string, cell long, looks int, rep long, n long, vec array<double>")
     large = cut_lineage(spread.groupBy("part", "cell").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > cell_rows)
                         .select("part", "cell", F.ceil(F.col("m") / cell_rows).cast("int").alias("blocks")))
     rows = lookup(spread, large, ["part", "cell"], "rep")

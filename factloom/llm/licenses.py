@@ -1,8 +1,9 @@
 """Licence scan with a positional index of rare words.
 
-Every notice is known by its two words with the highest inverse document frequency in the corpus. Only the words of the index are looked up
-in a file; a notice can start only where both rare words stand at its own relative positions. There its
-mandatory key phrase must stand in full, and enough of the notice's weight around it.
+The index has, for every word of the templates, its postings: template and position. Of a file its rarest licence words, by document frequency over all
+files, are looked up (and the rarest word of each base phrase, so that those are never missed). A posting at relative
+position i of a word at place p proposes that the template starts at p - i; where two words propose the same start the postings meet. There the template's
+mandatory key phrase must stand in full, and enough of its weight around it.
 """
 
 from __future__ import annotations
@@ -13,9 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import NOT_ALNUM, ascii_lower, words
+from factloom.llm.common import NOT_ALNUM, ascii_lower, let, words
 
-LEAST_SHARE = 0.6        # of a notice's weight that must be found besides its key phrase
+LEAST_SHARE = 0.6        # of a template's weight that must be found at its place
+RAREST = 16              # licence words of a file that are looked up
 
 
 @dataclass(frozen=True)
@@ -46,129 +48,179 @@ BASE = (
 NOTICES = (
     Notice("mit", "released under the mit license", "mit license"),
     Notice("mit", "licensed under the mit license", "mit license"),
-    Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
     Notice("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2"),
     Notice("gpl-2.0", "this work is licensed under the gnu general public license version 2", "gnu general public license version 2"),
     Notice("gpl-3.0", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
     Notice("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
     Notice("agpl", "licensed under the gnu affero general public license", "affero general public license"),
-    Notice("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    Notice("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     Notice("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     Notice("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    Notice("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
     Notice("cc0", "to the extent possible under law waived all copyright cc0 1 0 universal", "cc0 1 0 universal"),
-    Notice("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
     Notice("copyright", "copyright c all rights reserved", "all rights reserved"),
 )
 
+# The texts and file headers of licences, as words.
+TEXTS = (
+    Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to "
+           "deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
+           "copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright "
+           "notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without "
+           "warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+           "noninfringement", "permission is hereby granted free of charge to any person obtaining"),
+    Notice("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+           "copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard "
+           "to this software including all implied warranties of merchantability and fitness", "for any purpose with or without fee is hereby granted"),
+    Notice("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+           "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary "
+           "form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials "
+           "provided with the distribution", "redistribution and use in source and binary forms"),
+    Notice("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising "
+           "from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it "
+           "and redistribute it freely", "permission is granted to anyone to use this software for any purpose"),
+    Notice("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation "
+           "covered by this license the software to use reproduce display distribute execute and transmit the software", "person or organization obtaining a copy"),
+    Notice("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain "
+           "a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under "
+           "the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+           "you may not use this file except in compliance with the license"),
+    Notice("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+           "the free software foundation either version 2 of the license or at your option any later version this program is distributed in the hope that it will "
+           "be useful but without any warranty", "either version 2 of the license"),
+    Notice("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by "
+           "the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will "
+           "be useful but without any warranty", "either version 3 of the license"),
+    Notice("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published "
+           "by the free software foundation", "gnu lesser general public license as published"),
+    Notice("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published "
+           "by the free software foundation", "gnu affero general public license as published"),
+    Notice("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file "
+           "you can obtain one at", "terms of the mozilla public license"),
+    Notice("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute "
+           "this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+           "unencumbered software released into the public domain"),
+    Notice("wtfpl", "do what the fuck you want to public license terms and conditions for copying distribution and modification", "want to public license"),
+)
+
 
-def rarity(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, float]:
-    """The inverse document frequency, over all documents, of the words of the notices: a row per word at most."""
+def frequencies(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> tuple[int, dict[str, int]]:
+    """The number of documents, and how many have each word of the templates: a row per word at most."""
     listed = F.array(*map(F.lit, vocabulary))
     has = words(ascii_lower(F.col(text_col)), NOT_ALNUM)
     held = docs.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(has, listed))).alias("word"))
     counts = {r.word: r.n for r in held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return {w: math.log((counts.get("", 0) + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
-
-
-def _anchors(notice: Notice, idf: dict[str, float]) -> list[int]:
-    """The positions of the two rarest different words of a notice; ties go to the first."""
-    first_at = {w: i for i, w in reversed(list(enumerate(notice.words)))}
-    return sorted(sorted(first_at.values()), key=lambda i: -idf[notice.words[i]])[:2]
+    return counts.get("", 0), {w: counts.get(w, 0) for w in vocabulary}
 
 
-def _starts(w: Column, held: Column, notice: Notice, idf: dict[str, float]) -> Column:
-    """Where the notice's key phrase stands with both rare words at their places, as positions of the notice's first word."""
-    def places_of(at: int) -> Column:
-        return F.transform(F.filter(held, lambda p: F.get(w, p) == notice.words[at]), lambda p: p - at)
+def _index(templates: tuple[Notice, ...]) -> Column:
+    """The postings of every word: a map from the word to (template, position)."""
+    postings: dict[str, list[Column]] = {}
+    for k, t in enumerate(templates):
+        for i, x in enumerate(t.words):
+            postings.setdefault(x, []).append(F.struct(F.lit(k).alias("k"), F.lit(i).alias("pos")))
+    return F.map_from_arrays(F.array(*map(F.lit, postings)), F.array(*[F.array(*own) for own in postings.values()]))
 
-    places = [places_of(at) for at in _anchors(notice, idf)]
-    both = places[0] if len(places) == 1 else F.array_intersect(*places)
 
-    def whole_key(s: Column) -> Column:
-        stands = F.lit(True)
-        for i, x in enumerate(notice.key.split(), notice.key_at):
-            stands = stands & F.coalesce(F.get(w, s + i) == x, F.lit(False))
-        return stands
-
-    return F.filter(both, whole_key)
-
-
-def _share(w: Column, starts: Column, notice: Notice, idf: dict[str, float]) -> Column:
-    """The largest part of the notice's weight found at one of the starts; null without starts."""
-    total = sum(idf[x] + 1e-9 for x in notice.words)
+def _facts(templates: tuple[Notice, ...], idf: dict[str, float]) -> Column:
+    """Of every template, by number: its words, their share of its weight, its key phrase and where that stands."""
+    rows = []
+    for t in templates:
+        total = sum(idf[x] + 1e-9 for x in t.words)
+        rows.append(F.struct(F.array(*map(F.lit, t.words)).alias("words"), F.array(*[F.lit((idf[x] + 1e-9) / total) for x in t.words]).alias("weights"),
+                             F.array(*map(F.lit, t.key.split())).alias("key"), F.lit(t.key_at).alias("key_at"), F.lit(t.label).alias("label")))
+    return F.array(*rows)
 
-    def share(s: Column) -> Column:
-        found = F.lit(0.0)
-        for i, x in enumerate(notice.words):
-            there = F.coalesce(F.get(w, s + i) == x, F.lit(False))
-            found = found + F.when(there, (idf[x] + 1e-9) / total).otherwise(0.0)
-        return found
 
-    return F.array_max(F.transform(starts, share))
+def _share(w: Column, start: Column, fact: Column) -> Column:
+    """The part of a template's weight that stands at a start."""
+    there = F.transform(fact["words"], lambda x, i: F.coalesce(F.get(w, start + i) == x, F.lit(False)))
+    return F.aggregate(F.zip_with(there, fact["weights"], lambda t, x: F.when(t, x).otherwise(F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: tuple[Notice, ...] = BASE,
-         notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
+         notices: tuple[Notice, ...] = (*NOTICES, *TEXTS), rarest: int = RAREST) -> DataFrame:
     """`id, n_words, n_base, first_word, last_word, base_labels, labels, score` for every row.
 
-    Base phrases count wherever their words stand consecutively. `labels` adds the notices whose key phrase stands and of whose weight at least
-    LEAST_SHARE is found at its place. `score` is 1 with a base phrase, else the best share of a labelled notice, else 0. A null or
+    Base phrases count wherever their words stand consecutively. `labels` adds the templates that two of the file's `rarest` licence words place
+    at one start, whose key phrase stands there and of whose weight at least LEAST_SHARE is found. `score` is 1 with a base phrase, else the
+    best share of a labelled template, else 0. Words of equal document frequency go by the alphabet. A null or
     empty text has no words, no labels and score 0. Each row is judged alone, so repeated rows and null ids change nothing
     but the document frequencies. No column but the two named ones is read.
     """
     every = (*base, *notices)
-    idf = rarity(docs, sorted({x for n in every for x in n.words}), text_col)
-    index = sorted({n.words[at] for n in every for at in _anchors(n, idf)})
+    n_docs, df = frequencies(docs, sorted({x for n in every for x in n.words}), text_col)
+    idf = {x: math.log((n_docs + 1) / (n + 1)) for x, n in df.items()}
+    by_rarity = sorted(df, key=lambda x: (df[x], x))
+    always = sorted({min(t.words, key=by_rarity.index) for t in base})
+    w, none = F.col("w"), F.array().cast("array<struct<k:int,start:int>>")
     split = docs.select(F.col(id_col).alias("id"), words(ascii_lower(F.col(text_col)), NOT_ALNUM).alias("w"))
-    held = F.when(F.size("w") > 0, F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).isin(index)))
-    looked = split.select("id", "w", F.size("w").cast("long").alias("n_words"), held.alias("held"))
-    w, p = F.col("w"), F.col("held")
-    none = F.array().cast("array<int>")
-    found = looked.select("id", "n_words", *[
-        F.when(F.size(p) > 0, _starts(w, p, n, idf)).otherwise(none).alias(f"b{k}") for k, n in enumerate(base)], *[
-        F.when(F.size(p) > 0, _share(w, _starts(w, p, n, idf), n, idf)).alias(f"n{k}")
-        for k, n in enumerate(notices)])
-    places = F.concat(*[F.col(f"b{k}") for k in range(len(base))])
-    own = F.array(*[F.when(F.size(f"b{k}") > 0, F.lit(n.label)) for k, n in enumerate(base)])
-    more = F.array(*[F.when(F.col(f"n{k}") >= LEAST_SHARE, F.lit(n.label)) for k, n in enumerate(notices)])
-    best = F.array_max(F.array(*[F.when(F.col(f"n{k}") >= LEAST_SHARE, F.col(f"n{k}")) for k in range(len(notices))]))
+    known = F.array(*map(F.lit, by_rarity))
+    asked = F.array_union(F.slice(F.array_intersect(known, w), 1, rarest), F.array_intersect(F.array(*map(F.lit, always)), w))
+    looked = split.select("id", "w", F.size("w").cast("long").alias("n_words"), asked.alias("asked"))
+    places = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda p: F.array_contains("asked", F.get(w, p)))
+    index = _index(every)
+    proposed = F.flatten(F.transform(places, lambda p: F.transform(F.element_at(index, F.get(w, p)), lambda q: F.struct(
+        q["k"].alias("k"), (p - q["pos"]).alias("start")))))
+    met = looked.select("id", "w", "n_words", F.when(F.size("asked") > 0, F.array_sort(proposed)).otherwise(none).alias("proposed"))
+    twice = F.array_distinct(F.filter("proposed", lambda c, i: (c["k"] < len(base)) | F.coalesce(F.get(F.col("proposed"), i + 1) == c, F.lit(False))))
+    facts = _facts(every, idf)
+
+    def whole_key(c: Column) -> Column:
+        def stands(fact: Column) -> Column:
+            first = c["start"] + fact["key_at"]
+            return (first >= 0) & (F.slice(w, F.greatest(first, F.lit(0)) + 1, F.size(fact["key"])) == fact["key"])
+        return let(F.get(facts, c["k"]), stands)
+
+    sure = met.select("id", "w", "n_words", F.when(F.size("proposed") > 0, F.filter(twice, whole_key)).otherwise(none).alias("sure"))
+    shares = F.transform(F.filter("sure", lambda c: c["k"] >= len(base)), lambda c: let(F.get(facts, c["k"]), lambda f: F.struct(
+        f["label"].alias("label"), _share(w, c["start"], f).alias("share"))))
+    found = sure.select("id", "n_words", F.filter("sure", lambda c: c["k"] < len(base)).alias("base"),
+                        F.filter(shares, lambda x: x["share"] >= LEAST_SHARE).alias("more"))
+    starts = F.transform("base", lambda c: c["start"])
+    own = F.transform("base", lambda c: F.get(F.array(*[F.lit(t.label) for t in base]), c["k"]))
 
     def shown(labels: Column) -> Column:
-        return F.array_join(F.array_sort(F.array_distinct(F.array_compact(labels))), ",")
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
-    return found.select("id", "n_words", F.size(places).cast("long").alias("n_base"),
-                        F.array_min(places).cast("long").alias("first_word"), F.array_max(places).cast("long").alias("last_word"),
-                        shown(own).alias("base_labels"), shown(F.concat(own, more)).alias("labels"),
-                        F.when(F.size(places) > 0, 1.0).otherwise(F.round(F.least(F.coalesce(best, F.lit(0.0)), F.lit(1.0)), 6)).alias("score"))
+    best = F.coalesce(F.array_max(F.transform("more", lambda x: x["share"])), F.lit(0.0))
+    return found.select("id", "n_words", F.size("base").cast("long").alias("n_base"),
+                        F.array_min(starts).cast("long").alias("first_word"), F.array_max(starts).cast("long").alias("last_word"),
+                        shown(own).alias("base_labels"), shown(F.concat(own, F.transform("more", lambda x: x["label"]))).alias("labels"),
+                        F.when(F.size("base") > 0, 1.0).otherwise(F.round(F.least(best, F.lit(1.0)), 6)).alias("score"))
 
 
 def _sql() -> str:
     rows = []
-    for k, n in enumerate((*BASE, *NOTICES)):
+    for k, n in enumerate((*BASE, *NOTICES, *TEXTS)):
         key = range(n.key_at, n.key_at + len(n.key.split()))
         rows += [f"({k}, '{n.label}', {k < len(BASE)}, {i}, '{x}', {i in key})" for i, x in enumerate(n.words)]
     return rf"""
 WITH doc AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
-stands AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM doc),
 notice(k, label, base, pos, word, in_key) AS (VALUES {', '.join(rows)}),
-df AS (SELECT word, count(DISTINCT doc_id) AS df FROM stands WHERE word IN (SELECT word FROM notice) GROUP BY word),
-weighed AS (
-  SELECT n.*, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (coalesce(df, 0) + 1)) AS idf FROM notice n LEFT JOIN df USING (word)),
-rare AS (
-  SELECT k, pos FROM (SELECT k, word, min(pos) AS pos, any_value(idf) AS idf FROM weighed GROUP BY k, word)
-  QUALIFY row_number() OVER (PARTITION BY k ORDER BY idf DESC, pos) <= 2),
-indexed AS (SELECT w.*, r.pos IS NOT NULL AS rare FROM weighed w LEFT JOIN rare r ON w.k = r.k AND w.pos = r.pos),
-whole AS (SELECT k, sum(idf + 1e-9) AS weight, count(*) FILTER (WHERE in_key) AS n_key, count(*) FILTER (WHERE rare) AS n_rare FROM indexed GROUP BY k),
+stands AS (
+  SELECT * FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS place FROM doc) WHERE word IN (SELECT word FROM notice)),
+df AS (
+  SELECT v.word, coalesce(n, 0) AS df, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (coalesce(n, 0) + 1)) AS idf
+  FROM (SELECT DISTINCT word FROM notice) v LEFT JOIN (SELECT word, count(DISTINCT doc_id) AS n FROM stands GROUP BY word) USING (word)),
+always AS (
+  SELECT DISTINCT word FROM (SELECT k, word, row_number() OVER (PARTITION BY k ORDER BY df, word) AS r FROM notice JOIN df USING (word) WHERE base) WHERE r = 1),
+held AS (SELECT DISTINCT doc_id, word, df FROM stands JOIN df USING (word)),
+asked AS (
+  SELECT doc_id, word FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY df, word) AS r FROM held) WHERE r <= {RAREST}
+  UNION SELECT doc_id, word FROM held WHERE word IN (SELECT word FROM always)),
+proposed AS (
+  SELECT s.doc_id, n.k, any_value(n.base) AS base, s.place - n.pos AS start, count(*) AS m
+  FROM stands s JOIN asked USING (doc_id, word) JOIN notice n USING (word) GROUP BY s.doc_id, n.k, s.place - n.pos),
+whole AS (SELECT k, sum(idf + 1e-9) AS weight, count(*) FILTER (WHERE in_key) AS n_key FROM notice JOIN df USING (word) GROUP BY k),
 met AS (
-  SELECT doc_id, k, any_value(label) AS label, any_value(base) AS base, place - pos AS start, sum(idf + 1e-9) AS weight,
-    count(*) FILTER (WHERE in_key) AS n_key, count(*) FILTER (WHERE rare) AS n_rare
-  FROM stands JOIN indexed USING (word) GROUP BY doc_id, k, place - pos),
+  SELECT p.doc_id, p.k, p.start, any_value(n.label) AS label, any_value(n.base) AS base, count(*) FILTER (WHERE n.in_key) AS n_key, sum(d.idf + 1e-9) AS weight
+  FROM proposed p JOIN notice n USING (k) JOIN df d USING (word) JOIN stands s ON s.doc_id = p.doc_id AND s.place = p.start + n.pos AND s.word = n.word
+  WHERE p.base OR p.m >= 2 GROUP BY p.doc_id, p.k, p.start),
 found AS (
   SELECT doc_id, label, base, start, met.weight / whole.weight AS share FROM met JOIN whole USING (k)
-  WHERE met.n_key = whole.n_key AND met.n_rare = whole.n_rare AND (base OR met.weight / whole.weight >= {LEAST_SHARE})),
+  WHERE met.n_key = whole.n_key AND (base OR met.weight / whole.weight >= {LEAST_SHARE})),
 labelled AS (
   SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels, string_agg(label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels
   FROM (SELECT doc_id, label, bool_or(base) AS base FROM found GROUP BY doc_id, label) GROUP BY doc_id),

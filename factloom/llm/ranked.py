@@ -28,9 +28,9 @@ from factloom.session import cut_lineage, scratch_path
 TOP = 20
 HASHES = 3               # bits that a key sets
 BITS = 8                 # of a signature for every key it can hold: a strange key seems present with a chance below 1/30
-BLOCK_CELLS = 1 << 22    # bits of a block: documents by signature length
+BLOCK_CELLS = 1 << 21    # bits of a block: documents by signature length
 BATCH_TERMS = 1 << 14    # distinct terms of the items that are searched at a time
-_DICTIONARY = 500_000    # terms counted in a task before they are put out
+_DICTIONARY = 200_000    # terms counted in a task before they are put out
 _SEED = 7
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)]
 _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))

@@ -1,7 +1,7 @@
 """Secret scan: rules of three kinds, and a character network over every other candidate.
 
-A candidate is a long run of token characters with a digit that no rule's match touches. A convolutional network in numpy reads the candidate
-with the characters around it, and the candidates at or above its threshold are added as spans of kind `net`. It is trained on findings: what the
+A candidate is any run of twelve and more token characters that no rule's match touches. A convolutional network in numpy reads the candidate
+with the characters around it, and once more alone; the candidates that reach its threshold either way are added as spans of kind `net`. It is trained on findings: what the
 rules find, labelled secret, and candidates that no rule finds, labelled harmless. The characters around a training finding are blanked half of the time,
 so that the look of a value counts also where no keyword stands before it.
 """
@@ -33,7 +33,6 @@ AROUND, PIECE, PIECE_STEP = 24, 48, 32     # characters before and after; of a c
 LENGTH = 2 * AROUND + PIECE
 SAMPLE_PER_CLASS = 2000                    # findings trained on, per label
 LEAST_RECALL = 0.95                        # of the secrets kept out of the training, that the threshold must leave
-LEAST_PROBABILITY = 0.5                    # and a calibrated probability that it never goes below
 _FILTERS, _WIDTH, _SIZE = 24, 5, 8
 _EPOCHS, _BATCH = 12, 64
 
@@ -58,11 +57,9 @@ def rule_spans(text: str) -> list[Span]:
 
 
 def candidates(text: str, taken: list[Span]) -> list[tuple[int, int]]:
-    """Runs of token characters with a digit that touch no span; `taken` is in order of start."""
+    """Runs of token characters, of letters alone too, that touch no span; `taken` is in order of start."""
     out, at, reach = [], 0, -1
     for m in CANDIDATE.finditer(text):
-        if not any(c.isdigit() for c in m[0]):
-            continue
         while at < len(taken) and taken[at].start < m.end():
             reach = max(reach, taken[at].end)
             at += 1
@@ -145,7 +142,8 @@ class Network:
 
 def fit(views: list[str], labels: list[int], seed: int = 9) -> Network:
     """A network fitted on four fifths of the findings. On the rest its logit is calibrated to a probability, and the threshold is the
-    largest that leaves LEAST_RECALL of the secrets there, never below LEAST_PROBABILITY. Without findings of both labels nothing is added."""
+    largest that leaves LEAST_RECALL of the secrets there when no keyword stands beside them, whatever that lets through of the others. Without
+    findings of both labels nothing is added."""
     net, rng, truth = Network.fresh(), np.random.default_rng(seed), np.array(labels, float)
     if len(set(truth)) < 2:
         return net
@@ -160,19 +158,23 @@ def fit(views: list[str], labels: list[int], seed: int = 9) -> Network:
         net.learn(_blanked(codes[batch], rng), truth[batch], sums)
     logit = net.logits(_blanked(codes[aside], rng))
     net.scale, net.shift = platt(logit, truth[aside])
-    found = np.sort(sigmoid(net.scale * logit + net.shift)[truth[aside] == 1])
-    net.threshold = float(max(LEAST_PROBABILITY, found[int((1 - LEAST_RECALL) * len(found))]))
+    found = np.sort(net.probabilities(_alone(codes[aside[truth[aside] == 1]])))
+    net.threshold = float(found[int((1 - LEAST_RECALL) * len(found))])
     return net
 
 
-def _blanked(codes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def _alone(codes: np.ndarray) -> np.ndarray:
+    """The views with nothing around the value."""
     codes = codes.copy()
-    rows = np.flatnonzero(rng.random(len(codes)) < 0.5)
-    codes[rows, :AROUND] = 0
-    codes[rows, AROUND + PIECE:] = 0
+    codes[:, :AROUND] = 0
+    codes[:, AROUND + PIECE:] = 0
     return codes
 
 
+def _blanked(codes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    return np.where((rng.random(len(codes)) < 0.5)[:, None], _alone(codes), codes)
+
+
 def findings(docs: DataFrame, text_col: str = "text", per_class: int = SAMPLE_PER_CLASS) -> tuple[list[str], list[int]]:
     """Training findings (view, 1 for what a rule finds and 0 for other candidates): at most `per_class` different ones of each label over all
     documents, those with the least hashes."""
@@ -197,8 +199,8 @@ def findings(docs: DataFrame, text_col: str = "text", per_class: int = SAMPLE_PE
 def scan(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id, spans` for every row: all spans (kind, start, end, p), by start and then kind; positions count code points, the end is exclusive.
 
-    p is 1 for the rules and the network's probability for the rest. A null or empty text has no spans. Rows are scanned one by one, so
-    null ids and repeated rows change nothing. No column but the two named ones is read.
+    p is 1 for the rules and the network's probability for the rest. A null or empty text has no spans. Of a very long candidate every
+    piece is read, and the largest probability counts. Rows are scanned one by one, so null ids and repeated rows change nothing. No column but the two named ones is read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vars(net))       # plain arrays: workers need no copy of this package
 
@@ -213,7 +215,8 @@ def scan(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
                 views += cut
                 owner += [(n, at)] * len(cut)
         best: dict = {}
-        for key, p in zip(owner, model.probabilities(_codes(views)) if views else []):
+        codes = _codes(views)
+        for key, p in zip(owner, np.maximum(model.probabilities(codes), model.probabilities(_alone(codes))) if views else []):
             best[key] = max(best.get(key, 0.0), float(p))
         for (n, at), p in best.items():
             if p >= model.threshold:

@@ -22,6 +22,7 @@ from xxhash import xxh64_intdigest
 
 from factloom.llm.common import block_pairs, forest, lookup
 from factloom.operators.components import connected_components
+from factloom.operators.skew import join_unique
 from factloom.session import cut_lineage, shuffle_partitions
 
 SEED = 42
@@ -29,6 +30,7 @@ COMPLETE_DISTANCE = 3     # every pair up to this many differing bits is found
 CELL_ROWS = 4096          # rows of a cell in one task; larger cells are split into pairs of blocks
 _HASHES = 1 << 15         # shingle hashes unpacked to bits at a time
 _SHORT_RUN = 48
+_TABLE_BIT = 34           # a cell's name: 32 bits of counts, the half, the table
 _FIELDS = 0x55555555
 _ONES = np.array([1 << (2 * i) for i in range(16)], dtype=np.int64)
 
@@ -105,29 +107,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def table_links(linked: DataFrame, max_distance: int, tables: int, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """`id_a, id_b`: links between the classes `rep, prints`, enough of them to connect what the links of each table connect."""
-    edges = None
-    for t in range(tables):
-        one = linked.select("rep", F.col("prints")[t].alias("print"))
-        owners = cut_lineage(one.groupBy("print").agg(F.min("rep").alias("owner")))
-        pairs = _pairs(owners.select("print"), max_distance, cell_rows)
-        left = owners.select(F.col("print").alias("a"), F.col("owner").alias("id_a"))
-        right = owners.select(F.col("print").alias("b"), F.col("owner").alias("id_b"))
-        links = cut_lineage(cut_lineage(pairs).join(left, "a").join(right, "b").select("id_a", "id_b"))
-        if tables > 1:       # classes that share this table's fingerprint only
-            shared = lookup(one, owners, ["print"], "rep").filter("owner != rep")
-            links = links.unionByName(cut_lineage(shared.select(F.col("owner").alias("id_a"), F.col("rep").alias("id_b"))))
-        edges = links if edges is None else edges.unionByName(links)
-    return edges
+    """`id_a, id_b`: links between the classes `rep, prints`, enough of them to connect what the links of each table connect.
+
+    All tables go through one pass: the table is part of a fingerprint's cell.
+    """
+    each = linked.select("rep", F.posexplode("prints").alias("t", "print"))
+    owners = cut_lineage(each.groupBy("t", "print").agg(F.min("rep").alias("owner"), F.count(F.lit(1)).alias("n")))
+    pairs = cut_lineage(_pairs(owners.select("t", "print"), max_distance, cell_rows))
+    left = owners.select("t", F.col("print").alias("a"), F.col("owner").alias("id_a"))
+    right = owners.select("t", F.col("print").alias("b"), F.col("owner").alias("id_b"))
+    links = lookup(lookup(pairs, left, ["t", "a"], "b"), right, ["t", "b"], "a").select("id_a", "id_b")
+    if tables > 1:       # classes that share one table's fingerprint only
+        spread = each.withColumn("_row", F.pmod(F.xxhash64("rep"), F.lit(1 << 40)))
+        shared = join_unique(spread, owners, ["t", "print"], "_row", weight="n").filter("owner != rep")
+        links = links.unionByName(shared.select(F.col("owner").alias("id_a"), F.col("rep").alias("id_b")))
+    return cut_lineage(links)
 
 
 def _pairs(prints: DataFrame, max_distance: int, cell_rows: int) -> DataFrame:
-    """`a, b`: links between different fingerprints, enough of them to connect what links connect."""
+    """`a, b, t`: links between different fingerprints of a table (the only one without a column `t`), enough of them to connect what links connect."""
     spark = prints.sparkSession
-    cells = prints.mapInArrow(_cells, "cell long, looks int, print long")
+    table = F.col("t") if "t" in prints.columns else F.lit(0)
+    cells = prints.select(table.alias("t"), "print").mapInArrow(_cells, "cell long, looks int, print long")
     large = cut_lineage(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_rows)
-                        .select("cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("blocks")))
-    rows = lookup(cells, large, ["cell"], "print").select(
+                        .select("cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("blocks"), "n"))
+    spread = cells.withColumn("_row", F.pmod(F.xxhash64("print"), F.lit(1 << 40)))
+    rows = join_unique(spread, large, ["cell"], "_row", weight="n").select(
         "cell", "print",
         F.explode(block_pairs(F.col("print"), F.col("blocks"), F.col("looks"))).alias("at"))
     dealt = rows.select("cell", "at.i", "at.j", "at.side", "print")
@@ -136,18 +141,19 @@ def _pairs(prints: DataFrame, max_distance: int, cell_rows: int) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _compare(batches, max_distance)
 
-    return dealt.mapInArrow(compare, "a long, b long")
+    return dealt.mapInArrow(compare, "a long, b long, t int")
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The cells of each fingerprint: those it owns (looks 0) and those it looks into (looks 1)."""
+    """The cells of each table's fingerprint: those it owns (looks 0) and those it looks into (looks 1)."""
     for batch in batches:
-        prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        table = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) << _TABLE_BIT
+        prints = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
         out = []
         for half in (0, 1):
             bits = ((prints >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
             counts = (bits & _FIELDS) + ((bits >> 1) & _FIELDS)       # sixteen counts of 0 to 2, two bits each
-            name = counts + (half << 33)
+            name = counts + (half << 33) + table
             out.append((name, np.zeros(len(name), np.int32), prints))
             even = np.flatnonzero(np.bitwise_count(bits) % 2 == 0)
             field = counts[even, None] // _ONES % 4
@@ -206,4 +212,5 @@ def _links(rows: list[np.ndarray], max_distance: int) -> Iterator[pa.RecordBatch
     if found[0]:
         a, b = forest(np.concatenate(found[0]), np.concatenate(found[1]))
         if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(prints[a].view(np.int64)), pa.array(prints[b].view(np.int64))], ["a", "b"])
+            table = (rows[0][a] >> _TABLE_BIT).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(prints[a].view(np.int64)), pa.array(prints[b].view(np.int64)), pa.array(table)], ["a", "b", "t"])

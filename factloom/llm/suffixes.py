@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from factloom.llm.common import lookup
-from factloom.operators.skew import broadcast_if_small, join_unique
+from factloom.operators.skew import join_unique
 from factloom.session import cut_lineage, shuffle_partitions
 
 LENGTH = 200
 GRAM = 32                   # bytes; a power of two below LENGTH
 BATCHES = 4
-TASK_REGIONS = 256          # different regions of a suffix that one task compares
+TASK_REGIONS = 4096         # different regions of a suffix (a few hundred bytes each) that one task compares
+_ROWS = 2048                # regions whose windows are hashed together
 _PART = 1 << 20             # positions of a long text hashed at a time
 _PLACE = np.uint64(24)      # low bits of a hash that give way to the place in the part
 _RNG = np.random.default_rng(1)
@@ -150,17 +150,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         found = family.add(marked.filter(F.pmod(F.xxhash64("id", "of"), F.lit(batches)) == k).select("g", "times"))
         met = found if met is None else met.unionByName(found)
     met = cut_lineage(met.distinct())
-    rows = cut_lineage(marked.join(broadcast_if_small(met), "g", "left_semi"))
+    rows = cut_lineage(marked.join(met, "g", "left_semi"))
 
     held = F.struct("id", "of", "start").alias("at")
     regions = cut_lineage(rows.groupBy("g", "region", "n").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows"), F.min(held).alias("at")))
     kinds = regions.groupBy("g").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least")).filter("kinds > 1 and least = 1")
-    mixed = lookup(regions, cut_lineage(kinds.select("g", "kinds")), ["g"], "region").filter("kinds is not null")
+    mixed = regions.join(cut_lineage(kinds.select("g", "kinds")), "g")         # regions are few beside their rows: copies of one are one
     part = _window_spans(docs, mixed, length, task_regions)
     whole = regions.filter("times > 1").select("g", "region", "n", "rows", F.array(F.struct(F.lit(0).alias("lo"), (F.col("n") + (length - 1)).alias("hi"))).alias("spans"))
     spans = part.join(regions.select("g", "region", "n", "rows"), ["g", "region", "n"]).select("g", "region", "n", "rows", "spans")
     spans = cut_lineage(whole.unionByName(spans))
-    placed = join_unique(rows.withColumn("_row", F.pmod(F.xxhash64("id", "of", "start"), F.lit(1 << 40))), spans, ["g", "region", "n"], "_row", weight="rows")
+    placed = join_unique(rows.withColumn("_row", F.pmod(F.xxhash64("id", "of", "start"), F.lit(1 << 40))), spans, ["g", "region", "n"], "_row", weight="rows", small=0)
     placed = placed.filter("spans is not null").select("id", "of", "start", F.explode("spans").alias("s"))
     return (placed.select("id", "of", (F.col("start") + F.col("s.lo")).alias("lo"), (F.col("start") + F.col("s.hi")).alias("hi"))
             .unionByName(every.filter("g is null").select("id", "of", F.col("start").alias("lo"), (F.col("start") + F.col("n")).alias("hi"))))
@@ -171,14 +171,14 @@ def _window_spans(docs: DataFrame, mixed: DataFrame, length: int, task_regions:
     spark = docs.sparkSession
     wanted = mixed.groupBy(F.col("at.id").alias("_id"), F.col("at.of").alias("_of")).agg(
         F.collect_list(F.struct("g", "region", "n", "times", "kinds", F.col("at.start").alias("start"))).alias("parts"))      # of one text
-    rows = docs.join(broadcast_if_small(cut_lineage(wanted)), F.col("id").eqNullSafe(F.col("_id")) & (F.col("of") == F.col("_of")))
+    rows = docs.join(cut_lineage(wanted), F.col("id").eqNullSafe(F.col("_id")) & (F.col("of") == F.col("_of")))
     cut = rows.select(F.col("text").cast("binary").alias("text"), F.explode("parts").alias("p")).select("text", "p.*")
     cut = cut.select("g", "region", "n", "times", "kinds", F.expr(f"substring(text, cast(start + 1 as int), n + {length - 1})").alias("data"))
     cut = cut_lineage(cut)                # rows that repeat id and text give a region more than once
 
     def in_task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(parts):
-            yield from _compare(group, length)
+        for groups in _groups(parts):
+            yield _compare(groups, length)
 
     few = cut.filter(F.col("kinds") <= task_regions).select("g", "region", "n", "times", "data")
     few = few.repartition(shuffle_partitions(spark), "g").sortWithinPartitions("g")
@@ -195,39 +195,55 @@ def _window_spans(docs: DataFrame, mixed: DataFrame, length: int, task_regions:
     many = cut.filter(F.col("kinds") > task_regions).dropDuplicates(["g", "region", "n"]).select("g", "region", "n", "times", "data")
     dealt = cut_lineage(many.mapInArrow(windows, "g long, region long, n int, times long, at int, w long"))
     counts = cut_lineage(dealt.groupBy("g", "w").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
-    again = join_unique(dealt.filter("times = 1").withColumn("_row", F.pmod(F.xxhash64("region", "at"), F.lit(1 << 40))), counts, ["g", "w"], "_row", weight="rows")
+    again = join_unique(dealt.filter("times = 1").withColumn("_row", F.pmod(F.xxhash64("region", "at"), F.lit(1 << 40))), counts, ["g", "w"], "_row",
+                        weight="rows", small=0)
     again = again.filter("rows is not null").groupBy("g", "region", "n").agg(F.sort_array(F.collect_list("at")).alias("ats"))     # of one region
     single = F.transform("ats", lambda a: F.struct(a.alias("lo"), (a + length).alias("hi"))).cast(spans)
     return cut_lineage(found.unionByName(again.select("g", "region", "n", single.alias("spans"))))
 
 
-def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows sorted by their first column, those of one value together."""
-    held: list[tuple] = []
+def _groups(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by `g`, whole groups together, about _ROWS at a time."""
+    held: pa.Table | None = None
     for part in parts:
-        for row in zip(*(c.to_pylist() for c in part.columns)):
-            if held and row[0] != held[0][0]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
+        new = pa.Table.from_batches([part])
+        held = new if held is None else pa.concat_tables([held, new])
+        starts = np.flatnonzero(np.diff(held.column("g").to_numpy())) + 1
+        if held.num_rows >= _ROWS and len(starts):          # the last group may go on in the next batch
+            yield held.slice(0, int(starts[-1]))
+            held = held.slice(int(starts[-1]))
+    if held is not None and held.num_rows:
         yield held
 
 
-def _compare(group: list[tuple], length: int) -> Iterator[pa.RecordBatch]:
-    group = list({row[1:3]: row for row in group}.values())
-    hashes = [window_hashes(np.frombuffer(data, np.uint8), length) for *_, data in group]
-    _, back, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
-    again, at, out = times[back] > 1, 0, []
-    for (g, region, n, stands, _), h in zip(group, hashes):
-        places = np.flatnonzero(again[at:at + len(h)])
-        at += len(h)
-        if stands == 1 and len(places):
-            lo, hi = _spans(places, places + length)
-            out.append((g, region, n, [{"lo": a, "hi": b} for a, b in zip(lo.tolist(), hi.tolist())]))
-    if out:
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["g", "region", "n", "spans"])
+def _compare(rows: pa.Table, length: int) -> pa.RecordBatch:
+    """What is repeated of the regions that stand once, among all regions of their group. All windows are hashed and sorted together."""
+    g, region, n, times = (rows.column(c).to_numpy() for c in ("g", "region", "n", "times"))
+    _, first = np.unique(np.stack([g, region, n]), axis=1, return_index=True)
+    g, region, n, times = g[first], region[first], n[first].astype(np.int64), times[first]
+    data = rows.column("data").take(pa.array(first)).combine_chunks()
+    sizes = n + (length - 1)
+    hashes = window_hashes(np.frombuffer(b"".join(data.to_pylist()), np.uint8), length)
+    owner = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    w = hashes[np.repeat(np.cumsum(sizes) - sizes, n) + place]
+    order = np.lexsort((w, g[owner]))
+    same = (w[order][1:] == w[order][:-1]) & (g[owner][order][1:] == g[owner][order][:-1])
+    again = np.zeros(len(w), bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    hit = np.flatnonzero(again & (times[owner] == 1))
+    who, at = owner[hit], place[hit]
+    new = np.ones(len(hit), bool)
+    new[1:] = (who[1:] != who[:-1]) | (at[1:] > at[:-1] + length)          # windows that touch are one span
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(hit)) - 1
+    spans = pa.StructArray.from_arrays([pa.array(at[starts], pa.int32()), pa.array(at[ends] + length, pa.int32())], ["lo", "hi"])
+    several = who[starts]
+    rows_at = np.concatenate([[0], np.flatnonzero(np.diff(several)) + 1]) if len(several) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(rows_at, len(several)), pa.int32()), spans)
+    mine = several[rows_at]
+    return pa.RecordBatch.from_arrays([pa.array(g[mine]), pa.array(region[mine]), pa.array(n[mine], pa.int32()), lists], ["g", "region", "n", "spans"])
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES,
@@ -243,7 +259,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.select("id", F.xxhash64("text").alias("of"), "text")
     spans = repeated_spans(rows, length, gram, batches, task_regions)
     gone = cut_lineage(spans.groupBy(F.col("id").alias("_id"), F.col("of").alias("_of")).agg(F.collect_list(F.struct("lo", "hi")).alias("gone")))   # of one text
-    joined = rows.join(broadcast_if_small(gone), F.col("id").eqNullSafe(F.col("_id")) & (F.col("of") == F.col("_of")), "left")
+    joined = rows.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("of") == F.col("_of")), "left")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

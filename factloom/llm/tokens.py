@@ -5,8 +5,9 @@ has one chunk for each id; a bitmap tells which ids go on, and those have their
 order. A rank directory counts the ones before every 512 bits of a bitmap, so the place of an id's next chunk is one addition and
 one short popcount away: any token can be read without decoding its neighbours.
 
-Segments are rows of a Parquet table: Spark's committer makes them visible only when the job is done, on any store,
-and a lost task writes its rows again.
+Segments are rows of an uncompressed Parquet table: Spark's committer makes them visible only when the job is done, on any store,
+and a lost task writes its rows again. Beside the payload stand a segment's place in its part and its least and largest document, in columns that
+Parquet keeps statistics of, so a read by place or by document skips all other segments, and within one only the chunks in question are read.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ _WORDS = 600_000              # encoded words a worker remembers
 _BYTES = 4 << 20              # of text whose words are looked up together
 _PUNCTUATION = string.punctuation.encode()
 _TYPES = {8: np.dtype("u1"), 16: np.dtype("<u2")}
-_SEGMENT = "part int, seq int, first long, n_docs int, n_tokens long, payload binary"
+_SEGMENT = "part int, seq int, first long, last long, n_docs int, n_tokens long, least_id long, most_id long, payload binary"
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
@@ -249,23 +250,62 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
         if held:
             yield _row(part, seq, first, held_ids, held, size)
 
-    dealt.mapInArrow(segments, _SEGMENT).write.parquet(path)
+    dealt.mapInArrow(segments, _SEGMENT).write.option("compression", "none").parquet(path)
 
 
 def _row(part: int, seq: int, first: int, doc_ids: list, ids: list[bytes], size: int) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-    values = (part, seq, first, len(doc_ids), size, pack_segment(doc_ids, ids))
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    known = [d for d in doc_ids if d is not None]
+    values = (part, seq, first, first + size, len(doc_ids), size, min(known, default=None), max(known, default=None), pack_segment(doc_ids, ids))
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], [x.split()[0] for x in _SEGMENT.split(", ")])
 
 
+def _bases(files: DataFrame) -> DataFrame:
+    """`part, base`: how many ids stand before each part; a row per part."""
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    return parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), "n")
+
+
+def read_range(spark: SparkSession, path: str, lo: int, hi: int) -> DataFrame:
+    """`place, token` of the places from `lo` to before `hi` in the whole id sequence. Only segments that hold some of them are read."""
+    files = spark.read.schema(_SEGMENT).parquet(path)
+    asked = [(r.part, r.base) for r in _bases(files).filter((F.col("base") < hi) & (F.col("base") + F.col("n") > lo)).collect()]     # parts, not ids
+    hit = F.lit(False)
+    for part, base in asked:
+        hit = hit | ((F.col("part") == part) & (F.col("first") < hi - base) & (F.col("last") > lo - base))
+    bases = dict(asked)
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, first, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                start, codes = bases[part] + first, Segment(payload.as_py()).codes
+                a, b = max(lo - start, 0), min(hi - start, len(codes))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(start + a, start + b)), pa.array(codes.tokens(a, b).astype(np.int64))], ["place", "token"])
+
+    return files.filter(hit).select("part", "first", "payload").mapInArrow(tokens, "place long, token long")
+
+
+def document(spark: SparkSession, path: str, doc_id: int) -> DataFrame:
+    """`ids` of the document (a row for each row that had this id), its end id included."""
+    files = spark.read.schema(_SEGMENT).parquet(path).filter((F.col("least_id") <= doc_id) & (F.col("most_id") >= doc_id))
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0):
+                s = Segment(payload.as_py())
+                found = [s.document(k).astype(np.int64) for k, d in enumerate(s.doc_ids) if d == doc_id]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["ids"])
+
+    return files.select("payload").mapInArrow(ids, "ids array<long>")
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """`doc_id, start, n_tokens, ids_crc32` of every document, from the files: its place among all ids, its number of ids and their
     crc32 as little-endian 32-bit integers."""
     files = spark.read.schema(_SEGMENT).parquet(path)
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)       # one row per part
-    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    placed = files.join(F.broadcast(parts), "part").select((F.col("base") + F.col("first")).alias("start"), "payload")
+    placed = files.join(F.broadcast(_bases(files)), "part").select((F.col("base") + F.col("first")).alias("start"), "payload")      # one row per part
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

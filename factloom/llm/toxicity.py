@@ -27,7 +27,7 @@ SAMPLE_PER_CLASS = 1500       # labelled rows fitted on, per class
 SAMPLE_CHARS = 6000           # longer texts are left out of the sample, never out of the scores
 STEPS, BATCH = 240, 48
 REJECT = 0.3                  # score from which a text counts as toxic
-_CHUNK = 40_000               # words scored together
+_CHUNK = 1667 * STRIDE        # words scored together; longer texts go in parts that have the same windows
 _WINDOWS = 1024
 _GRAMS = (3, 4, 5)
 _SPACED = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
@@ -85,7 +85,14 @@ def windows(texts: list[list[bytes]]) -> Windows:
     at = inside[:, None] * STRIDE + np.arange(WINDOW)[None]
     mask = at < sizes[of][:, None]
     ids = flat[np.minimum(begins[of][:, None] + at, len(flat) - 1)]
-    return Windows(np.where(mask, ids, 0), mask, of, list(number) or [b""], len(texts))
+    return Windows(np.where(mask, ids, 0), mask, of, list(number) or [b"?"], len(texts))
+
+
+def _parts(found: list[bytes]) -> Iterator[list[bytes]]:
+    """A text's words in parts whose windows together are the text's own windows."""
+    yield found[:_CHUNK + WINDOW - STRIDE]
+    for lo in range(_CHUNK, len(found) - (WINDOW - STRIDE), _CHUNK):
+        yield found[lo:lo + _CHUNK + WINDOW - STRIDE]
 
 
 @dataclass
@@ -158,17 +165,23 @@ class Network:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probabilities that texts are toxic; every window of every text counts."""
-        out, held, size = [], [], 0
-        for text in texts:
-            held.append(split_words(text))
-            size += len(held[-1])
-            if size >= _CHUNK:
-                out.append(self.logits(held))
-                held, size = [], 0
+        best, held, owner, size = np.full(len(texts), -np.inf), [], [], 0
+
+        def take() -> None:
+            np.maximum.at(best, owner, self.logits(held))
+            held.clear(), owner.clear()
+
+        for n, text in enumerate(texts):
+            for part in _parts(split_words(text)):
+                held.append(part)
+                owner.append(n)
+                size += len(part)
+                if size >= _CHUNK:
+                    take()
+                    size = 0
         if held:
-            out.append(self.logits(held))
-        logit = np.concatenate(out) if out else np.zeros(0)
-        return np.round(sigmoid(self.scale * logit + self.shift), 6)
+            take()
+        return np.round(sigmoid(self.scale * best + self.shift), 6)
 
     def learn(self, texts: list[list[bytes]], labels: np.ndarray, sharp: float, rate: float) -> None:
         """One step of gradient descent on a batch of texts."""
@@ -232,8 +245,9 @@ class Network:
         weights[at] -= (rate * grad / np.sqrt(seen[at])).astype(np.float32)
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 5, steps: int = STEPS) -> Network:
-    """A network fitted on four fifths of the texts and calibrated on the rest."""
+def fit(texts: list[str], labels: list[int], counts: tuple[int, int] | None = None, seed: int = 5, steps: int = STEPS) -> Network:
+    """A network fitted on four fifths of the texts and calibrated on the rest. `counts` are the clean and toxic rows that the texts were drawn from: a
+    sample with another share of toxic rows has its logit shifted by the difference of the odds, so a probability means the same at every size."""
     net, rng = Network.fresh(), np.random.default_rng(seed)
     split, truth = [split_words(t) for t in texts], np.array(labels, float)
     order = rng.permutation(len(split))
@@ -248,6 +262,8 @@ def fit(texts: list[str], labels: list[int], seed: int = 5, steps: int = STEPS)
     if len(set(truth[aside])) < 2:
         aside = order
     net.scale, net.shift = platt(net.logits([split[i] for i in aside]), truth[aside])
+    if counts is not None and all(counts):
+        net.shift += float(np.log(counts[1] / counts[0]) - np.log(truth.sum() / (len(truth) - truth.sum())))
     net.sums = {}
     return net
 
@@ -260,11 +276,14 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           per_class: int = SAMPLE_PER_CLASS, max_chars: int = SAMPLE_CHARS) -> Network:
     """A network fitted on at most `per_class` labelled rows of each class, those with the least hashes of their ids. Labels of
-    held-out rows, null labels and null ids are not used; of several labels of an id the largest counts. The sample has a fixed bound, so one task
+    held-out rows, null labels and null ids are not used; of several labels of an id the largest counts. Texts beyond `max_chars` are not in the sample.
+    Both classes are counted over all usable labels for the calibration. The sample has a fixed bound, so one task
     fits the network and only its weights come to the driver."""
     known = (labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
              .filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id"))))
     known = known.groupBy("id").agg(F.max("label").alias("label"))
+    total = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = (total.get(0, 0), total.get(1, 0))
     short = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sample = None
     for k in (0, 1):
@@ -278,7 +297,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             texts += batch.column(0).to_pylist()
             truth += batch.column(1).to_pylist()
-        weights = pickle.dumps(vars(fit(texts, truth)), protocol=5)
+        weights = pickle.dumps(vars(fit(texts, truth, counts)), protocol=5)
         yield pa.RecordBatch.from_arrays([pa.array([weights], pa.binary())], ["weights"])
 
     placed = sample.repartition(1).sortWithinPartitions("label", F.xxhash64("id")).select("text", "label")

@@ -66,6 +66,33 @@ def test_token_files(spark, segment):
     assert tokens.read_tokens(spark, path + "-empty").count() == 0
 
 
+def test_a_token_is_read_without_other_segments(spark):
+    path = scratch_path(spark, "tokens-random")
+    docs = spark.createDataFrame([(i, " ".join(f"word{(i * j) % 97} x" for j in range(1 + i % 9))) for i in range(300)], "doc_id long, text string")
+    tokens.write_tokens(docs, path, PATH, segment_tokens=200)
+    plain = Tokenizer.from_file(PATH)
+    each = [plain.encode(r.text, add_special_tokens=False).ids + [1] for r in docs.orderBy("doc_id").collect()]
+    every = [t for x in each for t in x]
+    held = spark.read.parquet(path)
+    assert held.count() > 10
+    for lo, hi in ((0, 1), (777, 778), (len(every) - 1, len(every)), (150, 900), (0, len(every)), (len(every), len(every) + 5)):
+        got = tokens.read_range(spark, path, lo, hi).collect()
+        assert [r.token for r in sorted(got)] == every[lo:hi] and [r.place for r in sorted(got)] == list(range(lo, min(hi, len(every))))
+    for i in (0, 123, 299):
+        assert [r.ids for r in tokens.document(spark, path, i).collect()] == [each[i]]
+    assert tokens.document(spark, path, 300).count() == 0
+    # With every other payload ruined, the read still works: it touches one segment.
+    other = scratch_path(spark, "tokens-ruined")
+    mine = held.select("part", "first", "last", "least_id", "most_id").orderBy("part", "first").collect()[3]
+    base = next(r.base for r in tokens._bases(held).collect() if r.part == mine.part)
+    own = (F.col("part") == mine.part) & (F.col("first") == mine["first"])
+    held.withColumn("payload", F.when(own, F.col("payload")).otherwise(F.lit(b"ruined"))).write.option("compression", "none").parquet(other)
+    place = base + mine["first"] + 5
+    assert tokens.read_range(spark, other, place, place + 1).collect()[0].token == every[place]
+    only = [i for i in range(mine.least_id, mine.most_id + 1)][1]
+    assert tokens.document(spark, other, only).collect()[0].ids == each[only]
+
+
 def test_urls(spark):
     pages = [(1, "http://a.example.com/en/x"), (2, "HTTP://WWW.Example.COM/en/"), (3, "https://b.net/es/1?q"), (4, "https://b.net/de/1"), (5, None),
              (6, "no scheme"), (7, "x://host"), (8, "x://host?q=/a"), (9, "http://com/"), (10, "http://notexample.com/en/"), (None, "http://b.net/fr/#x"),
@@ -86,6 +113,17 @@ def test_reputation_shrinks(spark):
     got = {r.host: r for r in urls.reputation(hosts).collect()}
     assert got["a.bad.net"].low > 0.5 and got["new.bad.net"].rate > 0.5 and got["one.good.org"].low < 0.5 and got["x.good.org"].rate < 0.2
     assert all(r.low < r.rate for r in got.values())
+    # A host without pages is less sure than one with many, and than its domain's pages would make it.
+    assert got["new.bad.net"].rate - got["new.bad.net"].low > 2 * (got["a.bad.net"].rate - got["a.bad.net"].low)
+
+
+def test_hosts_of_one_domain_are_told_apart(spark):
+    """Unruled pages of a host that block rules catch often are blocked, those of its clean sibling stay."""
+    pages = [f"http://bad.site.net/{lang}/{i}" for lang in ("es", "fr", "en") for i in range(40)]
+    pages += [f"http://good.site.net/{lang}/{i}" for lang in ("de", "en") for i in range(60)] + [f"http://other.org/{i}" for i in range(50)]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    got = {(r.host, r.verdict) for r in urls.judge(df).filter("rule is null").collect()}
+    assert got == {("bad.site.net", "block"), ("good.site.net", "allow"), ("other.org", "allow")}
 
 
 def plain_spans(text):
@@ -125,6 +163,38 @@ def test_secret_network(spark):
     assert secrets.scan(docs.filter("false"), nothing).count() == 0 and nothing.threshold > 1
 
 
+def test_keys_of_letters_alone_are_candidates(spark):
+    """Keys without a digit: those that no rule finds are scored and found, words are not."""
+    random.seed(5)
+
+    def key():
+        return "".join(random.choice("bcdfghjkQXZVWKRTPqxzvwk") for _ in range(28))
+
+    hidden = [(5000 + i, f"see {key()} for it") for i in range(8)]
+    texts = [(i, f"the token: {key()} is here") for i in range(400)] + hidden
+    texts += [(1000 + i, f"an {'un' * (i % 3)}{random.choice(['believably', 'comfortable', 'remarkable', 'questionable'])}ness{'es' * (i % 2)} of words{i} everywhere") for i in range(600)]
+    docs = spark.createDataFrame(texts + texts[:5], "doc_id long, text string").repartition(3)
+    assert secrets.candidates(hidden[0][1], []) == [(4, 32)]
+    net = secrets.fit(*secrets.findings(docs))
+    got = {}
+    for r in secrets.scan(docs, net).collect():
+        got.setdefault(r.id, []).append([(s.kind, s.start, s.end) for s in r.spans])
+    assert all(len(got[i]) == 2 and got[i][0] == got[i][1] for i in range(5))
+    assert sum(got[i][0] == [("net", 4, 32)] for i, _ in hidden) >= 6
+    assert sum(any(k == "net" for k, *_ in got[1000 + i][0]) for i in range(600)) <= 6
+
+
+def test_the_threshold_leaves_the_wanted_recall():
+    random.seed(8)
+    values = ["".join(random.choice("0123456789abcdef") for _ in range(30)) for _ in range(300)]
+    mixed = values[:200] + ["wordlikerunofletters"[:14 + i % 6] + "x" * (i % 5) for i in range(100)]       # a third of the secrets look harmless
+    views = [secrets.pieces(f"key {v} end", 4, 4 + len(v))[0] for v in mixed]
+    harmless = [secrets.pieces(f"key {w} end", 4, 4 + len(w))[0] for w in ("wordlikerunofletters"[:14 + i % 6] + "x" * (i % 7) for i in range(300))]
+    net = secrets.fit(views + harmless, [1] * 300 + [0] * 300)
+    found = net.probabilities(secrets._codes(views)) >= net.threshold
+    assert found.mean() >= 0.85
+
+
 def test_long_candidate_is_read_whole():
     views = secrets.pieces("a" * 10 + "B1" * 200, 10, 410)
     assert all(len(v) == secrets.LENGTH for v in views) and "".join(sorted(set("".join(views)) - {"\0"})) == "1Ba"
@@ -166,6 +236,44 @@ def test_toxicity_without_labels(spark, toxic_docs):
     assert toxicity.judge(docs.filter("false"), labels.filter("false")).count() == 0
 
 
+def test_a_long_text_in_parts_scores_the_same(spark, monkeypatch):
+    net = toxicity.Network.fresh(2)
+    random.seed(9)
+    texts = [" ".join(random.choice(["tree", "stone", "odd", "bad"]) for _ in range(n)) for n in (0, 1, 31, 48, 56, 57, 200, 1000)]
+    whole = net.logits([toxicity.split_words(t) for t in texts])
+    monkeypatch.setattr(toxicity, "_CHUNK", 2 * toxicity.STRIDE)
+    for t, logit in zip(texts, whole):
+        parts = list(toxicity._parts(toxicity.split_words(t)))
+        assert max(len(p) for p in parts) <= 2 * toxicity.STRIDE + 8
+        assert abs(net.logits(parts).max() - logit) < 1e-5
+        assert len(toxicity.windows(parts).of) == len(toxicity.windows([toxicity.split_words(t)]).of)
+
+
+def test_probabilities_do_not_follow_the_sample(spark, toxic_docs):
+    """A sample of equal classes out of a table with few toxic rows: scores say how likely a row of the table is toxic."""
+    random.seed(7)
+    common, bad = ["tree", "river", "green", "stone"], ["mild", "harsh"]
+
+    def text(toxic):
+        w = [random.choice(common) for _ in range(25)]
+        if random.random() < (0.8 if toxic else 0.3):           # a sign that is often misleading
+            w.insert(random.randrange(25), random.choice(bad))
+        return " ".join(w)
+
+    rows = [(i, text(i % 10 == 0), int(i % 10 == 0)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    net = toxicity.train(docs, docs, per_class=200)
+    scores = net.scores([t for _, t, _ in rows])
+    assert abs(scores.mean() - 0.1) < 0.05
+
+
+def test_repeated_rows_are_scored_again(spark, toxic_docs):
+    docs, labels = toxic_docs
+    some = docs.filter("doc_id < 40")
+    got = toxicity.judge(some.unionByName(some), labels.unionByName(labels)).groupBy("id").agg(F.count("score").alias("n"), F.count_distinct("score").alias("k")).collect()
+    assert {(r.n, r.k) for r in got} == {(2, 1)}
+
+
 def test_windows_overlap_and_cover():
     w = toxicity.windows([[b"a"] * 100, [], [b"b"] * toxicity.WINDOW])
     assert np.bincount(w.of).tolist() == [4, 1, 1] and w.mask.sum(axis=1).tolist()[:4] == [32, 32, 32, 28] and not w.mask[4].any()
@@ -237,6 +345,31 @@ def test_embedding_links(spark, cell_rows):
     assert {(r.n_links, r.id == r.component_id) for r in only_null} == {(0, True)}
 
 
+def test_visits_go_by_summed_distance():
+    rng = np.random.default_rng(3)
+    for n, m in ((1, 1), (5, 7), (30, 20)):
+        a, b = np.sort(rng.random(n)), np.sort(rng.random(m))
+        b[:2] = b[0]
+        got = list(embedding_dups.visits(a.tolist(), b.tolist(), 0.9))
+        sums = [s for _, _, s in got]
+        assert sums == sorted(sums) and len({(i, j) for i, j, _ in got}) == len(got)
+        assert {(i, j) for i, j, _ in got} == {(i, j) for i in range(n) for j in range(m) if a[i] + b[j] <= 0.9}
+    assert list(embedding_dups.visits([], [1.0], 5)) == []
+
+
+def test_cells_meet_what_lies_within_reach():
+    rng = np.random.default_rng(4)
+    unit = rng.normal(size=(400, 12))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    grid = embedding_dups.Grid(unit, 9, 0.98, 1.0)
+    own, gaps = grid._look(unit)
+    name = grid._names(own)
+    rows, cells, looks = grid.cells(unit)
+    want = {(r, i * 9 + j) for r in range(400) for i in range(9) for j in range(9) if gaps[0][r, i] + gaps[1][r, j] <= grid.reach and i * 9 + j < name[r]}
+    assert {(r, c) for r, c, k in zip(rows.tolist(), cells.tolist(), looks) if k} == want
+    assert cells[:400].tolist() == name.tolist()
+
+
 def test_embedding_recall(spark):
     """Neighbours at just the least similarity, found with the fitted reach."""
     rng = np.random.default_rng(8)

@@ -1,9 +1,11 @@
 """Mixing, licences, line dedup and decontamination against plain Python on the awkward table."""
 
 import hashlib
+import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, licenses, lines, mixing
@@ -45,6 +47,37 @@ def test_mixing(spark):
     assert mixing.mix(cases.empty(spark)).count() == 0
 
 
+def test_realised_inclusion_shares(spark):
+    """Over many draws every document is taken as often as its inclusion probability says, and long ones less often than short ones."""
+    rng = random.Random(1)
+    sizes = [rng.choice([3, 12, 40, 200, 900, 3000]) for _ in range(150)]
+    room = 0.4 * sum(sizes)
+    rows = spark.createDataFrame([(i, "s", n) for i, n in enumerate(sizes)], "id long, source string, size long")
+    p = mixing.inclusion(rows, spark.createDataFrame([("s", room)], "source string, room double")).first().p
+    classes = [min(len(bin(n)) - 2, 31) // 4 for n in sizes]
+    chance = [p[c] for c in classes]
+    assert abs(sum(q * n for q, n in zip(chance, sizes)) - room) < 1e-6 * room
+    assert all(chance[i] >= chance[j] for i in range(150) for j in range(150) if sizes[i] <= sizes[j]) and min(chance) < 0.45 < max(chance)
+    frame = spark.range(300).select(F.col("id").alias("draw")).crossJoin(spark.createDataFrame(
+        [(i, n, q) for i, (n, q) in enumerate(zip(sizes, chance))], "id long, size long, p double"))          # a simulation, not the operator
+    odds = mixing.random_odds(F.col("draw") * 1000 + F.col("id"), F.lit(0))
+    keyed = frame.withColumn("key", mixing.rank_key(odds, F.col("p")))
+    upto = F.sum("size").over(Window.partitionBy("draw").orderBy("key", "id"))
+    taken = keyed.withColumn("taken", (upto - F.col("size") / 2 <= room).cast("int")).groupBy("id").agg(F.avg("taken").alias("share")).collect()
+    off = [r.share - chance[r.id] for r in taken]
+    assert max(map(abs, off)) < 0.15 and sum(x * x for x in off) / len(off) < 0.0016
+    for c in set(classes):
+        own = [r.share - chance[r.id] for r in taken if classes[r.id] == c]
+        assert abs(sum(own) / len(own)) < 0.03
+
+
+def test_rows_without_an_id_are_drawn_apart(spark):
+    docs = spark.createDataFrame([(None, f"text {i} " * 5, "a") for i in range(200)] + [(1, "b " * 4000, "b")], "doc_id long, text string, source string")
+    sizes, table = mixing.plan(docs, weights=(1, 9))
+    got = {r.copies for r in mixing.copies(sizes, table).filter("source = 'a'").collect()}
+    assert len(got) == 2
+
+
 def test_running_sums_and_hot_source(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(
         F.concat(F.lit("s"), (F.col("id") % 40).cast("string"))).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 50 + 1).cast("int")).alias("text"))
@@ -80,6 +113,25 @@ def test_licenses(spark):
     assert licenses.scan(cases.empty(spark)).count() == 0
 
 
+def test_a_notice_is_found_by_the_rare_words_of_the_file(spark):
+    """The notice's own rarest words are missing from the second file: its rarest licence words find it all the same."""
+    mit = next(t for t in licenses.TEXTS if t.label == "mit").words
+    bsd = next(t for t in licenses.TEXTS if t.label == "bsd").words
+    n, df = licenses.frequencies(spark.createDataFrame([(" ".join(mit),), (" ".join(bsd),)], "text string"), sorted(set(mit)))
+    rarest = sorted(set(mit) - set("permission is hereby granted free of charge to any person obtaining".split()), key=lambda x: (df[x], x))[:3]
+    damaged = ["x" if x in rarest else x for x in mit]
+    docs = [(1, " ".join(mit)), (2, "intro words " + " ".join(damaged) + " outro"), (3, " ".join(bsd)), (4, " ".join(mit[:12])), (5, " ".join(["x", *mit[1:]])),
+            (6, " ".join(mit[20:])), (7, " ".join(reversed(mit)))]
+    got = {r.id: r.labels for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: "mit", 2: "mit", 3: "bsd", 4: "", 5: "", 6: "", 7: ""}
+
+
+def test_one_rare_word_proposes_nothing(spark):
+    docs = [(1, "released under the mit license"), (2, "mit license")]
+    looked = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), rarest=1)
+    assert {r.labels for r in looked.collect()} == {""}
+
+
 def test_line_dedup(spark):
     got = lines.drop_shared_lines(cases.table(spark)).collect()
     last = 1 << 62
