@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.llm import decontaminate, mixing, shingles, tokens, toxicity
-from factloom.llm.common import read, unused
+from factloom.llm.common import lookup, read, unused
 from factloom.operators.skew import broadcast_if_small
-from factloom.session import cut_lineage, drop_scratch, scratch_count, scratch_path
+from factloom.session import cut_lineage, scratch_path, working_copies
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8          # of shingle sets: common shingles by all shingles
@@ -26,15 +25,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every group of near duplicates. Rows that share an id are one document, of which one row stays; of rows
-    without an id one stays for every different text."""
-    rows = shingles.near_duplicates(docs, shingle_words=SHINGLE_WORDS, least=SIMILARITY, max_distance=MAX_DISTANCE, tables=TABLES)
-    first = rows.filter("id is not null").groupBy("label").agg(F.min("id").alias("doc_id"))
-    stay = docs.join(cut_lineage(first.select("doc_id").distinct()), "doc_id", "left_semi").select(*docs.columns)
-    one = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    row = unused(docs, "row")
-    known = stay.withColumn(row, F.row_number().over(one)).filter(F.col(row) == 1).drop(row)
-    return known.unionByName(docs.filter("doc_id is null").dropDuplicates(["text"]))
+    """The first document of every group of near duplicates: the least id (null last), of one id the least text hash. Rows with one id and
+    different texts are different documents; of rows that repeat id and text one stays."""
+    rows = cut_lineage(shingles.near_duplicates(docs, shingle_words=SHINGLE_WORDS, least=SIMILARITY, max_distance=MAX_DISTANCE, tables=TABLES))
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "of")).alias("first"))
+    named = lookup(rows, cut_lineage(first), ["label"], "of")
+    key, of = unused(docs, "id"), unused(docs, "of")
+    stays = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("of") == F.col("first.of"))
+    ruled = cut_lineage(named.groupBy(F.col("id").alias(key), F.col("of").alias(of)).agg(F.min(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
+                        .filter("not stays or n > 1"))
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (shingles.text_hash(F.col("text")) == F.col(of))
+    single = docs.join(broadcast_if_small(ruled.select(key, of)), same, "left_anti")
+    twice = docs.join(broadcast_if_small(ruled.filter("stays").select(key, of)), same, "left_semi")
+    return single.unionByName(twice.dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +69,8 @@ STAGES = [
     ("tokens", write_token_files),
 ]
 
-#: The network, the fingerprints and the tokenizer have no SQL. The tests hold the near-duplicate stage against a plain comparison of all pairs; of the
-#: other stages only columns, row bounds and empty input, their operators by the registered queries (SQL, round trip, held-out labels).
+#: The network, the fingerprints and the tokenizer have no SQL. The tests hold every stage against a plain version of its rule (toxicity: the same
+#: network's scores row by row; mixing: its plan).
 ORACLE_SQL = None
 
 
@@ -75,8 +78,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written to the shared folder and read again; a stage's working copies go when it is stored."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path, before = scratch_path(spark, f"stage-{name}"), scratch_count()
-        stage(spark, docs, sf_dir).write.parquet(path)
-        drop_scratch(spark, before)
+        path = scratch_path(spark, f"stage-{name}")
+        with working_copies(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
