@@ -135,14 +135,14 @@ def test_a_half_written_batch_inserts_nothing_twice(spark, tmp_path, monkeypatch
 def test_parts_grow_with_the_logarithm_of_the_batches(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(stream_module, "FOLD", 2)
     root, held = str(tmp_path), []
-    for k in range(7):
+    for k in range(5):
         items = spark.createDataFrame([(1, f"new {k}"), (2, f"new {max(0, k - 1)}")], "input_index long, text string")
         stream_module.take_batch(items, k, root, MockEmbedding(16), NOW)
         held.append([(r.first, r["last"]) for r in stream_module.parts(spark, root)])
-    assert held[-1] == [(0, 3), (4, 5), (6, 6)] and held[3] == [(0, 3)] and max(map(len, held)) <= 3
-    assert sorted(r.text for r in stream_table(spark, root).collect()) == [f"new {k}" for k in range(7)]
+    assert held[-1] == [(0, 3), (4, 4)] and held[2] == [(0, 1), (2, 2)] and held[3] == [(0, 3)]
+    assert sorted(r.text for r in stream_table(spark, root).collect()) == [f"new {k}" for k in range(5)]
     assert sorted(r.text for r in stream_table(spark, root, before=3).collect()) == ["new 0", "new 1", "new 2"]
-    assert stream_results(spark, root).count() == 14
+    assert stream_results(spark, root).count() == 10
 
 
 def test_few_candidates_are_scored(monkeypatch):

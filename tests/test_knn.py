@@ -83,7 +83,7 @@ def clustered(spark, n, dim=8, per=250):
     return rows.withColumn("floor", F.lit(0.95)).withColumn("query_id", F.col("id"))
 
 
-@pytest.mark.parametrize("options", [{}, {"exclude_self": True}, {"tags": True}, {"seq": True}])
+@pytest.mark.parametrize("options", [{}, {"seq": True}])
 def test_a_deep_tree_gives_the_same_rows(data, options):
     queries, base, q, b = data
     got = {tuple(r) for r in knn_join(q, b, 4, strategy="cells", block_rows=16, max_pivots=4, **options).collect()}

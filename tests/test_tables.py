@@ -66,20 +66,18 @@ def test_recall_is_one_scan(spark, tmp_path):
     assert [r.text for r in got.collect()] == ["t3", "t4", "t5", "t2"]
 
 
-class Failing(MockEmbedding):
-    """Counts its calls in files, and fails for texts that it is told."""
-
-    def __init__(self, folder, bad=()):
-        super().__init__(4)
-        self.folder, self.bad = folder, bad
-
-    def embed_batch(self, texts):
-        import os
-        import uuid
-        open(os.path.join(self.folder, f"{len(texts)}-{uuid.uuid4().hex}"), "w").close()
-        if set(texts) & set(self.bad):
-            raise RuntimeError("no answer")
-        return MockEmbedding.embed_batch(self, texts)
+def Failing(folder, bad=()):
+    """A provider that counts its calls in files, and fails for texts that it is told."""
+    class Counting(MockEmbedding):        # local, so that its code travels with the job
+        def embed_batch(self, texts):
+            import os
+            import uuid
+            open(os.path.join(folder, f"{len(texts)}-{uuid.uuid4().hex}"), "w").close()
+            if set(texts) & set(bad):
+                raise RuntimeError("no answer")
+            return MockEmbedding.embed_batch(self, texts)
+
+    return Counting(4)
 
 
 def asked(folder):
