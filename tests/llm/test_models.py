@@ -164,23 +164,23 @@ def test_secret_network(spark):
 
 
 def test_keys_of_letters_alone_are_candidates(spark):
-    """Keys without a digit: those that no rule finds are scored and found, words are not."""
+    """Keys without a digit, in texts that the network has not seen: those that no rule finds are scored and found, words are not."""
     random.seed(5)
 
     def key():
         return "".join(random.choice("bcdfghjkQXZVWKRTPqxzvwk") for _ in range(28))
 
-    hidden = [(5000 + i, f"see {key()} for it") for i in range(8)]
-    texts = [(i, f"the token: {key()} is here") for i in range(400)] + hidden
+    hidden = [(5000 + i, f"see {key()} for it") for i in range(40)]
+    texts = [(i, f"the token: {key()} is here") for i in range(400)]
     texts += [(1000 + i, f"an {'un' * (i % 3)}{random.choice(['believably', 'comfortable', 'remarkable', 'questionable'])}ness{'es' * (i % 2)} of words{i} everywhere") for i in range(600)]
     docs = spark.createDataFrame(texts + texts[:5], "doc_id long, text string").repartition(3)
     assert secrets.candidates(hidden[0][1], []) == [(4, 32)]
     net = secrets.fit(*secrets.findings(docs))
     got = {}
-    for r in secrets.scan(docs, net).collect():
+    for r in secrets.scan(docs.unionByName(spark.createDataFrame(hidden, docs.schema)), net).collect():
         got.setdefault(r.id, []).append([(s.kind, s.start, s.end) for s in r.spans])
     assert all(len(got[i]) == 2 and got[i][0] == got[i][1] for i in range(5))
-    assert sum(got[i][0] == [("net", 4, 32)] for i, _ in hidden) >= 6
+    assert sum(got[i][0] == [("net", 4, 32)] for i, _ in hidden) >= 34
     assert sum(any(k == "net" for k, *_ in got[1000 + i][0]) for i in range(600)) <= 6
 
 
