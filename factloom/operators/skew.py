@@ -32,38 +32,50 @@ def value_bytes(value: Column, kind: T.DataType) -> Column | int:
     return 8
 
 
-def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
-    """Whether `df` is measured to fit into SMALL_BYTES (and has at most `max_rows` rows)."""
+def _weighed(df: DataFrame) -> tuple:
+    """(count, bytes) as aggregates over `df`."""
     parts = [value_bytes(df[f"`{f.name}`"], f.dataType) for f in df.schema.fields]
     fixed = 16 + sum(x for x in parts if isinstance(x, int))
     varying = sum((x for x in parts if not isinstance(x, int)), F.lit(0).cast("long"))
-    found = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(varying), F.lit(0)).alias("b")).first()
-    return fixed * found.n + found.b <= SMALL_BYTES and (max_rows is None or found.n <= max_rows)
+    n = F.count(F.lit(1))
+    return n.alias("n"), (n * fixed + F.coalesce(F.sum(varying), F.lit(0))).alias("b")
+
+
+def is_small(df: DataFrame, max_rows: int | None = None) -> bool:
+    """Whether `df` is measured to fit into SMALL_BYTES (and has at most `max_rows` rows)."""
+    found = df.agg(*_weighed(df)).first()
+    return found.b <= SMALL_BYTES and (max_rows is None or found.n <= max_rows)
 
 
 def join_unique(left: DataFrame, right: DataFrame, on: list[str], row_key: str, weight: str | None = None,
                 small: int | None = None) -> DataFrame:
     """`left` with the columns of `right`, where `on` is unique in `right`; unmatched left rows keep nulls.
 
-    A `right` measured to be small (and of at most `small` rows) is broadcast. Otherwise only the hot keys of `left` are
-    joined by broadcast: fewer than HOT_SHARE right rows can be hot, so that side has a
-    fixed bound. The rest is an ordinary shuffled join, where a row that is already served
+    A `right` measured to be small (and of at most `small` rows) is broadcast. Otherwise, where no key is hot, it is an ordinary join.
+    Hot keys of `left` are joined by broadcast: fewer than HOT_SHARE right rows can be hot, so that side has a
+    fixed bound. The rest is a shuffled join, where a row that is already served
     gets a key of its own (from `row_key`, a long column) that matches nothing, so no
     partition collects the hot rows. `weight` names a column of `right` that already holds
-    the number of left rows per key.
+    the number of left rows per key. One job measures all this.
     """
     payload = [c for c in right.columns if c not in on]
-    if is_small(right, small):
-        return left.join(F.broadcast(right), on, "left").select(*left.columns, *payload)
+    counted = right
     if weight is None:
+        if is_small(right, small):
+            return left.join(F.broadcast(right), on, "left").select(*left.columns, *payload)
         weight = "_weight"
         counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias(weight))
-        right = right.join(counts, on, "left").fillna(0, [weight])
-    limit = right.select(F.expr(f"sum(`{weight}`) / {HOT_SHARE}").alias("x")).scalar()
+        counted = right.join(counts, on, "left").fillna(0, [weight])
+    found = counted.agg(*_weighed(right), F.coalesce(F.sum(weight), F.lit(0)).alias("all"), F.coalesce(F.max(weight), F.lit(0)).alias("most")).first()
+    if found.b <= SMALL_BYTES and (small is None or found.n <= small):
+        return left.join(F.broadcast(right), on, "left").select(*left.columns, *payload)
+    limit = found["all"] / HOT_SHARE
+    if found.most <= limit:
+        return left.join(right, on, "left").select(*left.columns, *payload)
     is_hot = F.col(weight) > limit
-    hot = right.filter(is_hot).select(*on, F.struct(*payload).alias("_hot"))
-    cold = right.filter(~is_hot).select(F.struct(*on).alias("_key"), F.lit(0).cast("long").alias("_none"),
-                                        F.struct(*payload).alias("_cold"))
+    hot = counted.filter(is_hot).select(*on, F.struct(*payload).alias("_hot"))
+    cold = counted.filter(~is_hot).select(F.struct(*on).alias("_key"), F.lit(0).cast("long").alias("_none"),
+                                          F.struct(*payload).alias("_cold"))
     served = left.join(F.broadcast(hot), on, "left")
     own = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.col(row_key) + 1)
     served = served.withColumn("_join", F.struct(*on)).withColumn("_own", own.cast("long"))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_COPIES: ContextVar[list[str] | None] = ContextVar("copies", default=None)      # folders of the job that runs in this thread
+_COPIES: dict[int, list[str]] = {}      # by thread: the folders of the job that runs in it
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, name: str = "factloom") -> SparkSession:
@@ -51,7 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; inside `working_copies` it is deleted at the end."""
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    held = _COPIES.get()
+    held = _COPIES.get(threading.get_ident())
     if held is not None:
         held.append(path)
     return path
@@ -80,12 +80,14 @@ def working_copies(spark: SparkSession) -> Iterator[None]:
 
     Every thread has its own list, so jobs that run at once leave each other's copies alone.
     """
-    token = _COPIES.set([])
+    here = threading.get_ident()
+    outer, _COPIES[here] = _COPIES.get(here), []
     try:
         yield
     finally:
         jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for name in _COPIES.get() or ():
+        for name in _COPIES.pop(here):
             path = jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(conf).delete(path, True)
-        _COPIES.reset(token)
+        if outer is not None:
+            _COPIES[here] = outer
