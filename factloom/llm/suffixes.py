@@ -90,6 +90,7 @@ def _spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 _SUFFIXES = "id long, of long, g long, region long, start long, n int, times int"
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 _NAMES = [x.split()[0] for x in _SUFFIXES.split(", ")]
+_SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
 def suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -233,6 +234,8 @@ def _compare(rows: pa.Table, length: int) -> pa.RecordBatch:
     again[order[1:][same]] = True
     again[order[:-1][same]] = True
     hit = np.flatnonzero(again & (times[owner] == 1))
+    if not len(hit):
+        return pa.RecordBatch.from_arrays([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int32(), _SPANS)], ["g", "region", "n", "spans"])
     who, at = owner[hit], place[hit]
     new = np.ones(len(hit), bool)
     new[1:] = (who[1:] != who[:-1]) | (at[1:] > at[:-1] + length)          # windows that touch are one span
@@ -240,7 +243,7 @@ def _compare(rows: pa.Table, length: int) -> pa.RecordBatch:
     ends = np.append(starts[1:], len(hit)) - 1
     spans = pa.StructArray.from_arrays([pa.array(at[starts], pa.int32()), pa.array(at[ends] + length, pa.int32())], ["lo", "hi"])
     several = who[starts]
-    rows_at = np.concatenate([[0], np.flatnonzero(np.diff(several)) + 1]) if len(several) else np.zeros(0, np.int64)
+    rows_at = np.concatenate([[0], np.flatnonzero(np.diff(several)) + 1])
     lists = pa.ListArray.from_arrays(pa.array(np.append(rows_at, len(several)), pa.int32()), spans)
     mine = several[rows_at]
     return pa.RecordBatch.from_arrays([pa.array(g[mine]), pa.array(region[mine]), pa.array(n[mine], pa.int32()), lists], ["g", "region", "n", "spans"])
