@@ -91,12 +91,10 @@ def remember_batch(spark, sf_dir):
   md5(normalized_text) AS key_md5 FROM new""")
 def remember_batch_skip_near(spark, sf_dir):
     """The inserted rows when every item is skipped if near."""
-    new = _remembered(spark, sf_dir, "'skip_if_near'").inserted
-    items = _items(spark, sf_dir, "'skip_if_near'", memories(spark, sf_dir)).select("input_index", "user_id", F.md5(F.btrim(
-        "text", F.lit("".join(map(chr, range(33)))))).alias("text_md5"))
-    new = new.select("id", "user_id", F.md5("text").alias("text_md5"), F.md5("normalized_text").alias("key_md5"))
-    first = items.groupBy("user_id", "text_md5").agg(F.min("input_index").alias("input_index"))
-    return new.join(first, ["user_id", "text_md5"], "left").select("id", "input_index", "user_id", "text_md5", "key_md5")
+    done = _remembered(spark, sf_dir, "'skip_if_near'")
+    owner = done.results.filter("ok and not already_existed").select(F.col("memory_id").alias("id"), "input_index")
+    return done.inserted.join(owner, "id", "left").select(
+        "id", "input_index", "user_id", F.md5("text").alias("text_md5"), F.md5("normalized_text").alias("key_md5"))
 
 
 @register(_WALK.replace("{policy}", _POLICY) + """SELECT count(*) AS total, count(*) FILTER (WHERE ok AND NOT already_existed) AS inserted,
