@@ -7,7 +7,9 @@ import re
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,7 @@ from factloom.session import cut_lineage
 
 _SENTENCE_END = re.compile(r"[.!?](?=[ \n])")
 SOURCE_LABEL = "factloom/teach"
+PASS_BYTES = 4 << 20      # of text that a worker holds as Python strings, or puts out, at once
 
 
 def cut_points(text: str, size: int) -> list[tuple[int, int]]:
@@ -44,22 +47,38 @@ def cut_points(text: str, size: int) -> list[tuple[int, int]]:
     return spans
 
 
+def _in_passes(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about PASS_BYTES of text; a longer text is a slice of its own."""
+    sizes = np.asarray(pc.binary_length(batch.column(text_col)).fill_null(0)).astype(np.int64)
+    lo, held = 0, 0
+    for hi, size in enumerate(sizes.tolist()):
+        if hi > lo and held + size > PASS_BYTES:
+            yield batch.slice(lo, hi - lo)
+            lo, held = hi, 0
+        held += size
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
+
+
 def chunk_documents(docs: DataFrame, size: int = 4000, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id, seq, text`: each whole document in chunks of about `size` chars, blank chunks dropped."""
     if not 500 <= size <= 32000:
         raise RequestError(INVALID_INPUT, expected("chunk size", "a number from 500 to 32000", size))
 
-    def chunk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                pieces = (text[a:b].lstrip("\n \t\r") for a, b in cut_points(text or "", size))
-                rows += [(doc, i, p) for i, p in enumerate(p for p in pieces if p)]
-            yield pd.DataFrame(rows, columns=["doc_id", "seq", "text"])
+            for part in _in_passes(batch, "text"):
+                rows = []
+                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    pieces = (text[a:b].lstrip("\n \t\r") for a, b in cut_points(text or "", size))
+                    rows += [(doc, i, p) for i, p in enumerate(p for p in pieces if p)]
+                docs_, seqs, texts = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(docs_, part.schema.field("doc_id").type), pa.array(seqs, pa.int32()),
+                                                  pa.array(texts, pa.string())], ["doc_id", "seq", "text"])
 
     doc_type = docs.schema[doc_col].dataType.simpleString()
     pairs = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return pairs.mapInPandas(chunk, f"doc_id {doc_type}, seq int, text string")
+    return pairs.mapInArrow(chunk, f"doc_id {doc_type}, seq int, text string")
 
 
 def split_lines(text: str) -> str:
@@ -69,16 +88,21 @@ def split_lines(text: str) -> str:
 
 def run_extractor(chunks: DataFrame, extractor: Callable[[str], str]) -> DataFrame:
     """`chunks` with `response`, the extractor's JSON; null where the call failed."""
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def one(text: str | None) -> str | None:
+        try:
+            return extractor(text)
+        except Exception:       # a failing call costs its chunk only
+            return None
+
+    names = [*chunks.columns, "response"]
+
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            def one(t):
-                try:
-                    return extractor(t)
-                except Exception:       # a failing call costs its chunk only
-                    return None
-            yield batch.assign(response=[one(t) for t in batch["text"]])
-
-    return chunks.mapInPandas(call, T.StructType([*chunks.schema.fields, T.StructField("response", T.StringType())]))
+            for part in _in_passes(batch, "text"):
+                answers = pa.array([one(t) for t in part.column("text").to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*part.columns, answers], names)
+
+    return chunks.mapInArrow(call, T.StructType([*chunks.schema.fields, T.StructField("response", T.StringType())]))
 
 
 def facts_of(response: Column) -> Column:
