@@ -9,7 +9,8 @@ from factloom import schema as S
 from factloom.errors import LIMIT_EXCEEDED, NOT_FOUND, RequestError, check_limit, no_row, over
 from factloom.operators.predicates import (Cleanup, active, expired, for_user, from_provider, stale_embedding,
                                            tags_overlap, text_contains, tombstone, visible)
-from factloom.operators.skew import broadcast_if_small, join_unique
+from factloom.operators.skew import join_unique, only_ids
+from factloom.session import cut_lineage
 
 
 def list_memories(memories: DataFrame, user_id: str, as_of, limit: int | None = None, offset: int | None = None,
@@ -56,9 +57,8 @@ def get_memory(memories: DataFrame, id: int) -> Row:
 
 def get_memories(memories: DataFrame, ids: DataFrame) -> DataFrame:
     """`ids` (input_index, id) with `found` and the read columns."""
-    asked = broadcast_if_small(ids.select("id").distinct())
-    rows = memories.select([c for c in S.READ_COLUMNS if c in memories.columns]).join(asked, "id", "left_semi")
-    rows = rows.withColumn("found", F.lit(True))
+    rows = only_ids(memories.select([c for c in S.READ_COLUMNS if c in memories.columns]), ids)
+    rows = cut_lineage(rows.withColumn("found", F.lit(True)))       # measured, weighed and joined: the table is read once
     return join_unique(ids, rows, ["id"], "input_index").fillna(False, ["found"])
 
 
