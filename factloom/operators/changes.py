@@ -13,7 +13,7 @@ from factloom.errors import (DATABASE_ERROR, EMBEDDING_ERROR, INVALID_INPUT, NEE
 from factloom.functions import text as X
 from factloom.operators import prepare as P
 from factloom.operators.predicates import moment
-from factloom.operators.skew import broadcast_if_small, join_unique
+from factloom.operators.skew import broadcast_if_small, join_unique, only_ids
 from factloom.session import cut_lineage
 
 
@@ -195,8 +195,7 @@ def confirm(memories: DataFrame, ids: DataFrame, as_of) -> Changed:
 
 def _found(memories: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests with `alive`: true for an undeleted row, false for a tombstone, null for no row."""
-    ids = broadcast_if_small(requests.select("id").filter("id is not null").distinct())
-    have = memories.select("id", "deleted_at").join(ids, "id", "left_semi")
+    have = only_ids(memories.select("id", "deleted_at"), requests)
     have = have.select("id", F.col("deleted_at").isNull().alias("alive"))
     return cut_lineage(join_unique(requests, have, ["id"], "input_index"))
 
@@ -252,8 +251,7 @@ def forget(memories: DataFrame, requests: DataFrame, as_of, hard: bool = False,
         return Changed(memories, results)
     good = rows.filter(ok)
     if hard:
-        gone = broadcast_if_small(good.select("id").distinct())
-        return Changed(memories.join(gone, "id", "left_anti").select(memories.columns), results)
+        return Changed(only_ids(memories, good, keep=False).select(memories.columns), results)
 
     def last(name: str) -> Column:
         return F.max_by(name, F.when(F.col(name).isNotNull(), F.col("input_index"))).alias(name)

@@ -213,11 +213,9 @@ def changes_logged(spark, sf_dir):
     root = scratch_path(spark, "logged")
     save_snapshot(memories(spark, sf_dir), root)
     seen = read(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("input_index"), (F.col("doc_id") + 1).alias("id"))
-    before = changelog.load_merged(spark, root).memories
-    changelog.append_changes(spark, root, changelog.changed_rows(before, E.confirm(before, seen, AS_OF).memories, seen))
+    changelog.log_change(spark, root, seen, lambda rows: E.confirm(rows, seen, AS_OF).memories)
     gone = _forget_requests(spark, sf_dir).select("input_index", "id")
-    before = changelog.load_merged(spark, root).memories
-    changelog.append_changes(spark, root, changelog.changed_rows(before, E.forget(before, gone, AS_OF, hard=True).memories, gone))
+    changelog.log_change(spark, root, gone, lambda rows: E.forget(rows, gone, AS_OF, hard=True).memories)
     return changelog.load_merged(spark, root).memories.select("id", stamp("last_confirmed_at"), F.md5("text").alias("text_md5"))
 
 

@@ -11,6 +11,7 @@ that came after its version. `compact` writes the merged table as the next versi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom import schema as S
-from factloom.operators.skew import broadcast_if_small
+from factloom.operators.skew import broadcast_if_small, only_ids
 from factloom.sources.tables import Snapshot, load_snapshot, save_snapshot
 
 _APPLIED = "version int, entry int"
@@ -56,9 +57,8 @@ def _applied(spark: SparkSession, root: str, version: int) -> int:
 
 def changed_rows(before: DataFrame, after: DataFrame, ids: DataFrame) -> DataFrame:
     """What a change did to the rows `ids`: the rows of `after`, and as `gone` those of `before` that are no longer there."""
-    ids = broadcast_if_small(ids.select("id").distinct())
-    now = S.as_memories(after.join(ids, "id", "left_semi"))
-    was = S.as_memories(before.join(ids, "id", "left_semi")).select("id")
+    now = S.as_memories(only_ids(after, ids))
+    was = S.as_memories(only_ids(before, ids)).select("id")
     gone = was.join(broadcast_if_small(now.select("id")), "id", "left_anti")
     return now.withColumn("gone", F.lit(False)).unionByName(gone.withColumn("gone", F.lit(True)), allowMissingColumns=True)
 
@@ -73,6 +73,12 @@ def append_changes(spark: SparkSession, root: str, rows: DataFrame) -> int:
     return entry
 
 
+def log_change(spark: SparkSession, root: str, ids: DataFrame, change: Callable[[DataFrame], DataFrame]) -> int:
+    """Run `change` on the rows `ids` of the merged table alone and log what it did to them; the other rows are only read past."""
+    held = only_ids(load_merged(spark, root).memories, ids)
+    return append_changes(spark, root, changed_rows(held, change(held), ids))
+
+
 def load_merged(spark: SparkSession, root: str) -> Merged:
     """The newest version with all later changes: of every id the last change counts.
 
@@ -86,7 +92,7 @@ def load_merged(spark: SparkSession, root: str) -> Merged:
         return Merged(base.memories, base.next_id, base.version, start)
     log = log.filter(F.col("entry") > start)
     last = log.withColumn("_nth", F.row_number().over(W.partitionBy("id").orderBy(F.desc("entry")))).filter("_nth = 1").drop("_nth")
-    old = base.memories.join(broadcast_if_small(log.select("id").distinct()), "id", "left_anti")
+    old = only_ids(base.memories, log, keep=False)
     top = log.agg(F.max("entry").alias("entry"), F.max("id").alias("id")).first()
     rows = old.unionByName(last.filter("not gone").select(*base.memories.columns))
     return Merged(rows, max(base.next_id, (top.id or 0) + 1), base.version, top.entry or start)
