@@ -245,6 +245,9 @@ def json_to_row(obj: Column, names: list[str]) -> Column:
 
 # ---- XML ----------------------------------------------------------------------------------
 
+XML_ROWS_PER_FILE = 50_000
+
+
 def read_xml_rows(spark: SparkSession, path: str, row_tag: str, keep_strings: bool = False,
                   schema: T.StructType | str | None = None) -> DataFrame:
     """One row per `row_tag` element; with `keep_strings` every value stays text."""
@@ -252,5 +255,6 @@ def read_xml_rows(spark: SparkSession, path: str, row_tag: str, keep_strings: bo
     return (reader.schema(schema) if schema is not None else reader).xml(path)
 
 
-def write_xml_rows(df: DataFrame, path: str, row_tag: str, root_tag: str = "rows") -> None:
-    df.write.option("rowTag", row_tag).option("rootTag", root_tag).option("declaration", "").xml(path)
+def write_xml_rows(df: DataFrame, path: str, row_tag: str, root_tag: str = "rows", rows_per_file: int = XML_ROWS_PER_FILE) -> None:
+    """Write in files of at most `rows_per_file` rows: an XML file is always read by one task."""
+    df.write.option("maxRecordsPerFile", rows_per_file).option("rowTag", row_tag).option("rootTag", root_tag).option("declaration", "").xml(path)
