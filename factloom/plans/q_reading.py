@@ -48,7 +48,8 @@ def read_fact_lines(spark, sf_dir):
     """The documents' lines from several files whose names follow the documents' order."""
     path = scratch_path(spark, "lines")
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").select("text").write.text(path)
+    n_files = max(4, docs.agg(F.ceil(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)) / (32 << 20))).first()[0])
+    docs.repartitionByRange(n_files, "doc_id").sortWithinPartitions("doc_id").select("text").write.text(path)
     facts = files.read_fact_lines(spark, path, " imported ,")
     return facts.select("input_index", F.md5("text").alias("text_md5"), joined("tags"))
 
@@ -60,8 +61,8 @@ def read_fact_json(spark, sf_dir):
     item = F.struct("text", F.array("role").alias("tags"), (F.col("turn") / 100).alias("importance"),
                     F.lit("2024-03-01T10:00:00Z").alias("last_confirmed_at"), F.col("conv_id").cast("string").alias("session_id"))
     path = scratch_path(spark, "fact-json")      # one file per conversation, each a JSON array of its turns
-    arrays = turns.groupBy("conv_id").agg(F.to_json(F.collect_list(item)).alias("value"))
-    arrays.withColumn("part", F.col("conv_id")).drop("conv_id").write.partitionBy("part").text(path)
+    arrays = turns.groupBy("conv_id").agg(F.to_json(F.collect_list(item)).alias("value")).select("value")
+    arrays.write.option("maxRecordsPerFile", 1).text(path)
     items = files.read_fact_json(spark, path)
     utc = F.to_utc_timestamp("last_confirmed_at", F.current_timezone())
     return items.select(F.col("session_id").cast("long").alias("conv_id"), F.md5("text").alias("text_md5"), joined("tags"), "importance",
