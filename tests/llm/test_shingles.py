@@ -81,3 +81,26 @@ def test_stage_keeps_the_rows_of_a_plain_version(spark, sf_dir):
     want = [r.doc_id for r, g, i in zip(rows, plain_groups([r.text for r in rows]), range(len(rows))) if g == i]
     got = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).select("doc_id").collect()]
     assert sorted(got) == want
+
+
+def test_a_group_that_bands_connect_is_not_compared_for_every_cell(spark, monkeypatch):
+    some = random.Random(5)
+    words = [f"w{some.randrange(100_000)}" for _ in range(300)]
+    texts = [" ".join(words[:i] + ["changed"] + words[i + 1:]) for i in range(20, 260, 3)]
+    joined, plain = [], shingles._with
+
+    def counted(pairs, right, side, *rest):
+        if right.columns[1] == "set" and side == "a":
+            joined.append(pairs.count())
+        return plain(pairs, right, side, *rest)
+
+    monkeypatch.setattr(shingles, "_with", counted)
+    assert grouped(spark, texts) == [0] * len(texts) == plain_groups(texts)
+    owners = spark.createDataFrame([(t,) for t in texts], "text string").select(
+        shingles._sketches(shingles.F.col("text"), SHINGLE_WORDS, 1).alias("s")).collect()
+    least = {}
+    for r in owners:
+        for b in r.s.bands:
+            least[b] = min(least.get(b, r.s.node), r.s.node)
+    met = {(least[b], r.s.node) for r in owners for b in r.s.bands if least[b] != r.s.node}
+    assert sum(joined) <= len(met) + corpus_pipeline.TABLES * len(texts)        # an owner for every band, and for every table
