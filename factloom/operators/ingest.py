@@ -168,4 +168,4 @@ def load_facts(memories: DataFrame, facts: DataFrame, as_of, provider: Embedding
     items = as_items(facts)
     done = remember_batch(memories, items, as_of, provider, user_id=user_id, default_policy=policy)
     results = done.results.join(items.select("input_index", "doc_id", "seq", "pos"), "input_index")
-    return Remembered(done.inserted.filter("false") if dry_run else done.inserted, results)
+    return Remembered(lambda: done.inserted.filter("false") if dry_run else done.inserted, results)
