@@ -38,6 +38,23 @@ def test_leading_numbers_leave_out_no_pair(rank):
     assert all(label[i] == label[j] for i, j in want) and all((x, y) in want or label[x] == label[y] for x, y in zip(a, c))
 
 
+def test_pieces_of_cells_leave_out_no_pair():
+    vec = unrelated(3000, 32, 16, 9)
+    b = block(vec)
+    cell = (b.unit @ b.unit[:60].T).argmax(axis=1)
+    one = np.flatnonzero(cell < 30)             # a batch holds some cells whole
+    q, b = V.turned(block(vec[:800], 0.9), b.take(one))
+    i, j = V.by_pieces(q, b, cell[one])
+    score = np.round(q.unit @ b.unit.T, 9)
+    want = {(x, y) for x, y in zip(*np.nonzero((score >= 0.9) & q.usable[:, None] & b.usable[None, :]))}
+    assert want and want <= set(zip(i.tolist(), j.tolist()))
+    got = V.top_pairs(q, b, 3000, False, cell[one])
+    assert set(zip(got[0].tolist(), got[1].tolist())) == {(x, int(b.ids[y])) for x, y in want}
+    links = V.link_pairs(q, b, cell[one])
+    label = V._joined(np.arange(3000), links[0], links[1])
+    assert all(label[x] == label[b.ids[y]] for x, y in want)
+
+
 def test_floors_rise_with_what_was_found(monkeypatch):
     vec = unrelated(3000, 16, 16, 6)
     rng = np.random.default_rng(1)
@@ -87,6 +104,20 @@ def test_a_probe_spares_the_tree_and_rounds_score_a_pair_once(spark, monkeypatch
     assert sum(q * b for q, b in sides) < 0.85 * (n - 1) ** 2
 
 
+def test_rounds_over_a_sorted_base_give_the_same(spark, monkeypatch):
+    n, dim, k = 1500, 16, 3
+    base = points(spark, n, dim, 10)
+    q = base.selectExpr("id as query_id", "part", "vec", "0.85 as floor")
+    want = {tuple(r) for r in knn.knn_join(q, base, k, strategy="scan", exclude_self=True).collect()}
+    no_tree(monkeypatch)
+    for name, value in (("PROBE_ROWS", 1000), ("VISITS", 2), ("SCAN_BYTES", (4 * dim + 24 * k) * 400), ("SORTED_ROWS", 25)):
+        monkeypatch.setattr(knn, name, value)
+    cells, plain = [], knn._scan
+    monkeypatch.setattr(knn, "_scan", lambda q, b, *a: cells.append(b.select("cell").distinct().count()) or plain(q, b, *a))
+    assert {tuple(r) for r in knn.knn_join(q, base, k, exclude_self=True, block_rows=16).collect()} == want and want
+    assert len(cells) == 4 and min(cells) > 20
+
+
 def test_few_base_rows_are_held_for_many_queries(spark, monkeypatch):
     n, dim, k = 600, 32, 2
     rows = points(spark, n, dim, 8)
